@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fleetspark.functions.timefn import HOUR_US
@@ -33,8 +33,11 @@ from fleetspark.params import (
 )
 
 FILE_UNIT = ("file", "entity")
-# a fleet table has one row per unit, so a window over all of it stays small
-FLEET = Window.partitionBy(F.lit(1))
+
+
+def _fleet() -> WindowSpec:
+    """A window over a fleet table, which has one row per unit."""
+    return Window.partitionBy(F.lit(1))
 
 
 def guess_roles(channels: DataFrame, explicit: dict[str, str] | None = None,
@@ -192,9 +195,9 @@ def against_fleet(units: DataFrame) -> DataFrame:
     """Every unit against the fleet median: in percent, the efficiency in points."""
     for source, out in (("ac_kwh", "ac_vs_fleet_pct"), ("dc_per_irradiance", "dc_vs_fleet_pct"),
                         ("ac_per_irradiance", "ac_per_irr_vs_fleet_pct")):
-        mid = F.median(source).over(FLEET)
+        mid = F.median(source).over(_fleet())
         units = units.withColumn(out, F.round(F.try_divide(F.col(source) - mid, mid) * 100.0, 2))
-    mid = F.median("efficiency_pct").over(FLEET)
+    mid = F.median("efficiency_pct").over(_fleet())
     return units.withColumn("efficiency_vs_fleet_pt", F.round(F.col("efficiency_pct") - mid, 2))
 
 
@@ -215,7 +218,7 @@ def verdict() -> Column:
 
 def attribution(units: DataFrame) -> DataFrame:
     """Adds the verdict and ``rank``, the worst AC shortfall first."""
-    place = F.row_number().over(FLEET.orderBy(F.col("ac_vs_fleet_pct").asc_nulls_last(), "entity"))
+    place = F.row_number().over(_fleet().orderBy(F.col("ac_vs_fleet_pct").asc_nulls_last(), "entity"))
     return units.withColumn("verdict", verdict()).withColumn("rank", place)
 
 
@@ -230,7 +233,7 @@ def efficiency(units: DataFrame) -> DataFrame:
 
 def performance(units: DataFrame) -> DataFrame:
     """Performance ratios; ``note`` where one exceeds 1, which means a wrong capacity."""
-    top = F.max("pr").over(FLEET)
+    top = F.max("pr").over(_fleet())
     note = F.when(top > 1.0, F.concat(
         F.lit("PR reaches "), F.format_string("%.2f", top),
         F.lit(" - above 1 is not physically possible; enter the DC nameplate capacity")))
@@ -269,8 +272,8 @@ def availability(readings: DataFrame, roles: dict[str, str], params: AnalysisPar
         F.count_if(usable & F.col("ac").isNotNull()).alias("_seen"))
     hours = modal_interval(rows.select("entity", "ts"), ["entity"], ["ts"], chunk).select(
         "entity", (F.col("interval_us") / float(HOUR_US)).alias("_hours"))
-    instants = F.sum("_instants").over(FLEET)
-    lost = (F.sum("_ref").over(FLEET) - F.col("_ref_on")) * F.coalesce("_hours", F.lit(0.0))
+    instants = F.sum("_instants").over(_fleet())
+    lost = (F.sum("_ref").over(_fleet()) - F.col("_ref_on")) * F.coalesce("_hours", F.lit(0.0))
     return (
         units.join(hours, "entity", "left")
         .select(
@@ -280,7 +283,7 @@ def availability(readings: DataFrame, roles: dict[str, str], params: AnalysisPar
             F.round(100.0 * F.col("_on") / F.greatest(instants, F.lit(1)) + F.when(instants == 0, 100.0).otherwise(0.0), 2)
             .alias("availability_pct"),
             F.round(lost, 1).alias("lost_kwh"))
-        .withColumn("rank", F.row_number().over(FLEET.orderBy(F.desc("lost_kwh"), "entity")))
+        .withColumn("rank", F.row_number().over(_fleet().orderBy(F.desc("lost_kwh"), "entity")))
     )
 
 
@@ -302,7 +305,7 @@ def scatter_points(readings: DataFrame, roles: dict[str, str], max_points: int =
 def findings(attr: DataFrame, avail: DataFrame | None = None, most: int = 6) -> DataFrame:
     """A few sentences, one per row: the worst units, how many more, the costliest outage."""
     bad = attr.where(F.col("verdict") != VERDICT_OK)
-    place = F.row_number().over(FLEET.orderBy(F.col("ac_vs_fleet_pct"), "entity"))
+    place = F.row_number().over(_fleet().orderBy(F.col("ac_vs_fleet_pct"), "entity"))
     ranked = bad.withColumn("_place", place)
 
     def part(c, form):

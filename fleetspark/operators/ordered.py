@@ -228,7 +228,7 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Seque
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     at = sorted({min(1.0, max(0.0, p + d)) for p in probes for d in (-0.01, -0.001, 0.0, 0.001, 0.01)})
     cuts = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", [F.lit(a) for a in at], 10_000).alias("_cuts"),
+        F.percentile_approx("_v", at, 10_000).alias("_cuts"),
         F.count("_v").alias("n"),
     )
     cuts = sized(cuts.withColumn("_ranks", F.array_distinct(F.array(*[r.cast("long") for r in ranks]))))

@@ -129,8 +129,8 @@ def group_series(series: DataFrame, chart: ChartSpec) -> DataFrame:
     elif chart.group_mode == "pattern":
         names = F.array(F.lower("metric"), F.lower("name"))
         hits = [
-            F.when(F.exists(names, lambda n: n.contains(p)), F.lit(p))  # noqa: B023
-            for p in (x.strip().lower() for x in chart.patterns) if p
+            F.when(F.exists(names, lambda n: n.contains(p.strip().lower())), F.lit(p))  # noqa: B023
+            for p in chart.patterns if p.strip()
         ]
         out = series.withColumn("chart", F.explode(F.array_compact(F.array(*hits)))) if hits else series.where("false")
     else:

@@ -550,7 +550,8 @@ def chart_xy(spark, sf):
 @query("chart_groups", f"""
   SELECT p.pattern AS chart, c.unit AS axis_unit, r.entity, r.metric, count(*) AS points
   FROM ({RD}) r JOIN ({CHANNELS_SQL}) c ON r.metric = c.metric
-  JOIN (VALUES ('ch p'), ('click'), ('er')) p(pattern) ON contains(c.metric, p.pattern) OR contains(c.name, p.pattern)
+  JOIN (VALUES ('CH P'), ('click'), ('er')) p(pattern)
+    ON contains(c.metric, lower(p.pattern)) OR contains(c.name, lower(p.pattern))
   WHERE r.metric IN ('purchase', 'click', 'error') GROUP BY 1, 2, 3, 4""")
 def chart_groups(spark, sf):
     chart = ChartSpec(y_columns=("purchase", "click", "error"), group_mode="pattern", patterns=("CH P", "click", "er"))
