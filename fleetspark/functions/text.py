@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 from functools import cache
@@ -74,8 +75,6 @@ def normalize(c: str | Column) -> Column:
 
 def normalize_text(text: str) -> str:
     """:func:`normalize` for a parameter."""
-    import re
-
     s = unicodedata.normalize("NFKC", text or "").strip()
     return re.sub(SEPARATORS, "", re.sub(BRACKETS, " ", s)).lower()
 
@@ -125,8 +124,11 @@ def to_number(c: str | Column, reader: ReaderParams = ReaderParams()) -> Column:
     if reader.thousands:
         s = F.replace(s, F.lit(reader.thousands), F.lit(""))
     s = F.trim(F.replace(s, F.lit("　"), F.lit("")))
-    number = s.rlike(NUMBER) & ~s.isin(*reader.na_values)
-    return F.when(number, s).cast("double")
+    # most no-value tokens are no numbers anyway
+    for token in reader.na_values:
+        if re.match(NUMBER, token):
+            s = F.nullif(s, F.lit(token))
+    return F.regexp_extract(s, NUMBER, 0).try_cast("double")
 
 
 def parse_timestamp(c: str | Column) -> Column:
@@ -134,22 +136,12 @@ def parse_timestamp(c: str | Column) -> Column:
     s = F.trim(fold_width(c))
     for mark, sep in (("年", "-"), ("月", "-"), ("日", " "), ("時", ":"), ("分", ":"), ("秒", ""), ("/", "-"), ("T", " ")):
         s = F.replace(s, F.lit(mark), F.lit(sep))
-    s = F.regexp_replace(F.trim(s), r"[:\s]+$", "")
-    s = F.regexp_replace(s, r"\s+", " ")
+    s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    s = F.regexp_replace(F.regexp_replace(s, r"[:\s]+$", ""), r"\s+", " ")
     s = F.regexp_replace(s, r"(\.\d{6})\d+$", "$1")
-    date = r"^\d{4}-\d{1,2}-\d{1,2}"
-    forms = (
-        (date + r" \d{1,2}:\d{1,2}:\d{1,2}$", "y-M-d H:m:s"),
-        (date + r" \d{1,2}:\d{1,2}$", "y-M-d H:m"),
-        (date + r" \d{1,2}$", "y-M-d H"),
-        (date + "$", "y-M-d"),
-        (date + r" \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$", "y-M-d H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
-        (r"^\d{8}$", "yyyyMMdd"),
-    )
-    out = F.lit(None).cast("timestamp_ntz")
-    for shape, form in reversed(forms):
-        out = F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(form)).cast("timestamp_ntz")).otherwise(out)
-    return out
+    # anything of another shape becomes '', which is no timestamp
+    s = F.regexp_extract(s, r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?)?$", 0)
+    return F.try_to_timestamp(s, F.lit("y-M-d[ H[:m[:s[.SSSSSS]]]]")).cast("timestamp_ntz")
 
 
 def time_of_day_us(c: str | Column) -> Column:

@@ -159,8 +159,8 @@ def extract_entries(cells: DataFrame, params: DictionaryParams = DictionaryParam
     for marker in params.shared_markers:
         if normalize_text(marker):
             shared = shared | note.contains(normalize_text(marker))
-    # a dictionary is one small file
-    order = F.row_number().over(Window.partitionBy("file").orderBy("block", "row"))
+    # block by block, each from top to bottom
+    order = F.shiftleft(F.col("block").cast("long"), 40) + F.col("row")
     return rows.select("file", order.alias("ord"), "key", F.coalesce("name", empty).alias("name"), unit.alias("unit"),
                        F.coalesce("note", empty).alias("note"), F.coalesce("kind", empty).alias("kind"),
                        shared.alias("shared"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def pin_time_zone(spark: SparkSession) -> SparkSession:
@@ -15,12 +15,19 @@ def pin_time_zone(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where none is set."""
+    """The folder all executors share, as the cluster names it; a temporary one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fleetspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, for plans that use it several times."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
