@@ -57,7 +57,8 @@ def fold_width(c: str | Column) -> Column:
     """
     c = _col(c)
     plain, forms = _single_char_folds()
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, plain, forms)).otherwise(c)
+    # text with as many bytes as characters is plain already
+    return F.when(F.octet_length(c) != F.length(c), F.translate(c, plain, forms)).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -123,7 +124,7 @@ def to_number(c: str | Column, reader: ReaderParams = ReaderParams()) -> Column:
     s = fold_width(c)
     if reader.thousands:
         s = F.replace(s, F.lit(reader.thousands), F.lit(""))
-    s = F.trim(F.replace(s, F.lit("　"), F.lit("")))
+    s = F.trim(s)
     # most no-value tokens are no numbers anyway
     for token in reader.na_values:
         if re.match(NUMBER, token):
@@ -133,12 +134,11 @@ def to_number(c: str | Column, reader: ReaderParams = ReaderParams()) -> Column:
 
 def parse_timestamp(c: str | Column) -> Column:
     """A cell as a naive timestamp: Japanese, ISO and slash forms, null if it is none."""
-    s = F.trim(fold_width(c))
-    for mark, sep in (("年", "-"), ("月", "-"), ("日", " "), ("時", ":"), ("分", ":"), ("秒", ""), ("/", "-"), ("T", " ")):
-        s = F.replace(s, F.lit(mark), F.lit(sep))
-    s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    s = F.regexp_replace(F.regexp_replace(s, r"[:\s]+$", ""), r"\s+", " ")
-    s = F.regexp_replace(s, r"(\.\d{6})\d+$", "$1")
+    # the last character has no counterpart and goes
+    s = F.translate(fold_width(c), "年月日時分/T秒", "-- ::- ")
+    s = F.rtrim(F.ltrim(F.replace(s, F.lit("  "), F.lit(" "))), F.lit(": "))
+    s = F.when(F.length(s) == 8, F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(s)
+    s = F.when(F.length(s) > 26, F.regexp_replace(s, r"(\.\d{6})\d+$", "$1")).otherwise(s)
     # anything of another shape becomes '', which is no timestamp
     s = F.regexp_extract(s, r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?)?$", 0)
     return F.try_to_timestamp(s, F.lit("y-M-d[ H[:m[:s[.SSSSSS]]]]")).cast("timestamp_ntz")
@@ -146,12 +146,17 @@ def parse_timestamp(c: str | Column) -> Column:
 
 def time_of_day_us(c: str | Column) -> Column:
     """``H:MM[:SS]`` in microseconds."""
-    s = F.replace(F.trim(fold_width(c)), F.lit("："), F.lit(":"))
+    s = F.trim(fold_width(c))
     parts = F.split(s, ":")
-    ok = s.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$")
     seconds = (F.get(parts, F.lit(0)).cast("long") * 3600 + F.get(parts, F.lit(1)).cast("long") * 60
                + F.coalesce(F.get(parts, F.lit(2)), F.lit("0")).cast("long"))
-    return F.when(ok, seconds * 1_000_000)
+    return F.when(is_clock(c), seconds * 1_000_000)
+
+
+def is_clock(c: str | Column) -> Column:
+    """Whether a cell is a time of day. Long cells are ruled out before the pattern is tried."""
+    c = _col(c)
+    return F.when(F.length(c) <= 10, F.trim(fold_width(c)).rlike(r"^\d{1,2}:\d{2}(:\d{2})?$")).otherwise(False)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -18,6 +18,7 @@ from fleetspark.functions.text import (
     similarity,
     split_unit,
 )
+from fleetspark.operators.ordered import sized
 from fleetspark.params import DictionaryParams
 
 # Header words of the five families, strong key words, empty units.
@@ -67,7 +68,7 @@ def blocks(cells: DataFrame, params: DictionaryParams = DictionaryParams()) -> D
 
     A block starts at every key column and ends before the next.
     """
-    heads = cells.join(header_rows(cells), "file")
+    heads = cells.join(sized(header_rows(cells)), "file")
     header = heads.where(F.col("row") == F.col("header_row")).select(
         "file", "header_row", "col", F.trim("text").alias("head"))
     body = heads.where(F.col("row") > F.col("header_row")).select("file", "row", "col", "text")
@@ -82,6 +83,7 @@ def blocks(cells: DataFrame, params: DictionaryParams = DictionaryParams()) -> D
         .withColumn("fam", F.when(F.col("head") != "", family(F.col("_h"))))
         .fillna(0.0, ["code", "unitish"])
     )
+    heads = sized(heads)
     plain = (F.col("fam") == "key") & (F.col("code") >= 0.5)
     coded = F.coalesce(F.col("fam") == "name", F.lit(True)) & (F.col("code") >= 0.6) & (
         hint_score("_h", KEY_HINTS) > 0) & (F.col("head") != "")
@@ -268,9 +270,10 @@ def translate(headers: DataFrame, entry_rows: DataFrame, params: DictionaryParam
     the distinct headers the steps before left over. Result: file, raw, name, unit,
     note, kind, shared, matched, how.
     """
-    exact, norm = index(entry_rows)
+    # every step reads these again, so they are worked out once
+    exact, norm = (sized(part) for part in index(sized(entry_rows)))
     split = split_unit("raw")
-    asked = (
+    asked = sized(
         headers.select("file", F.trim("raw").alias("raw")).distinct()
         .withColumn("_n", normalize("raw")).withColumn("_own_unit", split["unit"])
         .withColumn("_own_name", split["name"]).withColumn("base", normalize(split["name"]))
@@ -282,7 +285,7 @@ def translate(headers: DataFrame, entry_rows: DataFrame, params: DictionaryParam
               ["file", "base"], "left")
     )
     left = direct.where("_e1 is null and _e2 is null and _e3 is null").select("file", "raw", "base", "_n")
-    subs = substring_matches(left, norm).withColumnRenamed("entry", "_e4")
+    subs = sized(substring_matches(left, norm).withColumnRenamed("entry", "_e4"))
     still = left.join(subs.select("file", "raw"), ["file", "raw"], "left_anti").select(
         "file", "raw", F.coalesce(F.nullif("base", F.lit("")), "_n").alias("text"))
     fuzzy = fuzzy_matches(still, norm, params.fuzzy_cutoff).select("file", "raw", F.col("entry").alias("_e5"))

@@ -21,6 +21,7 @@ from fleetspark.functions.timefn import duration_us, micros
 
 DEFAULT_CHUNK = "1 day"
 BLOCK_ROWS = 100_000
+SMALL_GROUP = 100_000
 
 
 def sized(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
@@ -261,13 +262,23 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Seque
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-                    name: str = "quantiles") -> DataFrame:
-    """Linear-interpolated quantiles per key as an array in the order of ``qs``."""
+                    name: str = "quantiles", small_group: int = SMALL_GROUP) -> DataFrame:
+    """Linear-interpolated quantiles per key as an array in the order of ``qs``.
+
+    Groups are counted first. If the largest fits in a task's memory, the built-in
+    aggregate does it in one pass, otherwise the values are cut up and ordered in parts.
+    """
+    data = df.where(F.col(value).isNotNull())
+    sizes = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= small_group:
+        return data.groupBy(*keys).agg(F.percentile(value, [float(q) for q in qs]).alias(name))
+
     def spot(q):
         return F.lit(q) * (F.col("n") - 1)
 
     ranks = [r for q in qs for r in (F.floor(spot(q)), F.ceil(spot(q)))]
-    found = values_at_ranks(df, keys, value, ranks, qs)
+    found = values_at_ranks(data, keys, value, ranks, qs)
 
     def at(q):
         lo, hi = (F.element_at("found", r(spot(q)).cast("long")) for r in (F.floor, F.ceil))

@@ -174,7 +174,7 @@ def metric_specs(layouts: DataFrame, channels: DataFrame, strip: bool = True) ->
     """
     fields = ["name", "unit", "note", "kind", "shared", "is_numeric", "include", "decimals", "matched"]
     no = F.coalesce(entity_number("entity"), F.lit("9" * 38).cast("decimal(38,0)"))
-    rows = layouts.where("role = 'unit'").select("raw", "entity", "metric").distinct().join(channels, "raw")
+    rows = layouts.where("role = 'unit'").select("raw", "entity", "metric").distinct().join(channels.select("raw", *fields), "raw")
     first = F.min_by(F.struct("entity", *fields), F.struct(~F.col("matched"), no, F.col("entity")))
     out = rows.groupBy("metric").agg(first.alias("_s")).select("metric", "_s.*")
     if strip:

@@ -36,6 +36,8 @@ def event_lines(spark, sf):
             ["PCS監視データ出力", "出力 2024", "計測日時,発電(kW),ID,種別", ",kW,no,typ"])]))
     heads = data.select("file").distinct().select("file", top.alias("_t")).select("file", "_t.seq", "_t.line")
     lines = heads.unionByName(data)
+    # as when files are read, a file's lines are together and the files are spread over the tasks
+    lines = lines.repartition("file")
     return lines.select("file", F.lit(0).cast("long").alias("block"), "seq", byte_text(F.col("line")).alias("raw"))
 
 

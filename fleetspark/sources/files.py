@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,8 +31,11 @@ def discover(spark: SparkSession, folder: str, globs: Sequence[str] = DATA_GLOBS
 
     In order of the patterns, then by name. File contents are not read.
     """
-    listing = spark.read.format("binaryFile").load(folder).select("path", "length")
-    listing = describe_paths(listing).where(~F.col("name").startswith("~$"))
+    found = spark.read.format("binaryFile").load(folder)
+    # the reader passes over empty files, its listing does not
+    paths = [unquote(re.sub("^file:/+", "file:/", p)) for p in found.inputFiles()]
+    listing = spark.createDataFrame([(p,) for p in paths], "path string").join(found.select("path", "length"), "path", "left")
+    listing = describe_paths(listing.fillna(0, ["length"])).where(~F.col("name").startswith("~$"))
     hit = F.lit(None).cast("int")
     for i in reversed(range(len(globs))):
         regex = "^" + globs[i].replace(".", r"\.").replace("*", ".*").replace("?", ".") + "$"

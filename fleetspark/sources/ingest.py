@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from fleetspark.functions.text import (
     CLOCK,
     cell_is_number,
     fold_width,
+    is_clock,
     looks_like_time,
     looks_like_unit,
     normalize,
@@ -50,6 +51,7 @@ SAMPLE_LINES = 40
 TIME_SAMPLE = 30
 CLOCK_SAMPLE = 20
 MAX_FILES_LOCAL = 200_000
+BLANKS = " \t\r\f\u3000\u00a0"
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,7 @@ def split_cells(line: Column, delimiter: Column, candidates: Sequence[str]) -> C
             c.startswith('"'), F.replace(F.regexp_replace(F.regexp_replace(c, '^"', ""), '"(?!")([^"]*)$', "$1"), F.lit('""'), F.lit('"'))
         ).otherwise(c))
         out = F.when(delimiter == d, F.when(line.contains('"'), bare).otherwise(plain)).otherwise(out)
-    return F.transform(out, lambda c: F.nullif(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit("")))
+    return F.transform(out, lambda c: F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit("")))
 
 
 def filled(cells: str | Column) -> Column:
@@ -229,7 +231,7 @@ def body_rows(lines: DataFrame, plan: DataFrame, reader: ReaderParams) -> DataFr
     rows = lines.join(plan, "file").where(
         (F.col("block") > 0) | (F.col("seq") >= F.col("start_seq")))
     # a row without a filled cell is told by its characters, so that cells are split only once
-    rows = rows.where(F.translate("raw", "".join(reader.delimiters) + ' \t"', "") != "")
+    rows = rows.where(F.btrim("raw", F.lit("".join(reader.delimiters) + ' \t\r"')) != "")
     rows = rows.withColumn("line", decode_line(known=reader.encodings))
     return rows.withColumn("cells", split_cells(F.col("line"), F.col("delimiter"), reader.delimiters)).drop("line", "raw")
 
@@ -250,11 +252,12 @@ def cell_statistics(body: DataFrame, reader: ReaderParams) -> DataFrame:
         .select("file", "_ts", "_at", F.explode(F.concat(row, cells)).alias("_c"))
         .select("file", "_ts", "_at", "_c.idx", "_c.text").where("text is not null")
     )
-    number, dated = to_number("text", reader).isNotNull(), F.col("_ts").isNotNull()
+    long = long.withColumn("_number", to_number("text", reader).isNotNull()).withColumn("_clock", is_clock("text"))
+    number, dated = F.col("_number"), F.col("_ts").isNotNull()
     return long.groupBy("file", "idx").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(number).alias("n_numbers"),
         F.count_if(dated).alias("n_dated"), F.count_if(number & dated).alias("n_dated_numbers"),
-        F.count_if(time_of_day_us("text").isNotNull()).alias("n_clock"),
+        F.count_if("_clock").alias("n_clock"),
         F.bool_and(F.pmod(micros("_ts"), F.lit(DAY_US)) < 60_000_000).alias("midnight"),
         F.min("_ts").alias("first_ts"), F.min_by("text", "_at").alias("first_text"))
 
@@ -374,12 +377,13 @@ def _readings(body: DataFrame, files: DataFrame, columns: DataFrame, reader: Rea
     clock = from_micros(micros("_ts") - F.pmod(micros("_ts"), F.lit(DAY_US)) + time_of_day_us(F.get("cells", F.col("_clock"))))
     rows = (
         body.select("file", "block", "seq", "cells").join(facts, "file")
-        .withColumn("_ts", ts).withColumn("ts", F.when(F.col("_clock").isNotNull(), clock).otherwise(F.col("_ts")))
-        # without a time column the rows stay, with no time; with one, unreadable times are no rows
-        .where(F.col("_time").isNull() | F.col("ts").isNotNull())
         .join(layouts, "layout")
+        .withColumn("_ts", ts).withColumn("ts", F.when(F.col("_clock").isNotNull(), clock).otherwise(F.col("_ts")))
     )
-    cell = F.explode(F.transform("cols", lambda c: F.struct(
+    # without a time column the rows stay, with no time; with one, unreadable times are no rows. Said inside the
+    # explode, since a filter would have the times parsed a second time
+    kept = F.when(F.col("_time").isNull() | F.col("ts").isNotNull(), F.col("cols"))
+    cell = F.explode(F.transform(kept, lambda c: F.struct(
         c["raw"].alias("metric"), c["is_numeric"].alias("is_numeric"), F.get(F.col("cells"), c["idx"]).alias("text"))))
     long = rows.select("file", "entity", "day", "ts", row_no().alias("row_no"), cell.alias("_c"))
     text = F.col("_c.text")
@@ -432,9 +436,12 @@ def ingest_files(spark: SparkSession, paths: Sequence[str], reader: ReaderParams
     wide = first.where(F.col("raw").startswith("ÿþ") | F.col("raw").startswith("þÿ")).select("file")
     # paths to read, as in any listing
     found = [r["file"] for r in wide.collect()]
-    if found:
-        lines = lines.where(~F.col("file").isin(*found)).unionByName(read_utf16_lines(spark, found))
-    return ingest(spark, lines, reader, identity, listing)
+    if not found:
+        return ingest(spark, lines, reader, identity, listing)
+    lines = lines.where(~F.col("file").isin(*found)).unionByName(read_utf16_lines(spark, found))
+    out = ingest(spark, lines, reader, identity, listing)
+    encoding = F.when(F.col("file").isin(*found), "utf-16").otherwise(F.col("encoding"))
+    return replace(out, files=out.files.withColumn("encoding", encoding))
 
 
 def dictionary_cells(spark: SparkSession, lines: DataFrame, reader: ReaderParams = ReaderParams()) -> DataFrame:
