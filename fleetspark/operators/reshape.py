@@ -80,7 +80,7 @@ def _entity_metric(raw: Column, pattern: str, groups: int) -> tuple[Column, Colu
     if groups > 1:
         metric = F.regexp_extract(raw, pattern, 2)
     else:
-        metric = F.regexp_replace(F.substr(raw, F.locate(entity, raw) + F.length(entity)), "^[_ ]+", "")
+        metric = F.regexp_replace(F.substr(raw, F.position(entity, raw) + F.length(entity)), "^[_ ]+", "")
     return entity, F.when(metric == "", raw).otherwise(metric)
 
 

@@ -17,8 +17,8 @@ SCHEMA = "file string, entity string, metric string, ts timestamp_ntz, value dou
 
 
 def rd(spark, rows, file="f"):
-    """(entity, metric, minute, value) as readings."""
-    data = [(file, e, m, T0 + dt.timedelta(minutes=t), None if v is None else float(v), i) for i, (e, m, t, v) in enumerate(rows)]
+    """(entity, metric, minute, value) as readings; the minute is the row."""
+    data = [(file, e, m, T0 + dt.timedelta(minutes=t), None if v is None else float(v), t) for e, m, t, v in rows]
     return spark.createDataFrame(data, SCHEMA)
 
 
@@ -148,7 +148,8 @@ def test_unit_table_without_irradiance(spark):
     (-0.9, -9, -9, "OK"), (None, -9, -9, "OK"), (-1.0, -2.0, -0.5, "DC side + inverter"), (-1.5, -2.0, -0.4, "DC side (array"),
     (-1.5, None, -0.5, "Inverter"), (-2.0, -1.9, None, "Unexplained"), (-1.5, -1.9, -0.4, "OK")])
 def test_verdict(spark, ac, dc, eff, want):
-    df = spark.createDataFrame([(ac, dc, eff)], "ac_vs_fleet_pct double, dc_vs_fleet_pct double, efficiency_vs_fleet_pt double")
+    row = tuple(None if x is None else float(x) for x in (ac, dc, eff))
+    df = spark.createDataFrame([row], "ac_vs_fleet_pct double, dc_vs_fleet_pct double, efficiency_vs_fleet_pt double")
     assert df.select(diagnostics.verdict()).first()[0].startswith(want)
 
 
