@@ -41,6 +41,24 @@ def chunk_no(ts: str, width: str) -> Column:
     return F.floor(micros(ts) / F.lit(duration_us(width))).cast("long")
 
 
+# widths a chunk may have, from wide to narrow
+CHUNK_WIDTHS = ("30 days", "1 day", "1 hour", "5 minutes", "10 seconds", "1 second", "10 ms")
+CHUNK_ROWS = 1_000_000
+
+
+def fit_chunk(df: DataFrame, keys: Sequence[str], ts: str = "ts", most_rows: int = CHUNK_ROWS) -> str:
+    """The widest chunk in which no series has more than ``most_rows`` rows.
+
+    For series whose density is not known. Each try is a count per series and
+    chunk, which is combined before it is shuffled.
+    """
+    for width in CHUNK_WIDTHS:
+        counts = df.groupBy(*keys, chunk_no(ts, width).alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"))
+        if (counts.agg(F.max("_n")).first()[0] or 0) <= most_rows:
+            break
+    return width
+
+
 def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     name: str = "row", chunk: str = DEFAULT_CHUNK) -> DataFrame:
     """1-based position of each row in its series."""
@@ -216,49 +234,66 @@ def nearest(probes: DataFrame, samples: DataFrame, keys: Sequence[str], value: s
     )
 
 
+def _histogram(rows: DataFrame, cuts: DataFrame, level: Sequence[str], bucket: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their bucket between the cuts, and the buckets that hold a wanted place."""
+    tagged = rows.join(cuts.select(*level, "_cuts"), [*level]).select(
+        *level, F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias(bucket), "_v")
+    upto = F.sum("_count").over(Window.partitionBy(*level).orderBy(bucket))
+    inside = F.filter("_want", lambda w: (w["place"] >= F.col("_low")) & (w["place"] < F.col("_low") + F.col("_count")))
+    targets = (
+        tagged.groupBy(*level, bucket).agg(F.count(F.lit(1)).alias("_count"))
+        .withColumn("_low", upto - F.col("_count"))
+        .join(cuts.select(*level, "n", "_want"), [*level])
+        .withColumn("_want", F.transform(inside, lambda w: F.struct(
+            w["rank"].alias("rank"), (w["place"] - F.col("_low")).alias("place"))))
+        .where(F.size("_want") > 0).select(*level, bucket, "n", "_count", "_want")
+    )
+    return tagged, sized(targets)
+
+
 def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Sequence[Column],
-                    probes: Sequence[float]) -> DataFrame:
+                    probes: Sequence[float], small_group: int = SMALL_GROUP) -> DataFrame:
     """Exact order statistics per key: ``keys``, ``n`` and ``found`` (rank -> value).
 
     ``ranks`` are 0-based ascending positions as expressions of ``n`` (the number
     of non-null values). Approximate percentiles only choose where to cut the
-    values into a few buckets; bucket sizes are counted exactly, and just the
-    buckets that hold a wanted rank are ordered. ``probes`` are the fractions
-    around which cuts are worth having.
+    values into buckets; bucket sizes are counted exactly. Buckets that hold a
+    wanted rank are cut up again until they are small or cutting no longer helps,
+    which means one value repeated; then they are ordered by distinct value.
+    ``probes`` are the fractions around which the first cuts are worth having.
     """
-    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    at = sorted({min(1.0, max(0.0, p + d)) for p in probes for d in (-0.01, -0.001, 0.0, 0.001, 0.01)})
-    cuts = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", at, 10_000).alias("_cuts"),
-        F.count("_v").alias("n"),
-    )
-    cuts = sized(cuts.withColumn("_ranks", F.array_distinct(F.array(*[r.cast("long") for r in ranks]))))
-    tagged = (
-        data.join(cuts.select(*keys, "_cuts"), [*keys])
-        .select(*keys, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_bucket"))
-    )
-    upto = F.sum("_count").over(Window.partitionBy(*keys).orderBy("_bucket"))
-    targets = (
-        tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_count"))
-        .withColumn("_upto", upto)
-        .join(cuts.select(*keys, "n", "_ranks"), [*keys])
-        .withColumn("_low", F.col("_upto") - F.col("_count"))
-        .withColumn("_want", F.filter("_ranks", lambda r: (r >= F.col("_low")) & (r < F.col("_upto"))))
-        .where(F.size("_want") > 0)
-        .select(*keys, "n", "_bucket", "_low", "_want")
-    )
-    targets = sized(targets)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    near = (-0.01, -0.001, -0.0002, 0.0, 0.0002, 0.001, 0.01)
+    at = sorted({min(1.0, max(0.0, p + d)) for p in probes for d in near})
+    want = F.transform(F.array_distinct(F.array(*[r.cast("long") for r in ranks])),
+                       lambda r: F.struct(r.alias("rank"), r.alias("place")))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", at, 10_000).alias("_cuts"), F.count("_v").alias("n"))
+    cuts = cuts.withColumn("_want", want)
+    level, before = list(keys), None
+    while True:
+        bucket = f"_b{len(level)}"
+        rows, targets = _histogram(rows, sized(cuts), level, bucket)
+        level.append(bucket)
+        largest = targets.agg(F.max("_count")).first()[0] or 0
+        if largest <= small_group or (before is not None and largest > before / 2):
+            break
+        before = largest
+        rows = rows.join(targets.select(*level), level, "left_semi")
+        cuts = rows.groupBy(*level).agg(F.percentile_approx("_v", [i / 256 for i in range(257)], 10_000).alias("_cuts"))
+        cuts = cuts.join(targets.select(*level, "n", "_want"), level)
+    inside = Window.partitionBy(*level).orderBy("_v")
+    upto = F.col("_upto")
     hits = (
-        tagged.join(targets, [*keys, "_bucket"])
-        .groupBy(*keys, "n", "_bucket", "_low", "_want", "_v").agg(F.count(F.lit(1)).alias("_count"))
-        .withColumn("_upto", F.sum("_count").over(inside) + F.col("_low"))
+        rows.join(targets.select(*level), level, "left_semi")
+        .groupBy(*level, "_v").agg(F.count(F.lit(1)).alias("_count"))
+        .withColumn("_upto", F.sum("_count").over(inside))
+        .join(targets.select(*level, "n", "_want"), level)
         .withColumn("_hit", F.explode(F.filter(
-            "_want", lambda r: (r >= F.col("_upto") - F.col("_count")) & (r < F.col("_upto")))))
+            "_want", lambda w: (w["place"] >= upto - F.col("_count")) & (w["place"] < upto))))
     )
     # at most one entry per wanted rank
     return hits.groupBy(*keys, "n").agg(
-        F.map_from_entries(F.collect_list(F.struct("_hit", "_v"))).alias("found"))
+        F.map_from_entries(F.collect_list(F.struct("_hit.rank", "_v"))).alias("found"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
@@ -278,7 +313,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
         return F.lit(q) * (F.col("n") - 1)
 
     ranks = [r for q in qs for r in (F.floor(spot(q)), F.ceil(spot(q)))]
-    found = values_at_ranks(data, keys, value, ranks, qs)
+    found = values_at_ranks(data, keys, value, ranks, qs, small_group)
 
     def at(q):
         lo, hi = (F.element_at("found", r(spot(q)).cast("long")) for r in (F.floor, F.ceil))

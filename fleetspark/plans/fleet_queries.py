@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions.timefn import from_micros, micros
 from fleetspark.operators import align, reshape, select, series
-from fleetspark.operators.ordered import nearest
+from fleetspark.operators.ordered import fit_chunk, nearest
 from fleetspark.params import ChartSpec, ColumnFilter
 from fleetspark.plans.registry import query
 from fleetspark.plans.views import (
@@ -427,7 +427,9 @@ THIN_SQL = """
 @query("thin_series", THIN_SQL.format(cols="row_no, entity, metric, value", keys="entity, metric", order="ts, row_no",
                                       limit=50, rows=f"({EV_SQL})"))
 def thin_series(spark, sf):
-    out = series.thin(raw_events(spark, sf), ["entity", "metric"], ["ts", "row_no"], 50)
+    ev = raw_events(spark, sf)
+    keys = ["entity", "metric"]
+    out = series.thin(ev, keys, ["ts", "row_no"], 50, fit_chunk(ev, keys))
     return out.select("row_no", "entity", "metric", "value", "step", "rows_total")
 
 
@@ -521,7 +523,8 @@ def nearest_sample(spark, sf):
         F.date_trunc("day", "first_ts").alias("lo"), F.col("last_ts").cast("timestamp").alias("hi"))
     hours = ends.select(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR")).alias("h")).scalar()
     probes = keys.withColumn("ts", F.explode(hours)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return shown(nearest(probes, ev, ["entity", "metric"], "value").select("entity", "metric", "ts", "value"))
+    chunk = fit_chunk(ev, ["entity", "metric"])
+    return shown(nearest(probes, ev, ["entity", "metric"], "value", chunk=chunk).select("entity", "metric", "ts", "value"))
 
 
 CHART = ChartSpec(title="Power", y_columns=("purchase", "click", "error"), entities=("U02", "U05"), max_points=20)

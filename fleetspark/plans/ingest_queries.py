@@ -139,14 +139,13 @@ def file_eligibility(spark, sf):
 
 
 @query("natural_file_order", """
-  SELECT name, row_number() OVER (ORDER BY k % 3, k) AS place
-  FROM (SELECT p_partkey AS k, substr('abc', (p_partkey % 3)::INT + 1, 1) || 'File' || p_partkey || '.csv' AS name FROM part)""")
+  SELECT p_partkey, substr('abc', (p_partkey % 3)::INT + 1, 1) || 'file|' || lpad(nullif(p_partkey, 0)::VARCHAR, 40, '0') || '|.csv' AS key
+  FROM part WHERE p_partkey > 0 UNION ALL SELECT 0, 'afile|' || repeat('0', 40) || '|.csv'""")
 def natural_file_order(spark, sf):
     k = F.col("p_partkey")
     name = F.concat(F.substr(F.lit("aBc"), (k % 3).cast("int") + 1, F.lit(1)), F.lit("File"), k.cast("string"), F.lit(".csv"))
-    out = fl.natural_order(table(spark, sf, "part").select(name.alias("name")))
-    return out.select(F.concat(F.lower(F.substr("name", F.lit(1), F.lit(1))), F.substr("name", F.lit(2), F.length("name"))).alias("name"),
-                      F.col("place").cast("long").alias("place"))
+    out = fl.natural_order(table(spark, sf, "part").select("p_partkey", name.alias("name")))
+    return out.select("p_partkey", F.array_join(fl.natural_key("name"), "|").alias("key"))
 
 
 # --- text functions ------------------------------------------------------------------- #

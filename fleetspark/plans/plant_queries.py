@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetspark.operators import diagnostics, reshape, summaries
 from fleetspark.operators import dictionary as dic
 from fleetspark.operators.align import row_interval
+from fleetspark.operators.ordered import fit_chunk
 from fleetspark.operators.select import cut_table
 from fleetspark.params import AnalysisParams
 from fleetspark.plans.fleet_queries import DF, MODAL_SQL, wide_layout_of
@@ -99,7 +100,7 @@ def unit_ranking(spark, sf):
 def zero_report(spark, sf):
     v = F.col("value")
     rows = raw_events(spark, sf).withColumn("value", F.when(v < 5, None).when(v < 20, 0.0).otherwise(v))
-    return summaries.zero_report(rows).drop("file")
+    return summaries.zero_report(rows, chunk=fit_chunk(rows, ["entity", "metric"])).drop("file")
 
 
 GAPS_SQL = """

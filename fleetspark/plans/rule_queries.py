@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetspark.operators import rules
 from fleetspark.operators.align import aligned, deviation
+from fleetspark.operators.ordered import fit_chunk
 from fleetspark.params import Rule
 from fleetspark.plans.fleet_queries import DEV_SQL
 from fleetspark.plans.registry import query
@@ -98,7 +99,9 @@ def rule_sigma(spark, sf):
 @query("rule_jump", """SELECT event_id, user_id, value FROM (
   SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE abs(value - p) > 150""")
 def rule_jump(spark, sf):
-    out = rules.with_jump_hit(table(spark, sf, "events"), Rule("jump", value2=150), "hit", ["user_id"], ["ts", "event_id"])
+    ev = table(spark, sf, "events")
+    chunk = fit_chunk(ev, ["user_id"])
+    out = rules.with_jump_hit(ev, Rule("jump", value2=150), "hit", ["user_id"], ["ts", "event_id"], chunk=chunk)
     return out.where("hit").select("event_id", "user_id", "value")
 
 
@@ -114,7 +117,8 @@ RUNS_SQL = """
     rows="(SELECT *, CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END AS flag FROM events)") + ") WHERE run_len >= 8")
 def rule_stuck(spark, sf):
     ev = table(spark, sf, "events").withColumn("flag", F.when(F.col("value") > 60, 1.0).otherwise(0.0))
-    out = rules.with_stuck_hit(ev, Rule("stuck", value2=8), "hit", ["user_id"], ["ts", "event_id"], "flag")
+    chunk = fit_chunk(ev, ["user_id"])
+    out = rules.with_stuck_hit(ev, Rule("stuck", value2=8), "hit", ["user_id"], ["ts", "event_id"], "flag", chunk)
     return out.where("hit").select("event_id", "user_id", "flag")
 
 
@@ -171,7 +175,8 @@ def flags_raw_events(spark, sf):
     v = F.when(F.col("value") < 30, None).when(F.col("value") < 40, 0.0).otherwise(F.round(F.col("value") / 20))
     rows = raw_events(spark, sf).withColumn("value", v)
     active = [Rule("zero"), Rule("blank", scope="all"), Rule("negative"), Rule("stuck", value2=4)]
-    return rules.collect_flags(rows, None, active, exclude=("zero",)).select("row_no", "rule", "value")
+    chunk = fit_chunk(rows, rules.SERIES)
+    return rules.collect_flags(rows, None, active, exclude=("zero",), chunk=chunk).select("row_no", "rule", "value")
 
 
 # --- scales -------------------------------------------------------------------- #

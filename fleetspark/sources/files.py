@@ -51,20 +51,16 @@ def discover(spark: SparkSession, folder: str, globs: Sequence[str] = DATA_GLOBS
 def natural_key(name: str | Column) -> Column:
     """Sort key under which digit runs compare as numbers and text ignores case."""
     name = F.col(name) if isinstance(name, str) else name
-    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
     keyed = F.transform(parts, lambda p: F.when(
-        p.rlike(r"^\d+$"), F.struct(F.lit(0).alias("text"), p.cast("decimal(38,0)").alias("number"), F.lit("").alias("word"))
-    ).otherwise(F.struct(F.lit(1).alias("text"), F.lit(0).cast("decimal(38,0)").alias("number"), F.lower(p).alias("word"))))
+        p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, "^0+", ""), 40, "0")).otherwise(p))
     # a name that starts with digits has an empty text before them
-    lead = F.array(F.struct(F.lit(1).alias("text"), F.lit(0).cast("decimal(38,0)").alias("number"), F.lit("").alias("word")))
-    return F.when(name.rlike(r"^\d"), F.concat(lead, keyed)).otherwise(keyed)
+    return F.when(name.rlike(r"^\d"), F.concat(F.array(F.lit("")), keyed)).otherwise(keyed)
 
 
 def natural_order(files: DataFrame, name: str = "name") -> DataFrame:
-    """Adds ``place``, the position by natural name order."""
-    # one row per file
-    order = Window.partitionBy(F.lit(1)).orderBy(natural_key(name), name)
-    return files.withColumn("place", F.row_number().over(order))
+    """Files in natural name order."""
+    return files.orderBy(natural_key(name), name)
 
 
 def eligible(listing: DataFrame, dictionary_path: str | None = None, output_suffix: str = "_cleaned",
@@ -82,15 +78,16 @@ def eligible(listing: DataFrame, dictionary_path: str | None = None, output_suff
         inside = F.col("path").startswith(out_dir.rstrip("/") + "/")
         reason = F.when(inside, "in the output folder").otherwise(reason)
     marked = listing.withColumn("skip_reason", reason)
-    same = Window.partitionBy("stem", F.col("skip_reason").isNull()).orderBy("pos")
-    twice = F.col("skip_reason").isNull() & (F.row_number().over(same) > 1)
-    first = F.first("name").over(same)
-    marked = marked.withColumn("skip_reason", F.when(
-        twice, F.concat(F.lit("same data as "), first)).otherwise(F.col("skip_reason")))
+    first = marked.where("skip_reason is null").groupBy("stem").agg(
+        F.min("pos").alias("_first"), F.min_by("name", "pos").alias("_name"))
+    twice = F.col("skip_reason").isNull() & (F.col("pos") > F.col("_first"))
+    marked = marked.join(first, "stem", "left").withColumn("skip_reason", F.when(
+        twice, F.concat(F.lit("same data as "), "_name")).otherwise(F.col("skip_reason"))).drop("_first", "_name")
     if limit:
-        kept = F.count_if(F.col("skip_reason").isNull()).over(Window.partitionBy(F.lit(1)).orderBy("pos"))
+        kept = marked.where("skip_reason is null").select("pos").orderBy("pos").limit(limit)
+        last = kept.agg(F.max("pos")).scalar()
         marked = marked.withColumn("skip_reason", F.when(
-            F.col("skip_reason").isNull() & (kept > limit), "beyond the limit").otherwise(F.col("skip_reason")))
+            F.col("skip_reason").isNull() & (F.col("pos") > last), "beyond the limit").otherwise(F.col("skip_reason")))
     return marked
 
 

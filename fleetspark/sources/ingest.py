@@ -64,9 +64,11 @@ class Ingested:
 def heads(lines: DataFrame) -> DataFrame:
     """The first lines of each file with ``r``, their 0-based number: at most 1000 and 200 kB."""
     by_place = Window.partitionBy("file").orderBy("seq")
+    # a limit on row_number itself is applied in each task before the shuffle
     first = (
         lines.where(F.col("block") == 0)
-        .withColumn("r", F.row_number().over(by_place) - 1).where(F.col("r") < HEAD_LINES)
+        .withColumn("_nth", F.row_number().over(by_place)).where(F.col("_nth") <= HEAD_LINES)
+        .withColumn("r", F.col("_nth") - 1).drop("_nth")
     )
     before = F.sum(F.length("raw")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     return first.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < HEAD_BYTES).drop("_before")

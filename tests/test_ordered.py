@@ -117,3 +117,21 @@ def test_sized(spark):
     df = spark.range(10)
     assert "LocalTableScan" in ordered.sized(df)._jdf.queryExecution().executedPlan().toString()
     assert ordered.sized(df, 9) is df
+
+
+def test_ranks_are_cut_up_until_buckets_are_small(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=20_000), np.zeros(10_000), rng.exponential(size=20_000)])
+    df = spark.createDataFrame(pd.DataFrame({"k": "hot", "v": values}))
+    n = len(values)
+    ranks = [0, 7, n // 3, n // 2, n - 2, n - 1]
+    out = ordered.values_at_ranks(df, ["k"], "v", [F.lit(r) for r in ranks], [0.0, 0.5], small_group=20).first()
+    ordered_values = np.sort(values)
+    assert out.n == n and out.found == {r: ordered_values[r] for r in ranks}
+
+
+def test_fit_chunk(spark):
+    df = spark.range(1000).select(F.lit("x").alias("k"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"))
+    assert ordered.fit_chunk(df, ["k"]) == "30 days"
+    assert ordered.fit_chunk(df, ["k"], most_rows=999) == "5 minutes"
+    assert ordered.fit_chunk(df, ["k"], most_rows=10) == "10 seconds"
