@@ -31,6 +31,7 @@ from fleetspark.params import (
     VERDICT_UNEXPLAINED,
     AnalysisParams,
 )
+from fleetspark.session import cut
 
 FILE_UNIT = ("file", "entity")
 
@@ -150,6 +151,8 @@ def unit_table(readings: DataFrame, roles: dict[str, str], params: AnalysisParam
         rows = rows.withColumn("good", F.when(F.col("has_irr"), F.col("stable")).otherwise(F.col("daylight")))
     else:
         rows = rows.withColumn("good", F.col("daylight"))
+    # the role channels are a small part of the readings, and four aggregates follow
+    rows = cut(rows.select(*FILE_UNIT, *order, "ac", "dc", "irr", "daylight", "good"))
 
     def lit_sum(c):
         return F.coalesce(F.sum(F.when(F.col("daylight"), F.col(c))), F.lit(0.0))
@@ -167,7 +170,7 @@ def unit_table(readings: DataFrame, roles: dict[str, str], params: AnalysisParam
     )).alias("_r")).select(*FILE_UNIT, "_r.what", "_r.x")
     medians = exact_quantiles(ratios, [*FILE_UNIT, "what"], "x", [0.5], "_q").groupBy(*FILE_UNIT).agg(*[
         F.max(F.when(F.col("what") == w, F.col("_q")[0])).alias(w) for w in ("eff", "dcg", "acg")])
-    hours = row_interval(readings, FILE_UNIT, chunk).select(
+    hours = row_interval(rows, FILE_UNIT, chunk).select(
         *FILE_UNIT, (F.col("interval_us") / float(HOUR_US)).alias("_hours"))
 
     cap = _capacity(params)
@@ -253,6 +256,7 @@ def availability(readings: DataFrame, roles: dict[str, str], params: AnalysisPar
         .groupBy("entity", "ts")
         .agg(F.min_by(F.struct("ac", "irr"), order).alias("_r")).select("entity", "ts", "_r.ac", "_r.irr")
     )
+    rows = cut(rows)
     instant = Window.partitionBy("ts")
     judged = rows.select(
         "entity", "ac",

@@ -250,9 +250,9 @@ def cell_statistics(body: DataFrame, reader: ReaderParams) -> DataFrame:
     row = F.array(F.struct(F.lit(ROW).alias("idx"), F.lit("").alias("text")))
     cells = F.transform("cells", lambda c, i: F.struct(i.alias("idx"), c.alias("text")))
     long = (
-        body.withColumn("_ts", ts).withColumn("_at", F.struct("_ts", row_no().alias("row_no")))
-        .select("file", "_ts", "_at", F.explode(F.concat(row, cells)).alias("_c"))
-        .select("file", "_ts", "_at", "_c.idx", "_c.text").where("text is not null")
+        body.withColumn("_ts", ts)
+        .select("file", "_ts", F.explode(F.concat(row, cells)).alias("_c"))
+        .select("file", "_ts", "_c.idx", "_c.text").where("text is not null")
     )
     long = long.withColumn("_number", to_number("text", reader).isNotNull()).withColumn("_clock", is_clock("text"))
     number, dated = F.col("_number"), F.col("_ts").isNotNull()
@@ -261,7 +261,15 @@ def cell_statistics(body: DataFrame, reader: ReaderParams) -> DataFrame:
         F.count_if(dated).alias("n_dated"), F.count_if(number & dated).alias("n_dated_numbers"),
         F.count_if("_clock").alias("n_clock"),
         F.bool_and(F.pmod(micros("_ts"), F.lit(DAY_US)) < 60_000_000).alias("midnight"),
-        F.min("_ts").alias("first_ts"), F.min_by("text", "_at").alias("first_text"))
+        F.min("_ts").alias("first_ts"))
+
+
+def unit_cells(body: DataFrame) -> DataFrame:
+    """The first filled cell of each file's unit column, by time."""
+    unit = F.get("cells", F.col("entity_idx"))
+    at = F.struct(parse_timestamp(F.get("cells", F.col("time_idx"))).alias("ts"), row_no().alias("row_no"))
+    return body.select("file", unit.alias("_unit"), at.alias("_at")).where("_unit is not null").groupBy("file").agg(
+        F.min_by("_unit", "_at").alias("entity_cell"))
 
 
 def _from_stem(pattern: str) -> Column:
@@ -314,7 +322,8 @@ def _ingest(lines: DataFrame, reader: ReaderParams, identity: IdentityParams, li
 
     body = body_rows(lines, plan, reader)
     stats = cut(cell_statistics(body, reader))
-    files = sized(_file_table(plan, stats, identity), MAX_FILES_LOCAL)
+    files = _file_table(plan, stats, unit_cells(body) if identity.entity_column else None, identity)
+    files = sized(files, MAX_FILES_LOCAL)
     columns = sized(_column_table(header, stats, files))
     readings = _readings(body, files, columns, reader)
     if identity.resample:
@@ -322,16 +331,15 @@ def _ingest(lines: DataFrame, reader: ReaderParams, identity: IdentityParams, li
     return Ingested(readings, _files_report(files, columns, listing, identity), columns)
 
 
-def _file_table(plan: DataFrame, stats: DataFrame, identity: IdentityParams) -> DataFrame:
+def _file_table(plan: DataFrame, stats: DataFrame, units: DataFrame | None, identity: IdentityParams) -> DataFrame:
     """A row per file with every decision: time and clock column, unit, day."""
     rows = stats.where(F.col("idx") == ROW).select(
         "file", F.col("n").alias("n_all"), "n_dated", "midnight", "first_ts")
     cells = stats.where(F.col("idx") != ROW).groupBy("file").agg(
         F.collect_set(F.when(F.col("n_clock") == F.col("n"), F.col("idx"))).alias("_clock_ok"), F.max("idx").alias("last_idx"))
     files = plan.join(rows, "file").join(cells, "file", "left")
-    if "entity_idx" in plan.columns:
-        units = stats.select("file", F.col("idx").alias("entity_idx"), F.col("first_text").alias("entity_cell"))
-        files = files.join(units, ["file", "entity_idx"], "left")
+    if units is not None:
+        files = files.join(units, "file", "left")
     good = F.col("time_idx").isNotNull() & (F.col("n_dated") / F.col("n_all") >= 0.5)
     # the first column that looks like times of day; it counts only if it can be read throughout
     clock = F.get(F.filter("clock_idxs", lambda i: i != F.col("time_idx")), F.lit(0))
@@ -356,7 +364,7 @@ def _column_table(header: DataFrame, stats: DataFrame, files: DataFrame) -> Data
     n = F.when(dated, F.col("n_dated")).otherwise(F.col("n"))
     numbers = F.when(dated, F.col("n_dated_numbers")).otherwise(F.col("n_numbers"))
     return (
-        named.join(stats.drop("midnight", "first_ts", "first_text", "n_clock"), ["file", "idx"], "left").fillna(0, ["n", "n_numbers", "n_dated", "n_dated_numbers"])
+        named.join(stats.drop("midnight", "first_ts", "n_clock"), ["file", "idx"], "left").fillna(0, ["n", "n_numbers", "n_dated", "n_dated_numbers"])
         .join(files.select("file", "time_idx"), "file")
         .withColumn("is_time", F.coalesce(F.col("idx") == F.col("time_idx"), F.lit(False)))
         .withColumn("is_numeric", ~F.col("is_time") & (n > 0) & (numbers / F.greatest(n, F.lit(1)) >= 0.8))
