@@ -20,6 +20,13 @@ from fleetspark.params import (
     DAYLIGHT_MIN,
     EFFICIENCY_MIN_DC,
     ENERGY_WORD,
+    FINDING_AC,
+    FINDING_DC,
+    FINDING_EFFICIENCY,
+    FINDING_LOST,
+    FINDING_MORE,
+    FINDING_NONE,
+    FINDING_VERDICT,
     ROLE_HINTS,
     VERDICT_AC_PCT,
     VERDICT_BOTH,
@@ -312,32 +319,25 @@ def findings(attr: DataFrame, avail: DataFrame | None = None, most: int = 6) ->
     place = F.row_number().over(_fleet().orderBy(F.col("ac_vs_fleet_pct"), "entity"))
     ranked = bad.withColumn("_place", place)
 
-    def part(c, form):
-        return F.when(F.col(c).isNotNull(), F.format_string(form, F.col(c))).otherwise("")
+    def part(c, form, digits):
+        return F.when(F.col(c).isNotNull(), F.format_string(form, F.round(c, digits))).otherwise("")
 
     worst = ranked.where(F.col("_place") <= most).select(
         F.col("_place").cast("long").alias("pos"),
         F.concat(
-            F.col("entity"), F.lit(": AC energy "), F.format_string("%+.1f", F.round("ac_vs_fleet_pct", 1)),
-            F.lit(" % vs fleet"),
-            F.when(F.col("dc_vs_fleet_pct").isNotNull(),
-                   F.format_string(", DC side %+.1f %%", F.round("dc_vs_fleet_pct", 1))).otherwise(""),
-            part("efficiency_vs_fleet_pt", ", efficiency %+.2f pt"),
-            F.lit(" -> "), F.split("verdict", " / ")[0]).alias("finding"))
+            F.format_string(FINDING_AC, "entity", F.round("ac_vs_fleet_pct", 1)),
+            part("dc_vs_fleet_pct", FINDING_DC, 1), part("efficiency_vs_fleet_pt", FINDING_EFFICIENCY, 2),
+            F.format_string(FINDING_VERDICT, F.split("verdict", " / ")[0])).alias("finding"))
     counts = attr.groupBy().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") != VERDICT_OK).alias("bad"))
     rest = counts.select(
         F.lit(1000).cast("long").alias("pos"),
-        F.when((F.col("bad") == 0) & (F.col("n") > 0), "Every unit tracks the fleet median.")
-        .when(F.col("bad") > most, F.concat(
-            (F.col("bad") - most).cast("string"), F.lit(" more unit(s) are below the fleet - see the table.")))
+        F.when((F.col("bad") == 0) & (F.col("n") > 0), FINDING_NONE)
+        .when(F.col("bad") > most, F.format_string(FINDING_MORE, F.col("bad") - most))
         .alias("finding")).where(F.col("finding").isNotNull())
     out = worst.unionByName(rest)
     if avail is not None:
         lost = avail.where((F.col("rank") == 1) & (F.col("lost_kwh") > 0)).select(
             F.lit(2000).cast("long").alias("pos"),
-            F.concat(
-                F.col("entity"), F.lit(": "), F.col("zero_output").cast("string"),
-                F.lit(" minute(s) with no output under usable light, about "),
-                F.format_string("%.0f", F.round("lost_kwh", 0)), F.lit(" kWh lost.")).alias("finding"))
+            F.format_string(FINDING_LOST, "entity", "zero_output", F.round("lost_kwh", 0)).alias("finding"))
         out = out.unionByName(lost)
     return out

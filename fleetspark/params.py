@@ -52,6 +52,23 @@ VERDICT_UNEXPLAINED = (
     "Unexplained - check curtailment and downtime / 原因不明（出力制御・停止を確認）"
 )
 
+# Sentences of the findings, filled in by format_string.
+FINDING_AC = "%s: AC energy %+.1f %% vs fleet"
+FINDING_DC = ", DC side %+.1f %%"
+FINDING_EFFICIENCY = ", efficiency %+.2f pt"
+FINDING_VERDICT = " -> %s"
+FINDING_MORE = "%d more unit(s) are below the fleet - see the table."
+FINDING_NONE = "Every unit tracks the fleet median."
+FINDING_LOST = "%s: %d minute(s) with no output under usable light, about %.0f kWh lost."
+
+# Notes on how a file was read.
+NOTE_UNIT_ROW = "unit row detected below the header"
+NOTE_MULTI_ROW = "multi-row header combined"
+NOTE_EMPTY = "dropped %d empty column(s)"
+NOTE_POOR_TIME = "timestamp column '%s' parsed poorly (%d%%) - kept as text"
+NOTE_CLOCK = "merged time-of-day column '%s' into the timestamp"
+NOTE_RESAMPLED = "resampled to %s"
+
 # Kinds whose readings are already amounts per interval.
 DELTA_MARKERS = ("差分", "diff")
 

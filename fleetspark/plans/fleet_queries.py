@@ -11,6 +11,7 @@ from fleetspark.params import ChartSpec, ColumnFilter
 from fleetspark.plans.registry import query
 from fleetspark.plans.views import (
     CHANNELS_SQL,
+    ENTITIES,
     EV_SQL,
     METRICS,
     WIDE_CELLS_SQL,
@@ -26,6 +27,7 @@ from fleetspark.plans.views import (
     table,
     wide,
 )
+from fleetspark.sinks import tables as sinks
 
 RD, R6 = readings_sql(), readings_sql("6 hours")
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
@@ -570,6 +572,20 @@ def overlay(spark, sf):
                                 fleet_channels(spark, sf).where("metric = 'error'")))
 
 
+@query("cleaned_readings", f"""SELECT r.entity, strftime(r.ts, {FORMAT}) AS ts, c.name, c.unit, r.metric AS raw, r.value
+  FROM ({RD}) r JOIN ({CHANNELS_SQL}) c ON r.metric = c.metric WHERE c.include""")
+def cleaned_readings(spark, sf):
+    rows = readings(spark, sf).withColumn("day", F.to_date("ts")).withColumn("text", F.lit(None).cast("string"))
+    return shown(sinks.cleaned(rows, channels(spark, sf)).select("entity", "ts", "name", "unit", "raw", "value"))
+
+
+@query("view_table", f"""SELECT {TS}, {', '.join(f"max(value) FILTER (entity = '{e}') AS {e}" for e in ENTITIES)} FROM ({RD})
+  WHERE metric = 'view' AND ts >= TIMESTAMP '2024-01-10' AND strftime(ts, '%Y-%m-%d') IN ('2024-01-05', '2024-01-12', '2024-01-20')
+  GROUP BY ts""")
+def view_table(spark, sf):
+    return sinks.view_csv(values(spark, sf), "view", ENTITIES, days=["2024-01-05", "2024-01-12", "2024-01-20"], lo="2024-01-10 00:00:00")
+
+
 @query("bucket_grid", "SELECT event_id, strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y-%m-%d %H:%M:%S') AS bin FROM events")
 def bucket_grid(spark, sf):
     width = 15 * 60_000_000

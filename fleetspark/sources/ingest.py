@@ -32,7 +32,16 @@ from fleetspark.functions.text import (
 from fleetspark.functions.timefn import DAY_US, from_micros, micros
 from fleetspark.operators.align import resample
 from fleetspark.operators.ordered import sized
-from fleetspark.params import IdentityParams, ReaderParams
+from fleetspark.params import (
+    NOTE_CLOCK,
+    NOTE_EMPTY,
+    NOTE_MULTI_ROW,
+    NOTE_POOR_TIME,
+    NOTE_RESAMPLED,
+    NOTE_UNIT_ROW,
+    IdentityParams,
+    ReaderParams,
+)
 from fleetspark.session import cut
 from fleetspark.sources.files import describe_paths
 from fleetspark.sources.lines import (
@@ -416,15 +425,13 @@ def _files_report(files: DataFrame, columns: DataFrame, listing: DataFrame | Non
     name = F.element_at("_names", F.col("tried_idx"))
     clock = F.element_at("_names", F.col("clock_idx"))
     notes = F.array_compact(F.array(
-        F.when(F.col("_units") > 0, "unit row detected below the header"),
-        F.when(F.col("_extra") > 0, "multi-row header combined"),
-        F.when(F.col("_empty") > 0, F.format_string("dropped %d empty column(s)", "_empty")),
-        F.when(F.col("tried_idx").isNotNull() & F.col("time_idx").isNull(), F.concat(
-            F.lit("timestamp column '"), name, F.lit("' parsed poorly ("),
-            F.round(F.col("parsed_share") * 100, 0).cast("int").cast("string"), F.lit("%) - kept as text"))),
-        F.when(F.col("clock_idx").isNotNull(), F.concat(
-            F.lit("merged time-of-day column '"), clock, F.lit("' into the timestamp"))),
-        F.lit(f"resampled to {identity.resample}") if identity.resample else F.lit(None).cast("string"),
+        F.when(F.col("_units") > 0, NOTE_UNIT_ROW),
+        F.when(F.col("_extra") > 0, NOTE_MULTI_ROW),
+        F.when(F.col("_empty") > 0, F.format_string(NOTE_EMPTY, "_empty")),
+        F.when(F.col("tried_idx").isNotNull() & F.col("time_idx").isNull(), F.format_string(
+            NOTE_POOR_TIME, name, F.round(F.col("parsed_share") * 100, 0).cast("int"))),
+        F.when(F.col("clock_idx").isNotNull(), F.format_string(NOTE_CLOCK, clock)),
+        F.lit(NOTE_RESAMPLED % identity.resample) if identity.resample else F.lit(None).cast("string"),
     ))
     out = out.select(
         "file", "entity", "day", F.when(F.col("time_idx").isNotNull(), F.col("n_dated")).otherwise(F.col("n_all")).alias("n_rows"),
