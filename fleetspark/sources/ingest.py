@@ -159,6 +159,9 @@ def detect_layout(rows: DataFrame, reader: ReaderParams = ReaderParams()) -> Dat
     Windows hold the head of one file.
     """
     head = Window.partitionBy("file")
+    if reader.header_row is None:
+        # data starts here or nowhere; one row more tells whether the last of them is followed by data
+        rows = rows.where(F.col("r") <= SCAN_ROWS + 8)
     judged = rows.select("file", "r", filled("cells").alias("w"), is_data_row().alias("data"))
     if reader.header_row is not None:
         header = F.least(F.lit(max(0, reader.header_row)), F.max("r").over(head))
