@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -9,12 +10,15 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def make_session():
     from pyspark.sql import SparkSession
 
+    shared = tempfile.mkdtemp(prefix="fleetspark-tests-")
     spark = (
         SparkSession.builder.master("local[8]").appName("fleetspark-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"{shared}/checkpoints")
+        .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
