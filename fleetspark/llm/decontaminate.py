@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.llm.keys import row_key
+from fleetspark.llm.keys import packed, row_key
 from fleetspark.llm.words import LETTER_OR_DIGIT, chunks, marks_of, shingle_hashes, word_hashes
 from fleetspark.session import cut
 
@@ -167,3 +167,10 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     return (docs.join(words, "row_key", "left").join(which, "row_key", "left")
             .select("row_key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("item_ids", none).alias("item_ids")))
+
+
+def clean_documents(documents: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``documents`` that hold no window of any item, as they are."""
+    _, found = find_windows(documents, items, window, shingle)
+    keyed = packed(documents).withColumn("row_key", row_key())
+    return keyed.join(found.select("row_key").distinct(), "row_key", "left_anti").select("row.*")

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.llm.graph import components
-from fleetspark.llm.keys import row_key
+from fleetspark.llm.keys import packed, row_key
 from fleetspark.llm.words import NOT_SPACE, chunks, marks_of, mix, shingle_hashes, word_hashes
 from fleetspark.session import cut
 
@@ -219,7 +219,7 @@ def partner_pairs(lists: DataFrame, similarity: int, partners: int) -> DataFrame
 
 def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARITY, stripe: int = STRIPE,
                    count_bits: int = COUNT_BITS) -> DataFrame:
-    """key, doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    """key, doc_id, n_shingles, grp (null without n-grams), component_id of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = described(docs, gram, similarity, count_bits)
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low"))
@@ -255,9 +255,20 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARI
         partners *= MORE_PARTNERS
     named = classes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("c1", "c2", "component_id")
+    named = named.join(lowest, "root").select("c1", "c2", F.col("root").alias("grp"), "component_id")
     return (rows.select("key", "doc_id", F.col("n").alias("n_shingles"), "c1", "c2").join(named, ["c1", "c2"], "left")
-            .select("key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+            .select("key", "doc_id", "n_shingles", "grp", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def one_of_each_group(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without n-grams, and of each group the one with the smallest doc_id (null ids last), as they are."""
+    groups = cut(similar_groups(docs, gram, similarity))
+    first = groups.where("grp is not null").groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"))
+    kept = first.select("first.key", F.lit(True).alias("once")).union(groups.where("grp is null").select("key", F.lit(False)).distinct())
+    rows = packed(docs).withColumn("key", row_key()).join(kept, "key")
+    # repeated rows have one key; the join has put them side by side
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return rows.withColumn("rank", rank).where(~F.col("once") | (F.col("rank") == 1)).select("row.*")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, identity: DataFrame, gram: int, similarity: int) -> DataFrame:

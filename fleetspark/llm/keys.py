@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,3 +10,8 @@ def row_key() -> Column:
     """MD5 of doc_id and text; null ids and texts have their own sign."""
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"),
                           F.coalesce(F.concat(F.lit("t"), F.col("text").cast("string")), F.lit("null"))))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``), doc_id and text: whatever other columns are called, none is in the way."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetspark.llm.keys import packed
+
 CONTEXT = 40
 MIN_SCORE = 0.6
 CHECKED, SUPPORTED, DOUBTED = 0.3, 0.3, -0.2
@@ -127,27 +129,31 @@ def _spans(kind: Kind, text: Column) -> Column:
     return F.when(there, spans).otherwise(F.array().cast(SPANS))
 
 
-def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` and an array of spans (kind, start, end, score), by kind as in ``KINDS`` and then by start."""
-    plain = docs.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("pii_text"))
+def find_pii(docs: DataFrame) -> DataFrame:
+    """``docs`` (with a column text) and pii: an array of spans (kind, start, end, score), by kind as in ``KINDS`` and then
+    by start."""
+    plain = docs.withColumn("pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     plain = plain.withColumn("has_digit", F.col("pii_text").rlike("[0-9]"))
-    found = plain.withColumn(out, F.concat(*(_spans(k, F.col("pii_text")) for k in KINDS)))
+    found = plain.withColumn("pii", F.concat(*(_spans(k, F.col("pii_text")) for k in KINDS)))
     return found.drop("pii_text", "has_digit")
 
 
-def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; of spans that overlap the first, and the longest, counts."""
-    found = find_pii(docs, text, "pii_spans")
-    ordered = F.sort_array(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+def mask_pii(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of text replaced by its kind in brackets, and n_chars, where there, counted anew. Of spans
+    that overlap the first, and the longest of those, counts."""
+    found = find_pii(packed(docs))
+    ordered = F.sort_array(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
     def step(acc, s):
-        kept = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
+        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         return F.when(s["start"] >= acc["at"], F.struct(
-            (-s["back"]).alias("at"), F.concat(acc["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(acc)
+            (-s["back"]).alias("at"), F.concat(acc["out"], before, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))).otherwise(acc)
 
     folded = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, folded).otherwise(F.col(text))).drop("pii_spans")
+                         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    found = found.withColumn("masked", F.when(F.size("pii") > 0, folded).otherwise(F.col("text")))
+    new = {"text": F.col("masked")} | ({"n_chars": F.length("masked").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def digest(spans: Column) -> Column:

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetspark.llm.keys import packed
+
 MIN_TEXT_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -80,10 +82,10 @@ def _shares(counts: Column, total: Column) -> Column:
     return _let(F.transform(counts, lambda n: n / F.greatest(total, F.lit(1))), with_rest)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and, of every text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance,
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` (with a column text, and none whose name begins with q_) and, of every text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance,
     word_distance."""
-    out = docs.withColumn("q_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    out = docs.withColumn("q_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = out.withColumn("q_flat", F.translate("q_text", "\t\n\x0b\x0c\r", "     "))
     out = out.withColumn("q_words", F.array_remove(F.split("q_flat", " "), ""))
     blank = F.lit(" \t\n\x0b\x0c\r")
@@ -111,7 +113,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         counts = F.transform(F.array(*(F.lit(_COMMON.index(w)) for w in words)), lambda i: F.get("q_counts", i))
         distances.append(_distance(_shares(counts, F.col("n_words")), [*words.values(), 1 - sum(words.values())]))
     out = out.withColumn("word_distance", F.when(F.col("n_words") > 0, F.least(*distances)))
-    return out.drop(*(c for c in out.columns if c.startswith("q_") and c not in docs.columns))
+    return out.drop(*(c for c in out.columns if c.startswith("q_")))
 
 
 def base_failed() -> Column:
@@ -132,5 +134,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def good_texts(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, as they are."""
-    columns = docs.columns
-    return measured(docs).where(~base_failed() & verdict()).select(*columns)
+    judged = measured(packed(docs)).select("row", (~base_failed() & verdict()).alias("kept"), F.monotonically_increasing_id().alias("number"))
+    # the row number keeps the filter above: pushed down, it would hold every expression as often as it is referred to
+    return judged.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import decontaminate, jaccard, pii, quality
+from fleetspark.llm import bpe, decontaminate, jaccard, pieces, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +32,11 @@ def op1_pii(spark, sf_dir):
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+@query("op2_tokens")
+def op2_tokens(spark, sf_dir):
+    return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op5_quality")
 def op5_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
@@ -47,3 +53,9 @@ def op6_decontamination(spark, sf_dir):
 @query("op7_jaccard")
 def op7_jaccard(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_pieces")
+def op8_pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
