@@ -15,10 +15,13 @@ class Recent(dict):
         if len(self) > self.limit // 2:
             self.older = dict(self)
             self.clear()
-        unknown = keys - self.keys()
+        unknown = {k for k in keys if k not in self}
         if self.older and unknown:
-            again = unknown & self.older.keys()
             older = self.older
+            again = {k for k in unknown if k in older}
             self.update((k, older[k]) for k in again)
             unknown -= again
         return unknown
+
+    def __reduce__(self):
+        return Recent, (self.limit,)

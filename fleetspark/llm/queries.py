@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import bpe, decontaminate, jaccard, pieces, pii, quality
+from fleetspark.llm import bpe, chat, decontaminate, jaccard, pieces, pii, quality, shards, toxicity, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,16 @@ def op2_tokens(spark, sf_dir):
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op3_chat")
+def op3_chat(spark, sf_dir):
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op4_web_text")
+def op4_web_text(spark, sf_dir):
+    return webtext.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op5_quality")
 def op5_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
@@ -59,3 +69,14 @@ def op7_jaccard(spark, sf_dir):
 def op8_pieces(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    found = toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "sentences")
+
+
+@query("op10_shards")
+def op10_shards(spark, sf_dir):
+    return shards.sharded_documents(table(spark, sf_dir, "documents"))
