@@ -2,7 +2,7 @@
 
 Lines are observed; hidden is whose turn a line belongs to, and whether it begins it. A state emits a speaker marker or none
 ("User:", "### Assistant", "[system]", "Q:" ...), whether a blank line stands before, how long the line is and whether it
-ends in a question mark. Transitions between turns and the make-up of lines are counted in all conversations with known
+ends in a question mark; a transcript marks its speakers throughout or not at all. Transitions between turns and the make-up of lines are counted in all conversations with known
 roles; what markers look like is fixed. The Viterbi path gives the turns, markers are taken off, and turns are rendered as
 
     <|im_start|>role
@@ -42,10 +42,10 @@ MARKER = re.compile(
     rf"\s*(?:#{{1,6}}\s*(?P<head>{_NAME})\s*:?\s*$|#{{1,6}}\s*(?P<hash>{_NAME})\s*:\s*|[\[(<]\|?(?P<box>{_NAME})\|?[\])>]\s*:?\s*"
     rf"|\*\*(?P<bold>{_NAME})\s*:?\s*\*\*\s*:?\s*|(?P<plain>{_NAME})\s*[:>]\s+|(?P<alone>{_NAME})\s*:\s*$)", re.IGNORECASE)
 
-#: How often a line that begins a turn has its speaker's marker, another's, or none, and a line inside a turn;
-#: how often a blank line stands before either.
-MARKED, MISMARKED, MARKED_INSIDE = 0.60, 0.002, 0.004
-BLANK_BEFORE, BLANK_INSIDE = 0.30, 0.02
+#: Fixed values, for transcripts that mark their speakers and for others: how often a line that begins a turn has a marker,
+#: how often that is another speaker's, how often a line inside a turn seems to have one; how often a blank line stands before
+#: either.
+STYLES = {"marked": (0.98, 1e-6, 0.0005, 0.5, 0.2), "bare": (0.01, 0.003, 0.01, 0.9, 0.05)}
 #: Upper ends of the classes of line length.
 LENGTHS = [40, 120, 400]
 
@@ -75,34 +75,38 @@ class Model:
     step: np.ndarray
     lines: np.ndarray
 
-    def emission(self, line: str, blank: bool) -> np.ndarray:
+    def emission(self, line: str, blank: bool, style: str) -> np.ndarray:
+        marked, other, marked_inside, blank_before, blank_inside = STYLES[style]
         role, _ = marker_of(line)
         out = self.lines[:, line_class(line)].copy()
         for i, name in enumerate(ROLES):
-            first = 1 - MARKED - 2 * MISMARKED if role is None else MARKED if role == name else MISMARKED
-            inside = 1 - MARKED_INSIDE if role is None else MARKED_INSIDE / 3
-            out[i] += math.log(first) + math.log(BLANK_BEFORE if blank else 1 - BLANK_BEFORE)
-            out[3 + i] += math.log(inside) + math.log(BLANK_INSIDE if blank else 1 - BLANK_INSIDE)
+            first = 1 - marked - 2 * other if role is None else marked if role == name else other
+            inside = 1 - marked_inside if role is None else marked_inside / 3
+            out[i] += math.log(first) + math.log(blank_before if blank else 1 - blank_before)
+            out[3 + i] += math.log(inside) + math.log(blank_inside if blank else 1 - blank_inside)
         return out
 
-    def turns(self, transcript: str | None) -> list[tuple[str, str]]:
-        """(role, text) of each turn, by the most likely path."""
-        raw = (transcript or "").split("\n")
-        lines = [(i, line) for i, line in enumerate(raw) if line.strip()]
-        if not lines:
-            return []
-        score, back, blank = self.start + self.emission(lines[0][1], False), [], 0
+    def path(self, lines: list[tuple[int, str]], style: str) -> tuple[float, list[int]]:
+        """Log probability and states of the most likely path."""
+        score, back = self.start + self.emission(lines[0][1], True, style), []
         for k in range(1, len(lines)):
             ways = score[:, None] + self.step
             best = ways.argmax(0)
             back.append(best)
-            score = ways[best, range(6)] + self.emission(lines[k][1], lines[k][0] > lines[k - 1][0] + 1)
-        state, path = int(score.argmax()), []
-        for best in [*back[::-1], None]:
-            path.append(state)
-            state = int(best[state]) if best is not None else state
+            score = ways[best, range(6)] + self.emission(lines[k][1], lines[k][0] > lines[k - 1][0] + 1, style)
+        states = [int(score.argmax())]
+        for best in back[::-1]:
+            states.append(int(best[states[-1]]))
+        return float(score.max()), states[::-1]
+
+    def turns(self, transcript: str | None) -> list[tuple[str, str]]:
+        """(role, text) of each turn, by the most likely path in the more likely style."""
+        lines = [(i, line) for i, line in enumerate((transcript or "").split("\n")) if line.strip()]
+        if not lines:
+            return []
+        _, states = max(self.path(lines, style) for style in STYLES)
         out: list[tuple[str, list[str]]] = []
-        for k, (state, (i, line)) in enumerate(zip(path[::-1], lines, strict=True)):
+        for k, (state, (i, line)) in enumerate(zip(states, lines, strict=True)):
             if state < 3 or not out:
                 out.append((ROLES[state % 3], [line[marker_of(line)[1]:]]))
             else:
@@ -123,7 +127,8 @@ def fit(conversations: DataFrame) -> Model:
         "conv_id", F.col("turn").cast("long").alias("turn"), known_role().alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     lines = (turns.select("role", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("at", "line"))
              .groupBy("role", F.least("at", F.lit(1)).alias("later"), line_class(F.col("line")).alias("class")).agg(F.count("*").alias("n")).collect())
-    first = turns.groupBy("turn", "role").agg(F.count("*").alias("n")).where("turn = 0").collect()
+    first = (turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("first")).groupBy(F.col("first.role").alias("role"))
+             .agg(F.count("*").alias("n")).collect())
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
     pairs = turns.select("conv_id", "turn", "role").join(after, ["conv_id", "turn"]).groupBy("role", "next").agg(F.count("*").alias("n")).collect()
     at = {r: i for i, r in enumerate(ROLES)}

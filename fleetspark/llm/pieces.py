@@ -14,7 +14,8 @@ a unigram model it weighs its negative log probability and any piece may follow
 another character, so the composed machine goes through a single state before each space that follows a character: inputs
 are cut there, and stretches met lately are remembered.
 
-Defined results: null is an empty text, of no pieces; decoding gives the text that was encoded, for every text.
+Defined results: null is an empty text, of no pieces; decoding gives the text that was encoded, but for the sign itself, of
+which the model makes a space.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ def test_stages(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = sorted(r["doc_id"] for r in out)
-    assert 20 in ids and 1 in ids and 21 not in ids and ids.count(1) == 1 and 2 not in ids and 8 not in ids
+    # the loud text is too short to be judged by its characters
+    assert ids == [1, 8, 20]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for r in out:
         assert r["piece_ids"] == library.encode(r["text"]) and r["n_chars"] == len(r["text"])
