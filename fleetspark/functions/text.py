@@ -61,6 +61,20 @@ def fold_width(c: str | Column) -> Column:
     return F.when(F.octet_length(c) != F.length(c), F.translate(c, plain, forms)).otherwise(c)
 
 
+@cache
+def _unit_signs() -> list[tuple[str, str]]:
+    """Signs that stand for a whole unit, and the units."""
+    return [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x3371, 0x33E0)]
+
+
+def fold_units(c: str | Column) -> Column:
+    """:func:`fold_width`, and signs that stand for a whole unit written out."""
+    c = out = _col(c)
+    for sign, unit in _unit_signs():
+        out = F.replace(out, F.lit(sign), F.lit(unit))
+    return fold_width(F.when(c.rlike("[\u3371-\u33df]"), out).otherwise(c))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Full NFKC. For headers and dictionaries, which are small; readings use :func:`fold_width`."""
@@ -91,8 +105,9 @@ def split_unit(c: str | Column) -> Column:
 
 def looks_like_unit(c: str | Column) -> Column:
     s = F.trim(F.coalesce(_col(c), F.lit("")))
-    word = F.lower(fold_width(s)).isin(*UNIT_WORDS)
-    return (s != "") & ~s.isin("-", "--") & (F.length(s) <= 12) & (word | s.rlike(UNIT_SYMBOL))
+    written = fold_units(s)
+    word = F.lower(written).isin(*UNIT_WORDS)
+    return (s != "") & ~s.isin("-", "--") & (F.length(s) <= 12) & (word | written.rlike(UNIT_SYMBOL))
 
 
 def strip_entity(name: str | Column, entity: str | Column) -> Column:
@@ -133,15 +148,23 @@ def to_number(c: str | Column, reader: ReaderParams = ReaderParams()) -> Column:
 
 
 def parse_timestamp(c: str | Column) -> Column:
-    """A cell as a naive timestamp: Japanese, ISO and slash forms, null if it is none."""
+    """A cell as a naive timestamp: Japanese, ISO and slash forms, AM and PM; null if it is none.
+
+    Times are local as they are written: an offset from UTC, or Z, is left out.
+    """
     # the last character has no counterpart and goes
     s = F.translate(fold_width(c), "年月日時分/T秒", "-- ::- ")
     s = F.rtrim(F.ltrim(F.replace(s, F.lit("  "), F.lit(" "))), F.lit(": "))
     s = F.when(F.length(s) == 8, F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(s)
-    s = F.when(F.length(s) > 26, F.regexp_replace(s, r"(\.\d{6})\d+$", "$1")).otherwise(s)
+    s = F.regexp_replace(s, r"(:\d{2}(?:\.\d+)?)\s*(?:[Zz]|[+-]\d{2}:?\d{2})$", "$1")
+    s = F.when(F.length(s) > 26, F.regexp_replace(s, r"(\.\d{6})\d+", "$1")).otherwise(s)
     # anything of another shape becomes '', which is no timestamp
-    s = F.regexp_extract(s, r"^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?)?$", 0)
-    return F.try_to_timestamp(s, F.lit("y-M-d[ H[:m[:s[.SSSSSS]]]]")).cast("timestamp_ntz")
+    half = F.upper(F.regexp_extract(s, r"(?i)\d\s*([AP])\.?M\.?$", 1))
+    s = F.regexp_extract(s, r"(?i)^(\d{4}-\d{1,2}-\d{1,2}( \d{1,2}(:\d{1,2}(:\d{1,2}(\.\d{1,6})?)?)?)?)(\s*[AP]\.?M\.?)?$", 1)
+    ts = F.try_to_timestamp(s, F.lit("y-M-d[ H[:m[:s[.SSSSSS]]]]")).cast("timestamp_ntz")
+    # twelve o'clock is the first hour of either half
+    hours = F.when(half == "P", F.when(F.hour(ts) < 12, 12).otherwise(0)).otherwise(F.when(F.hour(ts) == 12, -12).otherwise(0))
+    return F.when(half == "", ts).otherwise(ts + F.make_dt_interval(hours=hours))
 
 
 def time_of_day_us(c: str | Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions.timefn import bucket, duration_us, micros, snap
-from fleetspark.operators.ordered import DEFAULT_CHUNK, sized, with_previous
+from fleetspark.operators.ordered import DEFAULT_CHUNK, with_previous
 
 
 def resample(readings: DataFrame, width: str, channels: DataFrame | None = None,
@@ -80,7 +80,7 @@ def aligned(readings: DataFrame, grid: str | None = None, tolerance: str = "30 s
     if grid is None:
         unique = first_per_instant(readings)
         steps = modal_interval(unique, ["entity", "metric"], ["ts"], chunk)
-        grids = sized(steps.groupBy("metric").agg(F.min("interval_us").alias("_grid")))
+        grids = steps.groupBy("metric").agg(F.min("interval_us").alias("_grid"))
         readings = readings.join(grids, "metric", "left")
         fallback = F.lit(duration_us(tolerance))
         step = F.when(F.col("_grid") > 0, F.col("_grid")).otherwise(fallback)
@@ -111,7 +111,7 @@ def with_reference(values: DataFrame, mode: str = "mean") -> DataFrame:
     """
     fleet = Window.partitionBy("metric", "ts")
     if mode == "best":
-        best = sized(metric_scale(values).select("metric", "best"))
+        best = metric_scale(values).select("metric", "best")
         values = values.join(best, "metric", "left")
         ref = F.max(F.when(F.col("entity") == F.col("best"), F.col("value"))).over(fleet)
         return values.withColumn("ref", ref).drop("best")
@@ -126,7 +126,7 @@ def deviation(values: DataFrame, mode: str = "mean", percent: bool = True,
     Percent deviation is null where the reference is too close to zero to divide
     by. A metric with a single unit has neither.
     """
-    scale = sized(metric_scale(values).select("metric", "n_entities", "scale"))
+    scale = metric_scale(values).select("metric", "n_entities", "scale")
     out = with_reference(values, mode).join(scale, "metric", "left")
     several = F.col("n_entities") > 1
     gap = F.col("value") - F.col("ref")
@@ -300,7 +300,7 @@ def shared_channels(values: DataFrame, plant: str = "PLANT") -> DataFrame:
     per_metric = values.groupBy("metric", "entity").agg(F.count("value").alias("_k"))
     counts = per_metric.groupBy("metric").agg(
         F.count(F.lit(1)).alias("_units"), F.sum("_k").alias("_filled"))
-    known = sized(units.join(counts, "metric"))
+    known = units.join(counts, "metric")
     fleet = Window.partitionBy("metric", "ts")
     first = F.max(F.when(F.col("entity") == F.col("_first"), F.col("value"))).over(fleet)
     filled = F.count("value").over(fleet)

@@ -12,7 +12,6 @@ from fleetspark.operators.align import modal_interval, row_interval
 from fleetspark.operators.ordered import (
     DEFAULT_CHUNK,
     exact_quantiles,
-    sized,
     with_centred_window,
     with_row_number,
 )
@@ -304,7 +303,7 @@ def scatter_points(readings: DataFrame, roles: dict[str, str], max_points: int =
     rows = role_rows(readings, roles)
     order = [c for c in ("ts", "row_no") if c in rows.columns]
     lit = rows.where((F.col("irr") > DAYLIGHT_MIN) & F.col("ac").isNotNull())
-    count = sized(lit.groupBy(*FILE_UNIT).agg(F.count(F.lit(1)).alias("_total")))
+    count = lit.groupBy(*FILE_UNIT).agg(F.count(F.lit(1)).alias("_total"))
     step = F.greatest(F.lit(1), F.ceil(F.col("_total") / max_points))
     return (
         with_row_number(lit, FILE_UNIT, order, "_pos", chunk).join(count, [*FILE_UNIT])

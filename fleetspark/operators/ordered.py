@@ -18,21 +18,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.functions.timefn import duration_us, micros
+from fleetspark.session import cut
 
 DEFAULT_CHUNK = "1 day"
 BLOCK_ROWS = 100_000
 SMALL_GROUP = 100_000
 
 
+# what a local relation may hold
+LOCAL_BYTES = 8_000_000
+
+
 def sized(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """``df`` as a local relation if it has at most ``max_rows`` rows, else ``df`` itself.
+    """``df`` as a local relation if it has at most ``max_rows`` rows of ``LOCAL_BYTES`` in all, else ``df`` itself.
 
-    Meant for small statistics that are joined to readings: the size of a local
+    Meant for small decisions that are used several times: the size of a local
     relation is known to Spark, which then broadcasts it, and a larger one stays
-    a shuffled join that adaptive execution may split.
+    a shuffled join that adaptive execution may split. Starts a job.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    if head.num_rows > max_rows or head.nbytes > LOCAL_BYTES:
         return df
     return df.sparkSession.createDataFrame(head, schema=df.schema)
 
@@ -49,10 +54,20 @@ CHUNK_ROWS = 1_000_000
 def fit_chunk(df: DataFrame, keys: Sequence[str], ts: str = "ts", most_rows: int = CHUNK_ROWS) -> str:
     """The widest chunk in which no series has more than ``most_rows`` rows.
 
-    For series whose density is not known. Each try is a count per series and
-    chunk, which is combined before it is shuffled.
+    For series whose density is not known. Starts a job: one count per series and hour, which is rolled up to the wider
+    chunks; only where hours are too full is the table counted again.
     """
-    for width in CHUNK_WIDTHS:
+    hour = CHUNK_WIDTHS.index("1 hour")
+    hours = df.groupBy(*keys, chunk_no(ts, "1 hour").alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    tried = None
+    for i, width in enumerate(CHUNK_WIDTHS[:hour + 1]):
+        chunk = F.floor(F.col("_hour") * F.lit(duration_us("1 hour")) / F.lit(duration_us(width)))
+        most = hours.groupBy(*keys, chunk.alias("_chunk")).agg(F.sum("_n").alias("_n")).agg(F.lit(i).alias("_i"), F.max("_n").alias("_n"))
+        tried = most if tried is None else tried.unionAll(most)
+    fitting = [r["_i"] for r in tried.collect() if (r["_n"] or 0) <= most_rows]
+    if fitting:
+        return CHUNK_WIDTHS[min(fitting)]
+    for width in CHUNK_WIDTHS[hour + 1:]:
         counts = df.groupBy(*keys, chunk_no(ts, width).alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"))
         if (counts.agg(F.max("_n")).first()[0] or 0) <= most_rows:
             break
@@ -278,7 +293,8 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Seque
         if largest <= small_group or (before is not None and largest > before / 2):
             break
         before = largest
-        rows = rows.join(targets.select(*level), level, "left_semi")
+        # later rounds read what is left, not the source
+        rows = cut(rows.join(targets.select(*level), level, "left_semi"))
         cuts = rows.groupBy(*level).agg(F.percentile_approx("_v", [i / 256 for i in range(257)], 10_000).alias("_cuts"))
         cuts = cuts.join(targets.select(*level, "n", "_want"), level)
     inside = Window.partitionBy(*level).orderBy("_v")

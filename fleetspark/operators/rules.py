@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from fleetspark.operators.ordered import (
     DEFAULT_CHUNK,
     exact_quantiles,
-    sized,
     values_at_ranks,
     with_previous,
     with_runs,
@@ -88,8 +87,8 @@ def value_predicate(rule: Rule, value: str = "value", text: str = "text",
 def with_sigma_hit(df: DataFrame, rule: Rule, name: str, keys: Sequence[str] = SERIES,
                    value: str = "value") -> DataFrame:
     k = float(rule.value2 or 3.0)
-    stats = sized(df.groupBy(*keys).agg(
-        F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")))
+    stats = df.groupBy(*keys).agg(
+        F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
     hit = (F.col("_std") > 0) & (F.abs(F.col(value) - F.col("_mean")) > k * F.col("_std"))
     return (
         df.join(stats, [*keys], "left")
@@ -126,7 +125,7 @@ def cutoffs(df: DataFrame, rule: Rule, keys: Sequence[str] = SERIES, value: str
 def with_top_hit(df: DataFrame, rule: Rule, name: str, keys: Sequence[str] = SERIES,
                  value: str = "value") -> DataFrame:
     """Ties at the cutoff are hits too."""
-    edge = sized(cutoffs(df, rule, keys, value))
+    edge = cutoffs(df, rule, keys, value)
     hit = F.col(value) <= F.col("_cutoff") if rule.bottom else F.col(value) >= F.col("_cutoff")
     return (
         df.join(edge, [*keys], "left")
@@ -308,7 +307,7 @@ def with_scale(readings: DataFrame, rule: Rule, keys: Sequence[str] = ("metric",
                value: str = "value") -> DataFrame:
     """Adds ``position`` (0..1) and ``band`` of each value in its channel's scale."""
     n = N_STOPS.get(rule.scale_mode, 3)
-    stops = sized(scale_stops(readings, rule, keys, value))
+    stops = scale_stops(readings, rule, keys, value)
     return (
         readings.join(stops, [*keys], "left")
         .withColumn("position", scale_position(F.col(value), F.col("stops")))
@@ -319,7 +318,7 @@ def with_scale(readings: DataFrame, rule: Rule, keys: Sequence[str] = ("metric",
 
 def with_data_bar(readings: DataFrame, keys: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
     """Adds ``bar``, the fraction of the channel's range (0 for a constant channel)."""
-    ends = sized(readings.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
+    ends = readings.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     bar = F.when(width > 0, (F.col(value) - F.col("_lo")) / width).when(F.col(value).isNotNull(), 0.0)
     return readings.join(ends, [*keys], "left").withColumn("bar", bar).drop("_lo", "_hi")
@@ -328,8 +327,8 @@ def with_data_bar(readings: DataFrame, keys: Sequence[str] = ("metric",), value:
 def with_local_scale(readings: DataFrame, keys: Sequence[str] = ("metric",), value: str = "value",
                      diverging: bool = False) -> DataFrame:
     """Adds ``position``: around zero by the largest size, or from minimum to maximum."""
-    ends = sized(readings.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max(F.abs(value)).alias("_size")))
+    ends = readings.groupBy(*keys).agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.max(F.abs(value)).alias("_size"))
     v = F.col(value)
     if diverging:
         size = F.when(F.col("_size") > 0, F.col("_size")).otherwise(1.0)

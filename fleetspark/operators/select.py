@@ -100,16 +100,8 @@ def in_period(lo: str = "", hi: str = "", ts: str = "ts") -> Column:
 
 
 def period_filter(readings: DataFrame, lo: str = "", hi: str = "") -> DataFrame:
-    if not lo and not hi:
-        return readings
-    out = readings.where(in_period(lo, hi))
-    if "day" in readings.columns and dict(readings.dtypes)["day"] == "date":
-        # lets partitions of other days be skipped; a file may carry its neighbour days' rows
-        if lo:
-            out = out.where(F.col("day").isNull() | (F.col("day") >= F.date_sub(F.to_date(F.lit(lo[:10])), 1)))
-        if hi:
-            out = out.where(F.col("day").isNull() | (F.col("day") <= F.date_add(F.to_date(F.lit(hi[:10])), 1)))
-    return out
+    """Readings inside the period. Only their times decide: ``day`` is a file's, whose rows may reach far beyond it."""
+    return readings.where(in_period(lo, hi)) if lo or hi else readings
 
 
 def period_counts(readings: DataFrame, lo: str = "", hi: str = "") -> DataFrame:

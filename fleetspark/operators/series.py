@@ -11,7 +11,6 @@ from fleetspark.functions.timefn import duration_us, micros
 from fleetspark.operators.align import shared_channels
 from fleetspark.operators.ordered import (
     DEFAULT_CHUNK,
-    sized,
     with_previous,
     with_row_number,
 )
@@ -24,7 +23,7 @@ def thin(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int |
          chunk: str = DEFAULT_CHUNK) -> DataFrame:
     """Every ``ceil(n / limit)``-th row per key, from the first; adds ``step`` and ``rows_total``."""
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    count = sized(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_total")))
+    count = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_total"))
     step = F.when((limit > 0) & (F.col("rows_total") > limit), F.ceil(F.col("rows_total") / limit)).otherwise(1)
     return (
         with_row_number(df, keys, order, "_pos", chunk).join(count, [*keys])
@@ -40,7 +39,7 @@ def frame_payload(values: DataFrame, max_points: int = 4000, chunk: str = DEFAUL
     The budget per series is ``max(200, min(max_points, 400000 / units))``.
     """
     instants = values.select("metric", "ts").distinct()
-    units = sized(values.groupBy("metric", "entity").agg(F.count(F.lit(1)).alias("_n"))
+    units = values.groupBy("metric", "entity").agg(F.count(F.lit(1)).alias("_n")
                   .groupBy("metric").agg(F.count(F.lit(1)).alias("_units")))
     budget = F.greatest(F.lit(200), F.least(F.lit(max_points), F.floor(F.lit(MAX_TABLE_CELLS) / F.col("_units"))))
     kept = thin(instants.join(units, "metric"), ["metric"], ["ts"], budget, chunk).drop("_units")
@@ -106,7 +105,7 @@ def chart_series(readings: DataFrame, chart: ChartSpec, channels: DataFrame | No
         y = y.join(x, ["file", "entity", *order])
     else:
         y = y.withColumn("x", micros("ts").cast("double"))
-    enough = sized(y.groupBy(*keys).agg(F.count("y").alias("_n")).where(F.col("_n") >= 2).drop("_n"))
+    enough = y.groupBy(*keys).agg(F.count("y").alias("_n")).where(F.col("_n") >= 2).drop("_n")
     points = y.where(F.col("y").isNotNull() & F.col("x").isNotNull()).join(enough, keys, "left_semi")
     out = thin(points, keys, order, chart.max_points, chunk)
     if channels is not None:
@@ -140,7 +139,7 @@ def group_series(series: DataFrame, chart: ChartSpec) -> DataFrame:
 
 def pct_of_max(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """The value as percent of its series' largest size; a flat zero series is divided by 1."""
-    top = sized(df.groupBy(*keys).agg(F.max(F.abs(value)).alias("_top")))
+    top = df.groupBy(*keys).agg(F.max(F.abs(value)).alias("_top"))
     size = F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)
     return df.join(top, [*keys]).withColumn(value, F.col(value) / size * 100.0).drop("_top")
 
@@ -148,7 +147,7 @@ def pct_of_max(df: DataFrame, keys: Sequence[str], value: str = "value") -> Data
 def amplify(df: DataFrame, keys: Sequence[str], gain: float, value: str = "value") -> DataFrame:
     """Swings around the series' own mean made ``gain`` (0.01 to 100) times larger."""
     g = max(0.01, min(100.0, float(gain))) if gain > 0 else 1.0
-    mean = sized(df.groupBy(*keys).agg(F.avg(value).alias("_mean")))
+    mean = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     around = F.col("_mean") + g * (F.col(value) - F.col("_mean"))
     return df.join(mean, [*keys]).withColumn(value, around).drop("_mean")
 

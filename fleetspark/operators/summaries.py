@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions.timefn import DAY_US, HOUR_US, micros
 from fleetspark.operators.align import row_interval
-from fleetspark.operators.ordered import DEFAULT_CHUNK, sized, with_previous, with_runs
+from fleetspark.operators.ordered import DEFAULT_CHUNK, with_previous, with_runs
 from fleetspark.params import DELTA_MARKERS
 
 
@@ -95,7 +95,7 @@ def time_gaps(readings: DataFrame, keys: Sequence[str] = ("file", "entity"),
     # steps of equal length are counted together before they meet their interval
     sizes = steps.groupBy(*keys, step.alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
     modal = F.min_by("_step", F.when(F.col("_step").isNotNull(), F.struct(-F.col("_n"), F.col("_step"))))
-    found = sized(
+    found = (
         sizes.groupBy(*keys).agg(F.sum("_n").alias("rows"), modal.alias("_modal"))
         .select(*keys, "rows", F.when(F.col("rows") >= 3, F.col("_modal")).alias("interval_us")))
     late = F.col("_step") > F.col("interval_us") * factor

@@ -345,6 +345,16 @@ def metric_specs(spark, sf):
 
 
 # --- selection ------------------------------------------------------------------ #
+@query("period_filter_files", f"""SELECT row_no, entity, '2024-01-01' AS day FROM ({EV_SQL})
+  WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00'""")
+def period_filter_files(spark, sf):
+    """A month in one file: its day is that of its first row."""
+    first = raw_events(spark, sf).groupBy("entity").agg(F.to_date(F.min("ts")).alias("day"))
+    monthly = raw_events(spark, sf).join(first, "entity")
+    kept = select.period_filter(monthly, "2024-01-15 00:00:00", "2024-01-20 12:00:00")
+    return kept.select("row_no", "entity", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 @query("period_filter", f"""SELECT row_no, entity, metric, value FROM ({EV_SQL})
   WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-12 18:30:00'""")
 def period_filter(spark, sf):

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions import text as tx
 from fleetspark.operators import dictionary as dic
+from fleetspark.params import ReaderParams
 from fleetspark.plans.registry import query
 from fleetspark.plans.views import UNIT_SQL, raw_events, table
 from fleetspark.sources import files as fl
 from fleetspark.sources import ingest as ing
-from fleetspark.sources.lines import byte_text
+from fleetspark.sources.lines import byte_text, java_charsets
 
 FULL_WIDTH = ("0123456789.", "０１２３４５６７８９．")
 
@@ -74,6 +75,52 @@ def ingest_columns(spark, sf):
                       F.substr(stem, F.lit(15), F.lit(10)).alias("day"), "idx", "raw", "unit_row", "is_time", "is_numeric")
 
 
+def unit_files(spark, sf, before, cells, charset="UTF-8"):
+    """One file per unit: the lines of ``before`` and a header, then ``cells`` of every event, in the bytes of ``charset``."""
+    ev = raw_events(spark, sf)
+    path = F.concat(F.lit("/units/"), "entity", F.lit(".csv"))
+    data = ev.select(path.alias("file"), (F.col("row_no") + 100_000).alias("seq"), F.concat_ws(",", *cells).alias("line"))
+    top = [(i, text) for i, text in enumerate([*before, "time,power,status"])]
+    heads = data.select("file").distinct().select("file", F.explode(F.array(*[
+        F.struct(F.lit(i).cast("long").alias("seq"), F.lit(text).alias("line")) for i, text in top])).alias("_t")).select("file", "_t.seq", "_t.line")
+    lines = heads.unionByName(data).repartition("file")
+    with java_charsets(spark):
+        raw = F.decode(F.encode("line", charset), "ISO-8859-1")
+        return lines.select("file", F.lit(0).cast("long").alias("block"), "seq", raw.alias("raw"))
+
+
+UNIT_FILE_SQL = f"""SELECT {UNIT_SQL} AS entity, event_id, metric, CASE metric WHEN 'power' THEN value END AS value,
+    CASE metric WHEN 'status' THEN {{status}} END AS text FROM events CROSS JOIN (VALUES ('power'), ('status')) m(metric)"""
+
+
+def with_event(out):
+    return out.select("entity", (F.col("row_no") - 100_000).alias("event_id"), "metric", "value", "text")
+
+
+@query("ingest_late_encoding", UNIT_FILE_SQL.format(
+    status=f"CASE WHEN event_id = max(event_id) OVER (PARTITION BY {UNIT_SQL}, metric) THEN '停止中' ELSE event_type END"))
+def ingest_late_encoding(spark, sf):
+    """Only the last line of each file tells its encoding."""
+    last = raw_events(spark, sf).groupBy("entity").agg(F.max("row_no").alias("last"))
+    status = F.when(F.col("row_no") == F.col("last"), "停止中").otherwise(F.col("metric"))
+    lines = unit_files(spark, sf, [], (F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("value").cast("string"), F.col("metric")))
+    shown = raw_events(spark, sf).join(last, "entity").select(
+        F.concat(F.lit("/units/"), "entity", F.lit(".csv")).alias("file"), (F.col("row_no") + 100_000).alias("seq"), status.alias("status"), "metric")
+    with java_charsets(spark):
+        kept = F.substr("raw", F.lit(1), F.length("raw") - F.length("metric"))
+        told = F.concat(kept, F.decode(F.encode("status", "windows-31j"), "ISO-8859-1"))
+        lines = lines.join(shown, ["file", "seq"], "left").select(
+            "file", "block", "seq", F.when(F.col("status").isNotNull(), told).otherwise(F.col("raw")).alias("raw"))
+    return with_event(ing.ingest(spark, lines.repartition("file")).readings)
+
+
+@query("ingest_skip_rows", UNIT_FILE_SQL.format(status="event_type"))
+def ingest_skip_rows(spark, sf):
+    """The header stands far below the top."""
+    lines = unit_files(spark, sf, [f"note {i}" for i in range(1500)], (F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("value").cast("string"), F.col("metric")))
+    return with_event(ing.ingest(spark, lines, ReaderParams(skip_rows=1500)).readings)
+
+
 def part_cells(spark, sf):
     """A dictionary file per type of part: brands and parts as two tables side by side, under a title row."""
     part = table(spark, sf, "part")
@@ -175,6 +222,28 @@ def parse_timestamp(spark, sf):
         "event_id", F.date_format(tx.parse_timestamp(cell), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
+@query("timestamp_forms", """
+  SELECT event_id, CASE event_id % 6 WHEN 4 THEN strftime(ts, '%Y-%m-%d %H:%M:00') WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:00:00')
+    ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
+def timestamp_forms(spark, sf):
+    """Offsets from UTC and half days: times are local as they are written."""
+    k = F.col("event_id") % 6
+    iso, half = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("ts", "a")
+    cell = (F.when(k == 0, F.concat(iso, F.lit("+09:00"))).when(k == 1, F.concat(iso, F.lit("Z"))).when(k == 2, F.concat(iso, F.lit(".250-0530")))
+            .when(k == 3, F.concat(F.date_format("ts", "yyyy/M/d h:mm:ss "), half)).when(k == 4, F.concat(F.date_format("ts", "yyyy/M/d h:mm"), F.lower(half)))
+            .otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd h "), half)))
+    return table(spark, sf, "events").select("event_id", F.date_format(tx.parse_timestamp(cell), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query("unit_signs", """
+  SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN false ELSE false END AS unit_like FROM part""")
+def unit_signs(spark, sf):
+    """Signs that stand for a whole unit."""
+    k = F.col("p_partkey") % 5
+    cell = F.when(k == 0, "W/\u33a1").when(k == 1, "\u33be").when(k == 2, "\u339e").when(k == 3, "--").otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", tx.looks_like_unit(cell).alias("unit_like"))
+
+
 @query("normalize_headers", """
   SELECT p_partkey, lower(replace(p_name, ' ', '') || replace(p_brand, '#', '') || p_size) AS norm, p_name || ' ' || p_size AS name,
          CASE WHEN p_partkey % 2 = 0 THEN 'kW' ELSE '' END AS unit, p_partkey % 2 = 0 AS unit_like FROM part""")

@@ -1,8 +1,8 @@
 """From messy exports to one table of readings.
 
-Three passes, each over every file at once. The first keeps the heads of the files,
-which decide encoding, delimiter and layout. The second counts, per file and column,
-what the cells hold. The last makes readings; the decisions it needs are a row per
+Four passes, each over every file at once. The first keeps the heads of the files,
+which decide delimiter and layout, the second tries encodings on every line, the third
+counts, per file and column, what the cells hold. The last makes readings; the decisions it needs are a row per
 file and a row per distinct layout, so it moves no data between tasks while those
 stay small.
 """
@@ -54,7 +54,6 @@ from fleetspark.sources.lines import (
 )
 
 HEAD_LINES = 1000
-HEAD_BYTES = 200_000
 SCAN_ROWS = 40
 SAMPLE_LINES = 40
 TIME_SAMPLE = 30
@@ -70,24 +69,24 @@ class Ingested:
     columns: DataFrame
 
 
-def heads(lines: DataFrame) -> DataFrame:
-    """The first lines of each file with ``r``, their 0-based number: at most 1000 and 200 kB."""
-    by_place = Window.partitionBy("file").orderBy("seq")
+def heads(lines: DataFrame, reader: ReaderParams = ReaderParams()) -> DataFrame:
+    """The first lines of each file that hold a character besides blanks, delimiters and quotes, with ``r``, their 0-based
+    number: those that are skipped, those up to a given header, and ``HEAD_LINES`` more."""
+    most = reader.skip_rows + (reader.header_row or 0) + HEAD_LINES
+    by_place = Window.partitionBy("file").orderBy("block", "seq")
     # a limit on row_number itself is applied in each task before the shuffle
-    first = (
-        lines.where(F.col("block") == 0)
-        .withColumn("_nth", F.row_number().over(by_place)).where(F.col("_nth") <= HEAD_LINES)
+    return (
+        lines.where(F.btrim("raw", F.lit("".join(reader.delimiters) + ' \t\r"')) != "")
+        .withColumn("_nth", F.row_number().over(by_place)).where(F.col("_nth") <= most)
         .withColumn("r", F.col("_nth") - 1).drop("_nth")
     )
-    before = F.sum(F.length("raw")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    return first.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < HEAD_BYTES).drop("_before")
 
 
-def detect_encoding(head: DataFrame, reader: ReaderParams = ReaderParams()) -> DataFrame:
-    """Per file the first candidate encoding in which every head line is valid; a mark at the start decides."""
+def detect_encoding(lines: DataFrame, reader: ReaderParams = ReaderParams()) -> DataFrame:
+    """Per file the first candidate encoding in which every line is valid; a mark at the start decides."""
     tests = encoding_tests("raw", reader.encodings)
-    start = F.min_by("raw", "r")
-    found = head.groupBy("file").agg(
+    start = F.min_by("raw", F.struct("block", "seq"))
+    found = lines.groupBy("file").agg(
         start.alias("_start"), *[F.bool_and(t).alias(f"_ok_{i}") for i, t in enumerate(tests.values())])
     name = F.lit("latin-1")
     for i, candidate in reversed(list(enumerate(tests))):
@@ -140,9 +139,9 @@ def is_data_row(cells: str = "cells") -> Column:
     return (filled(cells) >= 2) & (hits / F.greatest(filled(cells), F.lit(1)) >= 0.6)
 
 
-def parse_head(head: DataFrame, reader: ReaderParams) -> tuple[DataFrame, DataFrame]:
-    """Head rows as cells, and encoding and delimiter per file."""
-    encodings = sized(detect_encoding(head, reader), MAX_FILES_LOCAL)
+def parse_head(head: DataFrame, lines: DataFrame, reader: ReaderParams) -> tuple[DataFrame, DataFrame]:
+    """Head rows as cells, and encoding and delimiter per file. Every line has a say in the encoding."""
+    encodings = sized(detect_encoding(lines, reader), MAX_FILES_LOCAL)
     text = head.join(encodings, "file").withColumn("line", decode_line(known=reader.encodings))
     text = text.where(F.trim("line") != "")
     formats = sized(encodings.join(detect_delimiter(text, reader), "file"), MAX_FILES_LOCAL)
@@ -316,8 +315,8 @@ def ingest(spark: SparkSession, lines: DataFrame, reader: ReaderParams = ReaderP
 
 
 def _ingest(lines: DataFrame, reader: ReaderParams, identity: IdentityParams, listing: DataFrame | None) -> Ingested:
-    head = cut(heads(lines))
-    rows, formats = parse_head(head, reader)
+    head = cut(heads(lines, reader))
+    rows, formats = parse_head(head, lines, reader)
     layouts = sized(detect_layout(rows, reader), MAX_FILES_LOCAL)
     header = header_cells(rows, layouts)
     named_head = column_names(header)
@@ -468,7 +467,7 @@ def dictionary_cells(spark: SparkSession, lines: DataFrame, reader: ReaderParams
     """Dictionary files as cells: file, row, col, text."""
     with java_charsets(spark):
         head = lines.withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("block", "seq")) - 1)
-        encodings = sized(detect_encoding(head, reader), MAX_FILES_LOCAL)
+        encodings = sized(detect_encoding(lines, reader), MAX_FILES_LOCAL)
         text = head.join(encodings, "file").withColumn("line", decode_line(known=reader.encodings))
         rows = text.join(sized(detect_delimiter(text, reader), MAX_FILES_LOCAL), "file").withColumn(
             "cells", split_cells(F.col("line"), F.col("delimiter"), reader.delimiters))

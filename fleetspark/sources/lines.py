@@ -21,7 +21,6 @@ CHARSETS = {
 }
 BYTES = "ISO-8859-1"
 SEQ_BITS = 33
-MAX_WHOLE_FILE = 1 << 30
 
 
 @contextmanager
@@ -49,6 +48,11 @@ def byte_text(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), BYTES)
 
 
+def plain_path(uri: Column) -> Column:
+    """A path as listings have it: no escapes."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def read_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Non-blank lines of text files, split between tasks; not for UTF-16."""
     read = (
@@ -58,16 +62,17 @@ def read_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
         .csv(paths)
     )
     return read.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"), "raw").where(F.col("raw").isNotNull())
 
 
 def read_utf16_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The same for UTF-16 files, whose newlines are not single bytes: one task per file."""
+    """The same for UTF-16 files, whose newlines are not single bytes: one task per file. One over 2 GiB, more than a row
+    can hold, ends the read with Spark's message."""
     whole = spark.read.format("binaryFile").load(list(paths))
     with java_charsets(spark):
         text = F.decode("content", "UTF-16")
-        rows = whole.where(F.col("length") <= MAX_WHOLE_FILE).select(
+        rows = whole.select(
             F.col("path").alias("file"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("seq", "line"))
         return rows.where(F.trim("line") != "").select(
             "file", F.lit(0).cast("long").alias("block"), F.col("seq").cast("long").alias("seq"),
@@ -94,6 +99,7 @@ def decode_line(raw: str = "raw", encoding: str = "encoding", known: Sequence[st
 def encoding_tests(raw: str = "raw", candidates: Sequence[str] = tuple(CHARSETS)) -> dict[str, Column]:
     """Per candidate, whether a line's bytes are valid in it. To be used under :func:`java_charsets`."""
     data = F.encode(raw, BYTES)
+    ascii_only = ~F.col(raw).rlike(r"[^\x00-\x7f]")
     tests = {}
     for name in candidates:
         charset = CHARSETS[name]
@@ -102,7 +108,7 @@ def encoding_tests(raw: str = "raw", candidates: Sequence[str] = tuple(CHARSETS)
         elif charset == BYTES:
             tests[name] = F.lit(True)
         elif charset == "UTF-8":
-            tests[name] = F.is_valid_utf8(data.cast("string"))
+            tests[name] = ascii_only | F.is_valid_utf8(data.cast("string"))
         else:
-            tests[name] = ~F.decode(data, charset).contains("\ufffd")
+            tests[name] = ascii_only | ~F.decode(data, charset).contains("\ufffd")
     return tests
