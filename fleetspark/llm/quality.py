@@ -71,7 +71,7 @@ def _distance(shares: Column, reference: list[float]) -> Column:
     of_reference = sum(q * math.log2(q) for q in reference)
     terms = F.zip_with(shares, F.array(*map(F.lit, reference)),
                        lambda p, q: F.when(p > 0, p * F.log2(p)).otherwise(0.0) - (p + q) * F.log2(p + q))
-    return F.sqrt(F.greatest(1 + (F.aggregate(terms, F.lit(of_reference), lambda x, y: x + y)) / 2, F.lit(0.0)))
+    return F.round(F.sqrt(F.greatest(1 + F.aggregate(terms, F.lit(of_reference), lambda x, y: x + y) / 2, F.lit(0.0))), 6)
 
 
 def _shares(counts: Column, total: Column) -> Column:

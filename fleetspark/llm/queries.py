@@ -47,20 +47,86 @@ def op4_web_text(spark, sf_dir):
     return webtext.main_texts(table(spark, sf_dir, "pages"))
 
 
-@query("op5_quality")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def sql_words(pattern: str, lowered: bool = True) -> str:
+    text = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')" if lowered else "coalesce(text, '')"
+    return f"regexp_extract_all({text}, '{pattern}')"
+
+
+NO_BLANK = r"[^\x20\x09-\x0D]+"
+
+
+def sql_distance(shares: list[str], reference: list[float]) -> str:
+    """The Jensen-Shannon distance as it is written in ``quality``."""
+    terms = " + ".join(f"CASE WHEN {p} > 0 THEN ({p}) * log2({p}) ELSE 0 END - ({p} + {q!r}) * log2({p} + {q!r})" for p, q in zip(shares, reference, strict=True))
+    own = " + ".join(f"{q!r} * log2({q!r})" for q in reference)
+    return f"round(sqrt(greatest(1 + ({own} + {terms}) / 2, 0)), 6)"
+
+
+def quality_sql() -> str:
+    symbols = quality.SYMBOLS.replace("'", "''")
+    classes = ", ".join(
+        "length(flat) - length(regexp_replace(flat, '{}+', '', 'g')) AS c_{}".format(chars.replace("'", "''"), name) for name, chars in quality.CLASSES.items())
+    shares = [f"c_{name} / greatest(word_chars, 1)" for name in quality.CLASSES]
+    shares.append(f"greatest(1 - ({' + '.join(shares)}), 0)")
+    by_language = []
+    for words in quality.COMMON.values():
+        parts = [f"len(list_filter(runs, lambda x: x = '{w}')) / greatest(n_words, 1)" for w in words]
+        parts.append(f"greatest(1 - ({' + '.join(parts)}), 0)")
+        by_language.append(sql_distance(parts, [*words.values(), 1 - sum(words.values())]))
+    return f"""
+      WITH t AS (SELECT doc_id, coalesce(text, '') AS body, {sql_words(NO_BLANK, False)} AS words,
+          translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS flat FROM documents),
+      m AS (SELECT *, len(words) AS n_words, length(replace(flat, ' ', '')) AS word_chars, {classes},
+          length(body) - length(translate(body, '{symbols}', '')) AS n_symbols, regexp_extract_all(lower(flat), '\\p{{L}}+') AS runs,
+          list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{NO_BLANK}')) AS lines FROM t),
+      w AS (SELECT doc_id, i, words[i:i + 4] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t WHERE len(words) >= 5)),
+      r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM
+          (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS times FROM w) WHERE times > 1) GROUP BY doc_id),
+      d AS (SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+          CASE WHEN word_chars > 0 THEN {sql_distance(shares, quality.PROSE)} END AS char_distance,
+          CASE WHEN n_words > 0 THEN least({", ".join(by_language)}) END AS word_distance FROM m LEFT JOIN r USING (doc_id))
+      SELECT *, n_words < {quality.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+          NOT (n_words < {quality.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)
+          AND (word_chars < {quality.MIN_CHARS} OR char_distance <= {quality.MAX_CHAR_DISTANCE})
+          AND (n_words < {quality.MIN_WORDS} OR word_distance <= {quality.MAX_WORD_DISTANCE}) AS kept FROM d"""
+
+
+@query("op5_quality", quality_sql())
 def op5_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
-
-@query("op6_decontamination")
+@query("op6_decontamination", f"""
+  WITH d AS (SELECT doc_id, {sql_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS words FROM documents),
+  b AS (SELECT item_id, {sql_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS words FROM benchmark),
+  bw AS (SELECT DISTINCT item_id, k, words[i:i + k - 1] AS win FROM
+    (SELECT item_id, words, least(10, len(words)) AS k, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i FROM b WHERE len(words) > 0)),
+  dw AS (SELECT doc_id, k, i, words[i:i + k - 1] AS win FROM
+    (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(words) >= k)),
+  hit AS (SELECT doc_id, item_id, i, dw.k FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+  n AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM hit) GROUP BY doc_id),
+  s AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM
+    (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+  SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)""")
 def op6_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-@query("op7_jaccard")
+@query("op7_jaccard", f"""
+  WITH RECURSIVE d AS (SELECT doc_id, {sql_words(NO_BLANK)} AS words FROM documents),
+  s AS (SELECT DISTINCT doc_id, words[i:i + 2] AS gram FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM d WHERE len(words) > 0)),
+  n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+  p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE 100 * common >= 90 * (na.n_shingles + nb.n_shingles - common)),
+  r(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+  SELECT r.doc_id, coalesce(n_shingles, 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1, 2""")
 def op7_jaccard(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
