@@ -184,3 +184,23 @@ def test_translate_steps(spark, tmp_path):
     assert got["PCS03_DC_KW"] == ("①直流電力", "kW", "substring")
     assert got["受電電流(A)"] == ("受電電流", "A", None)
     assert got["日射量"][2] == "normalised"
+
+
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    body = "time,power\n" + "".join(f"2024-01-05 00:{m:02d}:00,{m}\n" for m in range(50))
+    for name in ("2 z.csv", "a+b%20c.csv", "日本.csv"):
+        (tmp_path / name).write_text(body)
+    listing = fl.discover(spark, str(tmp_path))
+    out = ing.ingest_files(spark, [str(tmp_path)], listing=listing)
+    files = out.files.collect()
+    assert sorted(f.file.rsplit("/", 1)[-1] for f in files) == ["2 z.csv", "a+b%20c.csv", "日本.csv"]
+    assert all(f.error is None and f.n_rows == 50 for f in files)
+    assert {r.entity for r in out.readings.select("entity").distinct().collect()} == {"2 z", "a+b%20c", "日本"}
+
+
+def test_one_file_whose_text_tells_late(spark, tmp_path):
+    rows = [f"2024-01-05 {m // 60:02d}:{m % 60:02d}:00,{m},ok" for m in range(1200)] + ["2024-01-05 23:00:00,1,停止中"] * 5
+    (tmp_path / "late.csv").write_bytes(("time,power,status\n" + "\n".join(rows)).encode("cp932"))
+    out = ing.ingest_files(spark, [str(tmp_path)])
+    assert out.files.first().encoding == "cp932"
+    assert out.readings.where("metric = 'status' and text = '停止中'").count() == 5
