@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetspark.functions.timefn import from_micros, micros
+from fleetspark.functions.timefn import bucket
 from fleetspark.operators import align, reshape, select, series
 from fleetspark.operators.ordered import fit_chunk, nearest
 from fleetspark.params import ChartSpec, ColumnFilter
@@ -205,8 +205,8 @@ def kpis(spark, sf):
     return out
 
 
-@query("shared_channels", "SELECT * FROM (VALUES ('copy', true), ('SITE', true), ('click', false), ('error', false), "
-       "('purchase', false), ('signup', false), ('view', false)) t(metric, shared)")
+@query("shared_channels", "SELECT DISTINCT event_type AS metric, false AS shared FROM events "
+       "UNION ALL SELECT * FROM (VALUES ('copy', true), ('SITE', true)) t(metric, shared)")
 def shared_channels(spark, sf):
     """Channel copy holds one sensor for all units, SITE belongs to the plant alone."""
     day = values(spark, sf)
@@ -598,6 +598,4 @@ def view_table(spark, sf):
 
 @query("bucket_grid", "SELECT event_id, strftime(time_bucket(INTERVAL '15 minutes', ts), '%Y-%m-%d %H:%M:%S') AS bin FROM events")
 def bucket_grid(spark, sf):
-    width = 15 * 60_000_000
-    us = micros("ts")
-    return shown(table(spark, sf, "events").select("event_id", from_micros(us - F.pmod(us, F.lit(width))).alias("bin")))
+    return shown(table(spark, sf, "events").select("event_id", bucket("ts", "15 minutes").alias("bin")))

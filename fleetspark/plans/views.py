@@ -81,13 +81,16 @@ def fleet_channels_sql(width: str = "6 hours") -> str:
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One wide row per day: U00_click ... U09_view, a site column and status bits ANN_<unit><no>."""
+    """One wide row per day: U00_click ... U09_view, a site column and status bits ANN_<unit><no>; units and channels are
+    those of the table."""
     day = readings(spark, sf_dir)
-    names = [f"{e}_{m}" for e in ENTITIES for m in METRICS]
+    found = day.groupBy().agg(F.sort_array(F.collect_set("entity")), F.sort_array(F.collect_set("metric"))).first()
+    entities, metrics = found[0], found[1]
+    names = [f"{e}_{m}" for e in entities for m in metrics]
     cells = day.withColumn("raw", F.concat_ws("_", "entity", "metric")).groupBy("ts").pivot("raw", names).agg(
         F.first("value"))
     bits = [F.when(F.coalesce(F.col(f"{e}_{m}") > 52.0, F.lit(False)), 1.0).otherwise(0.0).alias(f"ANN_{e[1:]}{j:02d}")
-            for e in ENTITIES for j, m in enumerate(METRICS, 1)]
+            for e in entities for j, m in enumerate(metrics, 1)]
     site = fleet_channels(spark, sf_dir, "1 day").where("metric = 'error'").select(
         F.col("ts").alias("_ts"), F.col("value").alias("Site_temp"))
     rows = cells.join(site, F.col("ts") == F.col("_ts"), "left").drop("_ts")
@@ -97,8 +100,8 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE_CELLS_SQL = f"""
   SELECT d.ts, e.entity, m.metric, r.value
   FROM (SELECT DISTINCT ts FROM ({readings_sql()})) d
-  CROSS JOIN (SELECT 'U' || lpad(i::VARCHAR, 2, '0') AS entity FROM range(10) t(i)) e
-  CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS metric) m
+  CROSS JOIN (SELECT DISTINCT {UNIT_SQL} AS entity FROM events) e
+  CROSS JOIN (SELECT DISTINCT event_type AS metric FROM events) m
   LEFT JOIN ({readings_sql()}) r ON r.ts = d.ts AND r.entity = e.entity AND r.metric = m.metric
 """
 
