@@ -6,8 +6,8 @@ lists relate:
 * Tokens are ordered by how frequent they are, so that prefixes hold rare ones. Counts of all documents are kept in a table
   of fixed size; the order is total whatever the counts, and the join is exact under any order.
 * Lists of a token are kept in order of set size, and whole stretches are skipped by size and by position of the token.
-  A 512-bit parity map of each set bounds the number of tokens two sets do not share. Long lists are split into stripes,
-  and each pair of stripes is a unit of work of its own.
+  A 512-bit parity map of each set bounds the number of tokens two sets do not share; pairs of large sets are held against
+  maps as large as they are. Long lists are split into stripes, and each pair of stripes is a unit of work of its own.
 * Answers are derived from those of similar sets: a set that is linked to another one inherits its group, and pairs inside
   a group are never looked at again. Each round verifies a few partners of each set, exactly and on whole sets, joins
   groups, and goes on with what lies between groups, with more partners each time, until no list has any left.
@@ -28,21 +28,23 @@ from pyspark.sql import functions as F
 from fleetspark.llm.graph import components
 from fleetspark.llm.keys import packed, row_key
 from fleetspark.llm.words import NOT_SPACE, chunks, marks_of, mix, shingle_hashes, word_hashes
-from fleetspark.session import cut
+from fleetspark.session import cut, stored
 
 #: Words in an n-gram; the similarity in hundredths.
 GRAM = 3
 SIMILARITY = 90
 #: The table of token counts has two to this power of places; the bitmap that says which sets are wanted, of bits.
-COUNT_BITS = 18
+COUNT_BITS = 22
 MARK_BITS = 24
 #: Members of a list that are compared in one unit of work, and partners tried in the first round and how they grow.
-STRIPE = 512
-FIRST_PARTNERS, MORE_PARTNERS = 1, 8
+STRIPE = 2048
+FIRST_PARTNERS, MORE_PARTNERS = 1, 16
 
 _OTHER = np.uint64(0xA0761D6478BD642F)
 MAP_WORDS = 8
 _MAPS = [f"b{i}" for i in range(MAP_WORDS)]
+#: Sets of more tokens than this have a larger map besides.
+LARGE = 1024
 
 
 def _sets(column: pa.Array, gram: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,6 +60,21 @@ def _sets(column: pa.Array, gram: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield row + d, shingle_hashes(hashes[a:b], b - a) if b > a else grams[:0]
 
 
+def parity_map(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of a map that says of each residue whether an odd number of tokens has it. Halves laid over each other are the
+    map of half the size."""
+    counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
+def map_distance(x: bytes, y: bytes) -> int:
+    """At least so many tokens are in one of two sets only, by their maps."""
+    short, long = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(long) > len(short):
+        long = long[:len(long) // 2] ^ long[len(long) // 2:]
+    return int(np.bitwise_count(short ^ long).sum())
+
+
 def _class(tokens: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     n = np.uint64(len(tokens))
@@ -66,48 +83,53 @@ def _class(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def token_levels(texts: DataFrame, gram: int, bits: int) -> np.ndarray:
-    """For each place of the table of counts: 0 if its tokens are no more frequent than usual, else the power of two of
-    how much more. At most one number for each place comes to the driver."""
+    """For each place of the table of counts: 0 if its tokens are as rare as most, else more the more frequent they are.
+
+    A task counts all its tokens and sends the places that stand out among its own; their sums decide. Few do, and at most
+    one number for each place comes to the driver.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
                 hashes, _, _ = word_hashes(data, offsets, NOT_SPACE)
                 total += np.bincount(shingle_hashes(hashes, gram) >> np.uint64(64 - bits), minlength=1 << bits)
-        place = np.flatnonzero(total)
+        usual = total.sum() / (1 << bits)
+        place = np.flatnonzero(total > usual + 3 * usual**0.5 + 2)
         for low in range(0, len(place), 100_000):
             part = place[low:low + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["place", "n"])
 
-    counts = cut(texts.mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")))
-    usual = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits) + 4
-    high = counts.where(F.col("n") > 2 * usual).select("place", F.floor(F.log2(F.col("n") / usual)).cast("int").alias("level")).toPandas()
+    counts = texts.mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    high = counts.select("place", F.floor(F.log2("n")).cast("byte").alias("level")).toPandas()
     levels = np.zeros(1 << bits, np.int8)
     levels[high["place"].to_numpy(np.int64)] = high["level"].to_numpy(np.int8)
     return levels
 
 
 def described(docs: DataFrame, gram: int, similarity: int, bits: int) -> DataFrame:
-    """key, doc_id, n, class (c1, c2), parity map (b0 ...) and prefix tokens of every document; of documents with one set
-    in one task only the first has the prefix."""
+    """key, doc_id, n, class (c1, c2), parity map (b0 ...), prefix tokens and larger map of every document; of documents
+    with one set in one task only the first has the last three."""
     levels = docs.sparkSession.sparkContext.broadcast(token_levels(docs.select("text"), gram, bits))
-    names = ["key", "doc_id", "n", "c1", "c2", *_MAPS, "prefix"]
+    names = ["key", "doc_id", "n", "c1", "c2", *_MAPS, "prefix", "large_map"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         shift, level = np.uint64(64 - bits), levels.value
         for batch in batches:
-            n, classes, maps, prefixes = [], [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64), []
+            n, classes, maps, prefixes, large = [], [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64), [], []
             for row, tokens in _sets(batch.column(2), gram):
                 own = _class(tokens)
                 n.append(len(tokens))
                 classes.append(own)
+                large.append(None)
                 if own in seen or not len(tokens):
                     prefixes.append(None)
                     continue
                 seen.add(own)
-                counts = np.bincount((tokens & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS)
-                maps[row] = np.packbits((counts & 1).astype(np.uint8)).view(np.uint64)
+                maps[row] = parity_map(tokens, 64 * MAP_WORDS).view(np.uint64)
+                if len(tokens) > LARGE:
+                    large[-1] = parity_map(tokens, 1 << len(tokens).bit_length()).tobytes()
                 length = len(tokens) - -(-similarity * len(tokens) // 100) + 1
                 prefixes.append(tokens[np.argsort(level[tokens >> shift], kind="stable")[:length]].view(np.int64))
             pairs = np.array(classes, np.int64).reshape(-1, 2)
@@ -116,49 +138,32 @@ def described(docs: DataFrame, gram: int, similarity: int, bits: int) -> DataFra
             listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]),
-                 *(pa.array(maps[:, i].view(np.int64)) for i in range(MAP_WORDS)), listed], names)
+                 *(pa.array(maps[:, i].view(np.int64)) for i in range(MAP_WORDS)), listed, pa.array(large, pa.binary())], names)
 
-    schema = "key string, doc_id bigint, n bigint, c1 bigint, c2 bigint, " + ", ".join(f"{b} bigint" for b in _MAPS) + ", prefix array<bigint>"
+    schema = "key string, doc_id bigint, n bigint, c1 bigint, c2 bigint, " + ", ".join(f"{b} bigint" for b in _MAPS) + ", prefix array<bigint>, large_map binary"
     out = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
-    return cut(out.withColumn("uid", F.monotonically_increasing_id()))
+    return stored(out.withColumn("uid", F.monotonically_increasing_id()))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
-    """c1, c2, tokens of the classes in ``wanted``, once each."""
-    marks = marks_of(wanted, "c1", MARK_BITS)
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """uid, text of the rows whose key is in ``wanted`` (key, uid), once each. Only they are shuffled."""
+    marks = marks_of(wanted.select(F.xxhash64("key").alias("mark")), "mark", MARK_BITS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-
-        def batch_of(found):
-            flat = pa.array(np.concatenate([t for _, t in found]).view(np.int64))
-            ends = pa.array(np.append(0, np.cumsum([len(t) for _, t in found])).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array([c[0] for c, _ in found]), pa.array([c[1] for c, _ in found]),
-                                               pa.ListArray.from_arrays(ends, flat)], schema=schema)
-
         for batch in batches:
-            found, held = [], 0
-            for _, tokens in _sets(batch.column(0), gram):
-                if len(tokens):
-                    own = _class(tokens)
-                    if own not in seen and marks.value.has(np.array([own[0]], np.int64).view(np.uint64))[0]:
-                        seen.add(own)
-                        found.append((own, tokens))
-                        held += len(tokens)
-                        if held > 1_000_000:
-                            yield batch_of(found)
-                            found, held = [], 0
-            if found:
-                yield batch_of(found)
-
-    once = docs.select("text").mapInArrow(rows, "c1 bigint, c2 bigint, tokens array<bigint>")
-    return once.join(wanted, ["c1", "c2"]).dropDuplicates(["c1", "c2"])
+            has = marks.value.has(batch.column(1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["key", "text"]).filter(pa.array(has))
+
+    keyed = docs.select(row_key().alias("key"), "text")
+    found = keyed.select("key", F.xxhash64("key").alias("mark"), "text").mapInArrow(rows, "key string, text string").join(wanted, "key")
+    # repeated rows have one key
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return found.withColumn("rank", rank).where("rank = 1").select("uid", "text")
 
 
 def partner_pairs(lists: DataFrame, similarity: int, partners: int) -> DataFrame:
-    """Pairs a < b of list members in different groups that may be linked: up to ``partners`` of them for each member and
-    unit of work. A row with null ids says that a unit had more."""
+    """Pairs a < b of list members in different groups that may be linked, with how far apart their parity maps are: for
+    each member of a unit of work up to ``partners``, the nearest. A row with null ids says that a unit had more."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -182,7 +187,7 @@ def partner_pairs(lists: DataFrame, similarity: int, partners: int) -> DataFrame
         new = np.ones(total, bool)
         new[1:] = (np.diff(x["token"]) != 0) | (np.diff(x["s"]) != 0) | (np.diff(x["r"]) != 0)
         unit = np.cumsum(new)
-        left, right = [], []
+        left, right, far = [], [], []
         i, step = np.arange(total), 1
         while len(i := i[i + step < total]):
             j = i + step
@@ -198,23 +203,44 @@ def partner_pairs(lists: DataFrame, similarity: int, partners: int) -> DataFrame
             near = apart <= both[fit] - 2 * need[fit]
             left.append(a[near])
             right.append(b[near])
+            far.append(apart[near])
             step += 1
         a, b = np.concatenate(left or [i]), np.concatenate(right or [i])
         if not len(a):
             return
-        order = np.lexsort((a, b))
-        a, b = a[order], b[order]
+        apart = np.concatenate(far)
+        order = np.lexsort((a, apart, b))
+        a, b, apart = a[order], b[order], apart[order]
         begin = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         rank = np.arange(len(b)) - np.repeat(begin, np.diff(np.append(begin, len(b))))
         few = rank < partners
         ua, ub = x["uid"][a[few]], x["uid"][b[few]]
-        out = np.unique(np.stack([np.minimum(ua, ub), np.maximum(ua, ub)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+        out = np.unique(np.stack([np.minimum(ua, ub), np.maximum(ua, ub), apart[few]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2])], ["a", "b", "apart"])
         if not few.all():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3, ["a", "b", "apart"])
 
     return (lists.repartition("token", "s", "r").sortWithinPartitions("token", "s", "r", "n", "uid")
-            .mapInArrow(rows, "a bigint, b bigint").distinct())
+            .mapInArrow(rows, "a bigint, b bigint, apart bigint").distinct())
+
+
+def still_near(pairs: DataFrame, large: DataFrame, similarity: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, apart) that the larger maps (uid, n, large_map) do not tell apart; ``apart`` by these."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            kept = []
+            for a, b, far, n, x, m, y in zip(*cols, strict=True):
+                if x is not None and y is not None:
+                    far = map_distance(x, y)
+                    if far > n + m - 2 * -(-similarity * (n + m) // (100 + similarity)):
+                        continue
+                kept.append((a, b, far))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*kept, strict=True) if kept else [[]] * 3)], ["a", "b", "apart"])
+
+    both = (pairs.join(large.select(F.col("uid").alias("a"), F.col("n").alias("an"), F.col("large_map").alias("ax")), "a", "left")
+            .join(large.select(F.col("uid").alias("b"), F.col("n").alias("bn"), F.col("large_map").alias("bx")), "b", "left"))
+    return both.select("a", "b", "apart", "an", "ax", "bn", "bx").mapInArrow(rows, "a bigint, b bigint, apart bigint")
 
 
 def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARITY, stripe: int = STRIPE,
@@ -226,16 +252,17 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARI
     postings = rows.where("prefix is not null").select("uid", "c1", F.posexplode("prefix").alias("place", "token"))
     shared = (postings.groupBy("token").agg(F.min("c1").alias("first"), F.max("c1").alias("last"), F.count("*").alias("m"))
               .where("first < last").select("token", "m"))
-    about = rows.where("prefix is not null").join(classes.select("uid"), "uid", "left_semi").select("uid", "n", "c1", "c2", *_MAPS)
-    lists = cut(postings.drop("c1").join(shared, "token").join(about, "uid"))
+    about = rows.where("prefix is not null").join(classes.select("uid"), "uid", "left_semi").select("uid", "n", *_MAPS)
+    lists = stored(postings.drop("c1").join(shared, "token").join(about, "uid"))
+    listed = lists.select("uid").distinct()
+    keys = stored(rows.select("uid", "key").join(listed, "uid"))
+    large = stored(rows.where("large_map is not null").select("uid", "n", "large_map").join(listed, "uid"))
     # a list of m members has ceil(m / stripe) stripes; each pair of stripes is a unit
     stripes = F.ceil(F.col("m") / stripe).cast("int")
     own = F.pmod(F.xxhash64("uid"), stripes).cast("int")
     units = (lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), stripes - 1)))
              .select("token", "uid", "n", "place", "own", *_MAPS, F.least("own", "other").alias("s"), F.greatest("own", "other").alias("r")))
-    identity = lists.select("uid", "c1", "c2").distinct()
-    links = tried = None
-    roots = None
+    links = tried = roots = None
     partners = FIRST_PARTNERS
     while True:
         grouped = (units.withColumn("root", F.col("uid")) if roots is None else
@@ -244,13 +271,15 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARI
         pairs = found.where("a is not null")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        checked = cut(verified(docs, pairs, identity, gram, similarity))
+        pairs = still_near(pairs, large, similarity)
+        # of all lists together, the nearest partners of each set
+        ranked = cut(pairs.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))))
+        checked = cut(verified(docs, ranked.where(F.col("rank") <= partners).select("a", "b"), keys, gram, similarity))
         good = checked.where("linked").select("a", "b")
         links = good if links is None else links.union(good)
         tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
         roots = components(links)
-        if found.where("a is null").isEmpty():
+        if found.where("a is null").isEmpty() and ranked.where(F.col("rank") > partners).isEmpty():
             break
         partners *= MORE_PARTNERS
     named = classes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
@@ -271,14 +300,18 @@ def one_of_each_group(docs: DataFrame, gram: int = GRAM, similarity: int = SIMIL
     return rows.withColumn("rank", rank).where(~F.col("once") | (F.col("rank") == 1)).select("row.*")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, identity: DataFrame, gram: int, similarity: int) -> DataFrame:
-    """a, b, linked: the similarity of whole sets, in whole numbers."""
-    left = identity.select(F.col("uid").alias("a"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-    right = identity.select(F.col("uid").alias("b"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
-    ends = cut(pairs.join(left, "a").join(right, "b"))
-    wanted = ends.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(ends.select("b1", "b2")).distinct()
-    sets = sets_of(docs, wanted, gram)
-    sets = cut(sets)
-    both = (ends.join(sets.toDF("a1", "a2", "x"), ["a1", "a2"]).join(sets.toDF("b1", "b2", "y"), ["b1", "b2"])
-            .select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes")))
-    return both.select("a", "b", (100 * F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).alias("linked"))
+def verified(docs: DataFrame, pairs: DataFrame, keys: DataFrame, gram: int, similarity: int) -> DataFrame:
+    """a, b, linked: the similarity of whole sets, made anew from whole texts, in whole numbers."""
+    wanted = keys.join(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), "uid").select("key", "uid")
+    texts = stored(texts_of(docs, wanted))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for (_, x), (_, y) in zip(_sets(batch.column(2), gram), _sets(batch.column(3), gram), strict=True):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    both = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(rows, "a bigint, b bigint, linked boolean")
