@@ -43,6 +43,8 @@ FIRST_PARTNERS, MORE_PARTNERS = 1, 16
 _OTHER = np.uint64(0xA0761D6478BD642F)
 MAP_WORDS = 8
 _MAPS = [f"b{i}" for i in range(MAP_WORDS)]
+#: Pairs that a unit of work holds before it keeps the nearest only.
+HELD_PAIRS = 300_000
 #: Sets of more tokens than this have a larger map besides.
 LARGE = 1024
 
@@ -161,15 +163,29 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.withColumn("rank", rank).where("rank = 1").select("uid", "text")
 
 
-def partner_pairs(lists: DataFrame, similarity: int, partners: int) -> DataFrame:
+def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (a, b) the ``partners`` nearest of each b, and which b have more."""
+    order = np.lexsort((a, far, b))
+    a, b, far = a[order], b[order], far[order]
+    begin = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    few = np.arange(len(b)) - np.repeat(begin, np.diff(np.append(begin, len(b)))) < partners
+    return a[few], b[few], far[few], np.unique(b[~few])
+
+
+def partner_pairs(units: DataFrame, similarity: int, partners: int) -> DataFrame:
     """Pairs a < b of list members in different groups that may be linked, with how far apart their parity maps are: for
-    each member of a unit of work up to ``partners``, the nearest. A row with null ids says that a unit had more."""
+    each member of a unit of work up to ``partners``, the nearest. A unit that had more is named by token, s, r instead of a
+    pair. Where units carry large maps, these are looked at as well."""
+    names = ["token", "s", "r", "own", "uid", "n", "place", "root"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int64()), ("token", pa.int64()), ("s", pa.int32()), ("r", pa.int32())])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            now = {c: table[c].to_numpy() for c in ("token", "s", "r", "own", "uid", "n", "place", "root")}
+            now = {c: table[c].to_numpy() for c in names}
             now["maps"] = np.stack([table[b].to_numpy() for b in _MAPS], 1).view(np.uint64)
+            now["large"] = np.array(table["large_map"].to_pylist() + [None], object)[:-1]
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in now}
             # the last unit may go on in the next batch
@@ -187,7 +203,8 @@ def partner_pairs(lists: DataFrame, similarity: int, partners: int) -> DataFrame
         new = np.ones(total, bool)
         new[1:] = (np.diff(x["token"]) != 0) | (np.diff(x["s"]) != 0) | (np.diff(x["r"]) != 0)
         unit = np.cumsum(new)
-        left, right, far = [], [], []
+        none = np.zeros(0, np.int64)
+        parts, size, more = [(none, none, none)], 0, none
         i, step = np.arange(total), 1
         while len(i := i[i + step < total]):
             j = i + step
@@ -198,30 +215,30 @@ def partner_pairs(lists: DataFrame, similarity: int, partners: int) -> DataFrame
             need = -(-similarity * both // (100 + similarity))
             fit = ((x["root"][i] != x["root"][j]) & ((x["s"][i] == x["r"][i]) | (x["own"][i] != x["own"][j]))
                    & (np.minimum(x["n"][i] - x["place"][i], x["n"][j] - x["place"][j]) >= need))
-            a, b = i[fit], j[fit]
-            apart = np.bitwise_count(x["maps"][a] ^ x["maps"][b]).sum(1, dtype=np.int64)
-            near = apart <= both[fit] - 2 * need[fit]
-            left.append(a[near])
-            right.append(b[near])
-            far.append(apart[near])
+            p, q, most = i[fit], j[fit], both[fit] - 2 * need[fit]
+            apart = np.bitwise_count(x["maps"][p] ^ x["maps"][q]).sum(1, dtype=np.int64)
+            for k in np.flatnonzero(apart <= most):
+                if x["large"][p[k]] is not None and x["large"][q[k]] is not None:
+                    apart[k] = map_distance(x["large"][p[k]], x["large"][q[k]])
+            near = apart <= most
+            parts.append((p[near], q[near], apart[near]))
+            size += int(near.sum())
+            if size > HELD_PAIRS:
+                *kept, over = nearest(*map(np.concatenate, zip(*parts, strict=True)), partners)
+                parts, size, more = [tuple(kept)], 0, np.union1d(more, over)
             step += 1
-        a, b = np.concatenate(left or [i]), np.concatenate(right or [i])
-        if not len(a):
-            return
-        apart = np.concatenate(far)
-        order = np.lexsort((a, apart, b))
-        a, b, apart = a[order], b[order], apart[order]
-        begin = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        rank = np.arange(len(b)) - np.repeat(begin, np.diff(np.append(begin, len(b))))
-        few = rank < partners
-        ua, ub = x["uid"][a[few]], x["uid"][b[few]]
-        out = np.unique(np.stack([np.minimum(ua, ub), np.maximum(ua, ub), apart[few]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2])], ["a", "b", "apart"])
-        if not few.all():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3, ["a", "b", "apart"])
-
-    return (lists.repartition("token", "s", "r").sortWithinPartitions("token", "s", "r", "n", "uid")
-            .mapInArrow(rows, "a bigint, b bigint, apart bigint").distinct())
+        a, b, far, over = nearest(*map(np.concatenate, zip(*parts, strict=True)), partners)
+        more = np.unique(np.flatnonzero(new)[unit[np.union1d(more, over)] - 1])
+        if len(a):
+            ua, ub = x["uid"][a], x["uid"][b]
+            out = np.unique(np.stack([np.minimum(ua, ub), np.maximum(ua, ub), far], 1), axis=0)
+            blank = [pa.nulls(len(out), f.type) for f in list(schema)[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2]), *blank], schema=schema)
+        if len(more):
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(more), pa.int64()) for _ in range(3)), *(pa.array(x[c][more]) for c in ("token", "s", "r"))], schema=schema)
+
+    return (units.repartition("token", "s", "r").sortWithinPartitions("token", "s", "r", "n", "uid")
+            .mapInArrow(rows, "a bigint, b bigint, apart bigint, token bigint, s int, r int").distinct())
 
 
 def still_near(pairs: DataFrame, large: DataFrame, similarity: int) -> DataFrame:
@@ -243,6 +260,13 @@ def still_near(pairs: DataFrame, large: DataFrame, similarity: int) -> DataFrame
     return both.select("a", "b", "apart", "an", "ax", "bn", "bx").mapInArrow(rows, "a bigint, b bigint, apart bigint")
 
 
+def between_groups(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose ends are not in one group yet."""
+    left, right = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    return pairs.join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b", "apart")
+
+
 def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARITY, stripe: int = STRIPE,
                    count_bits: int = COUNT_BITS) -> DataFrame:
     """key, doc_id, n_shingles, grp (null without n-grams), component_id of every row of ``docs`` (doc_id, text)."""
@@ -262,13 +286,15 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARI
     own = F.pmod(F.xxhash64("uid"), stripes).cast("int")
     units = (lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), stripes - 1)))
              .select("token", "uid", "n", "place", "own", *_MAPS, F.least("own", "other").alias("s"), F.greatest("own", "other").alias("r")))
-    links = tried = roots = None
+    units = units.withColumn("large_map", F.lit(None).cast("binary"))
+    links = tried = roots = waiting = None
     partners = FIRST_PARTNERS
     while True:
         grouped = (units.withColumn("root", F.col("uid")) if roots is None else
                    units.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
         found = cut(partner_pairs(grouped, similarity, partners))
-        pairs = found.where("a is not null")
+        pairs = found.where("a is not null").select("a", "b", "apart")
+        pairs = pairs if waiting is None else pairs.union(waiting).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = still_near(pairs, large, similarity)
@@ -279,8 +305,12 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARI
         links = good if links is None else links.union(good)
         tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
         roots = components(links)
-        if found.where("a is null").isEmpty() and ranked.where(F.col("rank") > partners).isEmpty():
+        more = found.where("a is null").select("token", "s", "r")
+        waiting = cut(between_groups(ranked.where(F.col("rank") > partners).select("a", "b", "apart"), roots))
+        if more.isEmpty() and waiting.isEmpty():
             break
+        # only units that had more go on, now with the large maps of their members
+        units = stored(units.drop("large_map").join(more, ["token", "s", "r"]).join(large.select("uid", "large_map"), "uid", "left"))
         partners *= MORE_PARTNERS
     named = classes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
