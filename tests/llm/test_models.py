@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetspark.llm import chat, shards, toxicity, webtext
 from tests.llm.edge import PROSE, documents, empty
@@ -133,6 +134,38 @@ def test_transcript_edges(spark):
     assert chat.chat_report(odd.where("false")).collect() == []
 
 
+def long_talk():
+    """Turns of which some texts hold names of speakers, question marks and blank lines."""
+    rng = random.Random(5)
+    words = ["red", "blue", "old", "yes", "why", "it"]
+    texts = [rng.choice(["User:", "A: no", "\n\n".join(" ".join(rng.choices(words, k=rng.randint(1, 40))) + rng.choice("?..") for _ in range(rng.randint(1, 4))),
+                         " ".join(rng.choices(words, k=rng.randint(1, 90))) + "?"]) for _ in range(700)]
+    return [(t, "assistant" if t % 2 else "user", x) for t, x in enumerate(texts)]
+
+
+@pytest.mark.parametrize("part_turns,apart,same", [(512, 1, 1), (512, 1000, 1), (7, 1, 1), (3, 1, 700), (1, 1, 1), (64, 1, 3)])
+def test_long_conversations_are_decoded_whole(spark, part_turns, apart, same):
+    """However they are cut, turns lie apart or numbers repeat: the slices joined are the transcript's result."""
+    rows = [(c, t // same * apart, role, x) for c in (3, 4, 5, 6, 7, 8) for t, role, x in long_talk()]
+    shape = "conv_id bigint, turn bigint, role string, text string"
+    data = spark.createDataFrame(rows, shape).unionByName(talks(spark).selectExpr("conv_id + 1000 as conv_id", "turn", "role", "text"))
+    model = chat.fit(data)
+    got = {}
+    for r in sorted(chat.chat_report(data, part_turns).where("conv_id < 100").collect(), key=lambda r: (r["conv_id"], r["part"])):
+        got.setdefault(r["conv_id"], []).append(r)
+    wrote = spark.createDataFrame(rows, shape).select("conv_id", "turn", "role", "text", chat.written(F.col("role"), F.col("text")).alias("line")).collect()
+    for c, parts in got.items():
+        lines = [r["line"] for r in sorted((r for r in wrote if r["conv_id"] == c), key=lambda r: (r["turn"], r["role"], r["text"]))]
+        turns = model.turns("\n\n".join(lines))
+        assert [r["part"] for r in parts] == list(range(len(parts)))
+        assert "".join(r["rendered"] for r in parts) == chat.render(turns)
+        assert ",".join(r["roles"] for r in parts if r["roles"]) == ",".join(role for role, _ in turns)
+        assert sum(r["n_turns"] for r in parts) == len(turns)
+    assert len(got) == 6
+    if same == 1:
+        assert all(len(parts) == len({t * apart // part_turns for t in range(700)}) for parts in got.values())
+
+
 @pytest.mark.parametrize("rows,count", [(1000, 16), (5, 16), (0, 16), (333, 7)])
 def test_shard_sizes_and_slots(spark, rows, count):
     df = spark.range(rows).selectExpr("id", "id as shard", "id as row").repartition(5)
