@@ -10,7 +10,9 @@ writes pages of many layouts with known main text; ``train`` takes any others.
 
 Defined results: null, empty and textless pages have an empty text; white space inside a block, no-break spaces too, is one
 space; ``br`` is white space; text outside of all tags belongs to the page's root; unclosed and stray tags are mended as
-browsers do, roughly; scripts, styles, form controls, media, comments and the head never have text.
+browsers do, roughly; scripts, styles, form controls, media, comments and the head never have text. A head ends at the first
+text or start tag that cannot stand in it. Other such elements end at their end tag or when a block around them ends, drawings
+and formulas at ``/>`` or a block element too; one without an end tag in the rest of the page ends at the next block element.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""",
 UNREAD = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "button", "object",
           "canvas", "audio", "video", "head"}
 RAW = {"script", "style", "textarea", "title", "iframe"}
+HEAD = {"title", "style", "script", "noscript", "template", "meta", "link", "base", "basefont", "bgsound", "noframes", "head", "html"}
+FOREIGN = {"svg", "math"}
+#: Unread elements that may hold others of their kind.
+NESTED = FOREIGN | {"object", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 GROUPS = {
     "title": ["h1", "h2"], "heading": ["h3", "h4", "h5", "h6"], "paragraph": ["p"], "item": ["li", "dt", "dd"], "list": ["ul", "ol", "dl", "menu"],
@@ -88,6 +94,9 @@ class Page:
         node, position, size = 0, 0, len(source)
         pending: list[str] = []
         linked, inside_link, unread = 0, 0, None
+        # of the unread element: how many of its kind are open, blocks open inside, HTML inside of a drawing, whether it is closed at all
+        depth, inner, embedded, closed = 0, [], 0, True
+        never_closed: set[str] = set()
         self.link_share: list[float] = []
 
         def flush():
@@ -109,35 +118,83 @@ class Page:
                 if inside_link:
                     linked += len(piece.strip())
 
+        def after_raw(tag):
+            closing = re.compile(rf"</{tag}", re.IGNORECASE).search(source, position)
+            return size if closing is None else (source.find(">", closing.end()) + 1 or size)
+
+        def ends_block(tag, ending):
+            """Whether the tag ends an open block, by name or as the next one of a list or table."""
+            if tag in ("html", "body"):
+                return True
+            up, wanted = node, {tag} if ending else SIBLINGS.get(tag, set())
+            while up and self.tags[up] not in wanted and (ending or self.tags[up] not in SCOPE):
+                up = self.parents[up]
+            return bool(up) and self.tags[up] in wanted
+
         while position < size:
             m = TOKEN.search(source, position)
+            until = size if m is None else m.start()
+            if unread == "head" and source[position:until].strip():
+                unread = None
+            if until > position and not unread:
+                text(source[position:until])
             if m is None:
-                if not unread:
-                    text(source[position:])
                 break
-            if m.start() > position and not unread:
-                text(source[position:m.start()])
             position = m.end()
             tag = m["tag"] or m["tag2"]
             if tag is None:
                 continue
             tag, ending = tag.lower(), bool(m["end"] or m["end2"])
-            if unread:
-                # what is not read ends with its own end tag; a body ends a head
-                if ending and tag == unread or unread == "head" and tag == "body":
+            attrs = m["attrs"] or m["attrs2"] or ""
+            if unread == "head":
+                if ending and tag not in ("head", "body", "html") or not ending and tag in HEAD - UNREAD:
+                    continue
+                if not ending and tag in ("noscript", "template"):
+                    # skipped if it ends inside the head; if not, what follows tells where the head ends
+                    closing = re.compile(rf"</{tag}[^>]*>|</head|<body", re.IGNORECASE).search(source, position)
+                    if closing and closing[0].lower().startswith(f"</{tag}"):
+                        position = closing.end()
+                    continue
+                if not ending and tag == "head":
+                    continue
+                if ending or tag not in HEAD:
                     unread = None
-                    if tag == "head":
-                        continue
-                else:
+                if ending and tag == "head":
                     continue
-                if ending:
+            elif unread:
+                if tag == unread:
+                    depth += -1 if ending else tag in NESTED and not attrs.endswith("/")
+                    if not depth:
+                        unread = None
+                    continue
+                if not ending and tag in RAW and not (unread in FOREIGN and tag == "title"):
+                    position = after_raw(tag)
+                    continue
+                if tag == "foreignobject":
+                    embedded += -1 if ending else 1
+                    continue
+                if tag not in GROUP_OF and ("-" not in tag or unread in FOREIGN):
+                    continue
+                if not ending and not (closed and (unread not in FOREIGN or embedded > 0)) or not inner and ends_block(tag, ending):
+                    unread = None
+                elif not ending:
+                    inner.append(tag)
+                    continue
+                elif tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                    continue
+                elif ends_block(tag, ending):
+                    unread = None
+                else:
                     continue
             if not ending and tag in UNREAD:
                 if tag in RAW:
-                    closing = re.compile(rf"</{tag}", re.IGNORECASE).search(source, position)
-                    position = size if closing is None else (source.find(">", closing.end()) + 1 or size)
-                else:
-                    unread = tag
+                    position = after_raw(tag)
+                elif not (tag in FOREIGN and attrs.endswith("/")):
+                    if tag not in never_closed and not re.compile(rf"</{tag}(?![^\s/>])", re.IGNORECASE).search(source, position):
+                        never_closed.add(tag)
+                    unread, depth, inner, embedded, closed = tag, 1, [], 0, tag not in never_closed
                 continue
             if tag == "br":
                 text(" ")
@@ -167,7 +224,6 @@ class Page:
                         up = self.parents[up]
                     if up and self.tags[up] in SIBLINGS[tag]:
                         node = self.parents[up]
-                attrs = m["attrs"] or m["attrs2"] or ""
                 names = frozenset()
                 if attrs and "=" in attrs:
                     words = re.split(r"[^a-z]+", " ".join(x.strip("\"'") for x in NAMED.findall(attrs)).lower())

@@ -79,6 +79,16 @@ def test_page_reading():
     assert model.texts([""]) == [""]
 
 
+@pytest.mark.parametrize("page", [
+    "<html><head><title>No</title><article><p>{}</article>", "<html><head><meta charset=utf-8><script>if (a<b) '<p>'</script>{}",
+    "<head><noscript><link href=x></noscript><div>{}</div>", "<svg width='1' /><p>{}</p>", "<math/><p>{}</p>", "<svg><path d='M0'><p>{}</p>",
+    "<div><button>No</div><p>{}</p><button>no</button>", "<ul><li><select><option>no</ul><p>{}</p>", "<div><object><p>no</p></div><p>{}</p><object></object>",
+    "<div><noscript><img src=x></div><p>{}</p><noscript>no</noscript>", "<body><button>No<p>{}</p>", "<select><option>No<h1>{}</h1>",
+    "<svg><foreignObject><div>no</div></foreignObject></svg><p>{}</p>", "<object><div>no</div><object>no</object>no</object><p>{}</p>"])
+def test_unread_elements_end(page):
+    assert [text for _, text in webtext.Page(page.format(PROSE)).blocks] == [PROSE]
+
+
 def test_messages_are_exact():
     """Marginals of the forest against summing over all states."""
     rng = np.random.default_rng(1)
