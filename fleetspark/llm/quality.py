@@ -1,9 +1,15 @@
 """Quality rules: how far the make-up of a text is from that of written language.
 
 A text is described by two histograms: classes of characters, and its language's most common words. Both are compared to
-references of several languages by Jensen-Shannon distance (base 2, so 0 to 1); the nearest language counts, so that no
-language needs to be known. A histogram says little of a short text: character classes are judged from ``MIN_CHARS``
-characters that are no space, words from ``MIN_WORDS`` words.
+references of several languages by Jensen-Shannon distance (base 2, so 0 to 1); the nearest language counts. A histogram says
+little of a short text: character classes are judged from ``MIN_CHARS`` characters that are no space, words from ``MIN_WORDS``
+words.
+
+A histogram is judged only where a reference applies. Words are if the text has enough of the listed words of some language, in
+share and in kinds; texts in other languages are kept whatever their word distance, and so is prose of invented words. Characters
+of texts mostly in letters without case (Chinese, Arabic, Hindi ...) are compared to references for those, with their signs; no
+labelled texts were there to set these on. Where most letters are of a script without blanks between words,
+``UNSPACED_CHARS`` letters stand for a word in the least length; repeats inside its lines are not seen.
 
 Plain counts go with them: words, their characters, symbols, repeated lines, words inside five-word windows that occur
 twice or more. A text of fewer than ten words, or with over a fifth of its words in such windows, fails outright.
@@ -34,6 +40,13 @@ MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.185, 0.28
 #: lower case).
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "mark": r"[.,;:!?'\"()\-]", "other": r"[^\p{Ll}\p{Lu}\p{Nd}.,;:!?'\"()\-\x20]"}
 PROSE = [0.030, 0.005, 0.030, 0.005, 0.930]
+#: The like (digits, signs, other, letters) of scripts without case, with blanks between words or without.
+SIGNS = r"[.,;:!?'\"()\-\u2010-\u201F\u2026\u3001\u3002\u3008-\u3011\u30FB\uFF01\uFF08\uFF09\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F\u00AB\u00BB\u060C\u061B\u061F\u06D4\u0964\u0965\u05BE\u104A\u104B\u1362\u17D4]"
+UNCASED = [[0.005, 0.030, 0.005, 0.960], [0.010, 0.110, 0.005, 0.875]]
+UNSPACED = "[" + "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + "]"
+UNSPACED_CHARS = 2
+#: From which share and number of a language's listed words on they are judged.
+MIN_COMMON_SHARE, MIN_COMMON_KINDS = 0.05, 5
 #: Common words and their shares of all words in prose, roughly.
 COMMON = {
     "en": {"the": 0.060, "of": 0.032, "and": 0.028, "to": 0.026, "a": 0.021, "in": 0.020, "that": 0.011, "is": 0.011, "was": 0.010, "for": 0.009},
@@ -84,7 +97,7 @@ def _shares(counts: Column, total: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` (with a column text, and none whose name begins with q_) and, of every text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance,
-    word_distance."""
+    word_distance, and what references apply: unspaced_letters (null if the text is not of a script without blanks), words_apply."""
     out = docs.withColumn("q_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = out.withColumn("q_flat", F.translate("q_text", "\t\n\x0b\x0c\r", "     "))
     out = out.withColumn("q_words", F.array_remove(F.split("q_flat", " "), ""))
@@ -101,35 +114,54 @@ def measured(docs: DataFrame) -> DataFrame:
     for name, chars in CLASSES.items():
         out = out.withColumn(f"q_{name}", F.length("q_flat") - F.length(F.regexp_replace("q_flat", f"{chars}+", "")))
     out = out.withColumn("q_classes", _shares(F.array(*(F.col(f"q_{name}") for name in CLASSES)), F.col("word_chars")))
-    out = out.withColumn("char_distance", F.when(F.col("word_chars") > 0, _distance(F.col("q_classes"), PROSE)))
+
+    def number(chars):
+        return F.length("q_flat") - F.length(F.regexp_replace("q_flat", f"{chars}+", ""))
+
+    # letters without case are among the other characters; only texts with many of those are looked at again
+    odd = 3 * F.col("q_other") > F.col("word_chars")
+    out = out.withColumn("q_uncased", F.when(odd, number(r"[\p{Lo}\p{Lm}\p{M}]")).otherwise(0))
+    out = out.withColumn("q_letters", F.when(F.col("q_uncased") > 0, F.col("q_uncased") + number(r"[\p{Ll}\p{Lu}]")).otherwise(0))
+    uncased = 2 * F.col("q_uncased") > F.col("q_letters")
+    out = out.withColumn("q_signs", F.when(uncased, number(SIGNS)).otherwise(0))
+    out = out.withColumn("q_unspaced", F.when(uncased, number(UNSPACED)).otherwise(0))
+    out = out.withColumn("unspaced_letters", F.when(uncased & (2 * F.col("q_unspaced") > F.col("q_letters")), F.col("q_letters")))
+    rest = F.greatest(F.col("word_chars") - F.col("q_digit") - F.col("q_signs") - F.col("q_letters"), F.lit(0))
+    out = out.withColumn("q_parts", F.when(uncased, _shares(F.array("q_digit", "q_signs", rest), F.col("word_chars"))))
+    out = out.withColumn("char_distance", F.when(uncased, F.least(*(_distance(F.col("q_parts"), x) for x in UNCASED))).when(
+        F.col("word_chars") > 0, _distance(F.col("q_classes"), PROSE)))
     # each common word between two blanks of its own, so that it can be counted by taking it out
     common = F.array_join(F.regexp_extract_all(F.lower("q_flat"), F.lit(_COMMON_PATTERN), F.lit(0)), "  ")
     out = out.withColumn("q_common", F.concat(F.lit(" "), common, F.lit(" ")))
     out = out.withColumn("q_counts", F.array(*(
         ((F.octet_length("q_common") - F.octet_length(F.replace("q_common", F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("int")
         for w in _COMMON)))
-    distances = []
+    distances, applies = [], F.lit(False)
     for words in COMMON.values():
         counts = F.transform(F.array(*(F.lit(_COMMON.index(w)) for w in words)), lambda i: F.get("q_counts", i))
+        applies = applies | ((F.aggregate(counts, F.lit(0), lambda x, y: x + y) >= MIN_COMMON_SHARE * F.col("n_words"))
+                             & (F.size(F.filter(counts, lambda n: n > 0)) >= MIN_COMMON_KINDS))
         distances.append(_distance(_shares(counts, F.col("n_words")), [*words.values(), 1 - sum(words.values())]))
-    out = out.withColumn("word_distance", F.when(F.col("n_words") > 0, F.least(*distances)))
+    out = out.withColumn("word_distance", F.when(F.col("n_words") > 0, F.least(*distances))).withColumn("words_apply", applies)
     return out.drop(*(c for c in out.columns if c.startswith("q_")))
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_TEXT_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    words = F.greatest("n_words", F.coalesce(F.floor(F.col("unspaced_letters") / UNSPACED_CHARS), F.lit(0)))
+    return (words < MIN_TEXT_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
 def verdict() -> Column:
-    """Whether both distances are small enough, where the text is long enough to tell."""
+    """Whether both distances are small enough, where a reference applies and the text is long enough to tell."""
     return ((F.col("word_chars") < MIN_CHARS) | (F.col("char_distance") <= MAX_CHAR_DISTANCE)) & (
-        (F.col("n_words") < MIN_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE))
+        (F.col("n_words") < MIN_WORDS) | ~F.col("words_apply") | (F.col("word_distance") <= MAX_WORD_DISTANCE))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts, distances, base_failed, kept of every row."""
     return (measured(docs.select("doc_id", "text")).drop("text").withColumn("base_failed", base_failed())
-            .withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict())))
+            .withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict()))
+            .drop("unspaced_letters", "words_apply"))
 
 
 def good_texts(docs: DataFrame) -> DataFrame:

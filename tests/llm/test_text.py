@@ -103,6 +103,31 @@ def test_quality_verdict(spark):
     assert quality.good_texts(docs).columns == docs.columns
 
 
+def test_quality_of_other_languages(spark):
+    """Texts to which no reference applies are kept; scripts without case are held to references of their own."""
+    spaced = {
+        "ru": "река текла мимо старой мельницы люди города были рады воде утром поля вдоль берега долго стояли сухими пока не пришёл дождь",
+        "el": "το ποτάμι κυλούσε δίπλα στον παλιό μύλο οι άνθρωποι της πόλης χαίρονταν επειδή νερό ήταν καθαρό κάθε πρωί χωράφια όχθη",
+        "fi": "joki virtasi vanhan myllyn ohi kaupungin ihmiset olivat siitä iloisia koska vesi oli aamulla kirkasta pellot rannalla kuivia",
+        "pl": "rzeka płynęła obok starego młyna a ludzie z miasta byli to zadowoleni bo woda była rano czysta pola nad brzegiem suche",
+        "ar": "كان النهر يجري قرب الطاحونة القديمة وكان أهل المدينة سعداء به لأن الماء صاف في الصباح والحقول على الضفة جافة",
+        "hi": "नदी पुरानी चक्की के पास बहती थी और नगर के लोग प्रसन्न थे क्योंकि सुबह पानी साफ था खेत सूखे थे",
+        "ko": "강은 오래된 방앗간 옆을 흘렀고 마을 사람들은 아침마다 맑은 물을 보며 기뻐했다 강둑의 밭은 오랫동안 말라 있었다"}
+    unspaced = {"zh": "河水流过古老的磨坊镇上的人们都很高兴因为早晨的水十分清澈岸边的田地已经干旱了很久", "ja": "川は古い水車小屋のそばを流れ町の人々は朝の澄んだ水を喜んだ岸辺の畑は長く乾いていた",
+                "th": "แม่น้ำไหลผ่านโรงสีเก่าและชาวเมืองต่างดีใจเพราะน้ำใสในตอนเช้าทุ่งนาริมฝั่งแห้งแล้งมานาน"}
+    rng, texts, junk = random.Random(8), {}, {}
+    for name, sample in spaced.items():
+        stop = "।" if name == "hi" else "."
+        texts[name] = " ".join(" ".join(rng.choices(sample.split(), k=9)).capitalize() + stop for _ in range(40))
+        junk[f"{name} junk"] = " ".join(w + rng.choice(["$$$", "***", "&&&"]) for w in texts[name].split())
+    for name, sample in unspaced.items():
+        texts[name] = "".join("".join(rng.choices(sample, k=7)) + "，" + "".join(rng.choices(sample, k=9)) + "。" for _ in range(40))
+        junk[f"{name} junk"] = " ".join("".join(rng.choices(sample, k=4)) + rng.choice(["$$$", "***", "&&&"]) for _ in range(200))
+    docs = documents(spark, [(i, t, "x") for i, t in enumerate([*texts.values(), *junk.values()])])
+    kept = {[*texts, *junk][r["doc_id"]] for r in quality.good_texts(docs).collect()}
+    assert kept == set(texts)
+
+
 def test_token_counts(spark):
     docs = documents(spark)
     library = tokenizers.Tokenizer.from_file(BPE)
