@@ -39,8 +39,7 @@ def frame_payload(values: DataFrame, max_points: int = 4000, chunk: str = DEFAUL
     The budget per series is ``max(200, min(max_points, 400000 / units))``.
     """
     instants = values.select("metric", "ts").distinct()
-    units = values.groupBy("metric", "entity").agg(F.count(F.lit(1)).alias("_n")
-                  .groupBy("metric").agg(F.count(F.lit(1)).alias("_units")))
+    units = values.select("metric", "entity").distinct().groupBy("metric").agg(F.count(F.lit(1)).alias("_units"))
     budget = F.greatest(F.lit(200), F.least(F.lit(max_points), F.floor(F.lit(MAX_TABLE_CELLS) / F.col("_units"))))
     kept = thin(instants.join(units, "metric"), ["metric"], ["ts"], budget, chunk).drop("_units")
     return values.join(kept, ["metric", "ts"]).withColumn("value", json_safe("value"))

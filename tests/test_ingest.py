@@ -195,7 +195,7 @@ def test_names_with_blanks_and_signs(spark, tmp_path):
     files = out.files.collect()
     assert sorted(f.file.rsplit("/", 1)[-1] for f in files) == ["2 z.csv", "a+b%20c.csv", "日本.csv"]
     assert all(f.error is None and f.n_rows == 50 for f in files)
-    assert {r.entity for r in out.readings.select("entity").distinct().collect()} == {"2 z", "a+b%20c", "日本"}
+    assert {r.entity for r in out.readings.select("entity").distinct().collect()} == {"PCS2", "a+b%20c", "日本"}
 
 
 def test_one_file_whose_text_tells_late(spark, tmp_path):
