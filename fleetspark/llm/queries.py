@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm import bpe, chat, decontaminate, jaccard, pieces, pii, quality, shards, toxicity, webtext
+from fleetspark.llm import bpe, chat, decontaminate, jaccard, language, negatives, pieces, pii, quality, shards, toxicity, trie, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -146,3 +146,48 @@ def op9_toxicity(spark, sf_dir):
 @query("op10_shards")
 def op10_shards(spark, sf_dir):
     return shards.sharded_documents(table(spark, sf_dir, "documents"))
+
+
+#: Unsigned CRC-32 of a decimal number: bytes are folded in one by one, eight shifts each.
+SQL_CRC32 = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+      lambda x, y: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END::UBIGINT))), 4294967295::UBIGINT)"""
+
+
+@query("op11_trie", f"""
+  WITH t AS (SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  h AS (SELECT *, ({SQL_CRC32} % 9)::BIGINT AS h FROM t),
+  r AS (SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+  p AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+  m AS (SELECT conv_id, depth, turns[1:depth] AS path, depth = len(turns) AS done FROM p),
+  n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (done) AS ids,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(path[-1][2]) END AS saved FROM m GROUP BY path, depth),
+  c AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+  f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (path, depth)),
+  s AS (SELECT path[1:up] AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens FROM
+    (SELECT *, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY 1)
+  SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens,
+    sha256(coalesce(f.ids, '')) AS ends_sha256
+  FROM f JOIN s ON s.path = f.path LEFT JOIN n q ON q.path = f.path[1:f.depth - 1] AND q.depth = f.depth - 1""")
+def op11_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_negatives", """
+  WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id,
+    positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+  QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10""")
+def op12_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_language")
+def op13_language(spark, sf_dir):
+    return language.language_report(table(spark, sf_dir, "documents"))
