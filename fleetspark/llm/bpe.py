@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.llm.cache import Recent
+from fleetspark.llm.keys import chunks
 
-#: Pre-tokens remembered in a task, and characters of text taken together.
-REMEMBERED = 600_000
+#: Bytes of pre-tokens remembered in a worker, and characters of text taken together.
+REMEMBERED = 96 << 20
 CHUNK_CHARS = 1_000_000
 NO_RANK = np.iinfo(np.int32).max
 #: Fixed value: the pattern of byte-level pre-tokens.
@@ -142,7 +143,7 @@ class ByteBpe:
         """Tokens of each text."""
         pieces, specials = [], []
         for text in texts:
-            if self.special is not None and "<" in text:
+            if self.special is not None and self.special.search(text):
                 parts = self.special.split(text)
                 specials.append(len(parts) - 1)
                 pieces.append([p for part in parts for p in self.pattern.findall(part)])
@@ -152,7 +153,7 @@ class ByteBpe:
         unknown = [w for w in self.known.missing(set().union(*pieces))]
         if unknown:
             found = self.merged_counts([w.encode("utf-8", "surrogatepass") for w in unknown])
-            self.known.update(zip(unknown, found.tolist(), strict=True))
+            self.known.remember(zip(unknown, found.tolist(), strict=True))
         known = self.known
         return [n + sum([known[w] for w in words]) for n, words in zip(specials, pieces, strict=True)]
 
@@ -168,13 +169,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            out, first, held = [], 0, 0
-            for i, text in enumerate(texts):
-                held += len(text)
-                if held > CHUNK_CHARS or i == len(texts) - 1:
-                    out += bpe.counts(texts[first:i + 1])
-                    first, held = i + 1, 0
+            out = [n for first, end in chunks(batch.column(2), CHUNK_CHARS) for n in bpe.counts(batch.column(2).slice(first, end - first).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -60,7 +60,9 @@ MARKER = re.compile(
 #: Fixed values, for transcripts that mark their speakers and for others: how often a line that begins a turn has a marker,
 #: how often that is another speaker's, how often a line inside a turn seems to have one; how often a blank line stands before
 #: either.
-STYLES = {"marked": (0.98, 1e-6, 0.0005, 0.5, 0.2), "bare": (0.01, 0.003, 0.01, 0.9, 0.05)}
+STYLES = {"marked": (0.98, 1e-6, 0.0005, 0.5, 0.2), "bare": (0.01, 1e-6, 0.01, 0.9, 0.05)}
+#: Lines of each state that are counted as if they were like all lines.
+LIKE_ALL = 100
 #: Upper ends of the classes of line length.
 LENGTHS = [40, 120, 400]
 
@@ -180,16 +182,19 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 
 def fit(conversations: DataFrame) -> Model:
-    """Counts over all of ``conversations`` (conv_id, turn, role, text), one added to each. Only sums by role and class of
-    line come to the driver."""
+    """Counts over all of ``conversations`` (conv_id, turn, role, text), one added to each; the make-up of a state's lines is
+    drawn to that of all lines, so that few or odd lines do not outweigh markers. Only sums by role and class of line come to
+    the driver."""
     turns = conversations.where("conv_id is not null and turn is not null").select(
         "conv_id", F.col("turn").cast("long").alias("turn"), known_role().alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     lines = (turns.select("role", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("at", "line"))
              .groupBy("role", F.least("at", F.lit(1)).alias("later"), line_class(F.col("line")).alias("class")).agg(F.count("*").alias("n")).collect())
     first = (turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role")).alias("first")).groupBy(F.col("first.role").alias("role"))
              .agg(F.count("*").alias("n")).collect())
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    pairs = turns.select("conv_id", "turn", "role").join(after, ["conv_id", "turn"]).groupBy("role", "next").agg(F.count("*").alias("n")).collect()
+    # rows of one turn are summed before they meet those of the next: a turn has as many rows as there are roles
+    per_turn = turns.groupBy("conv_id", "turn", "role").agg(F.count("*").cast("double").alias("n"))
+    after = per_turn.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"), F.col("n").alias("m"))
+    pairs = per_turn.join(after, ["conv_id", "turn"]).groupBy("role", "next").agg(F.sum(F.col("n") * F.col("m")).alias("n")).collect()
     at = {r: i for i, r in enumerate(ROLES)}
     count = np.ones((6, CLASSES))
     for r in lines:
@@ -203,6 +208,7 @@ def fit(conversations: DataFrame) -> Model:
     # a further line follows a line as often as there are further lines
     firsts, further = count[:3].sum(1), count[3:].sum(1)
     stay = further / (firsts + further)
+    count += LIKE_ALL * count.sum(0) / count.sum()
     step = np.zeros((6, 6))
     for i in range(3):
         for state in (i, 3 + i):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +20,13 @@ def row_key() -> Column:
 def packed(docs: DataFrame) -> DataFrame:
     """``row`` (all columns of ``docs``), doc_id and text: whatever other columns are called, none is in the way."""
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Rows of ``texts``, first and end, that have about ``size`` bytes together or are one row."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = done = 0
+    while first < len(ends):
+        end = max(first + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield first, end
+        first, done = end, int(ends[end - 1])

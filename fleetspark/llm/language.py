@@ -68,20 +68,23 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Small rows, marked for broadcast if there are few of them."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """The dictionaries, from the bounded sample of rows with a language. ``docs``: text and lang."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.withColumn("hash", F.xxhash64("text"))
     texts = cut(known.select("lang", "hash").distinct())
     # hashes are spread evenly: of n, about four samples' worth lie in the lowest 4 / n, so no ranking sees all of a language
-    counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = few(cut(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))))
     low = (F.col("hash") / 2.0 ** 64 + 0.5) * F.col("n") <= 4 * SAMPLE_TEXTS
     place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     least = cut(texts.join(counts, "lang").where(low).select("lang", "hash", place.alias("place")).where(F.col("place") <= SAMPLE_TEXTS))
-    if least.count() <= MAX_BROADCAST_ROWS:
-        least = F.broadcast(least)
     at = F.pmod("hash", F.greatest(F.length("text") - (SAMPLE_CHARS - 1), F.lit(1))).cast("int") + 1
-    passages = known.join(least, ["lang", "hash"]).select("lang", "place", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("passage"))
+    passages = known.join(few(least), ["lang", "hash"]).select("lang", "place", F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("passage"))
     rows = passages.groupBy("lang", "place").agg(F.min("passage").alias("passage")).collect()
     held: dict[str, list] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["place"])):

@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.llm.cache import Recent
+from fleetspark.llm.keys import chunks
 
 SPACE = "▁"
-#: Stretches and pairs remembered in a worker, and characters of text taken together.
-REMEMBERED = 1_000_000
-PAIRS = 1_000_000
-CHUNK_CHARS = 4_000_000
+#: Bytes of stretches remembered in a worker, pairs remembered (of some 200 bytes), and bytes of text taken together.
+REMEMBERED = 96 << 20
+PAIRS = 250_000
+CHUNK_BYTES = 1_000_000
 
 
 def _fields(data: bytes) -> dict[int, list]:
@@ -189,9 +190,7 @@ class Pieces:
         cut = [self.stretch.findall(self.normalised(t)) for t in texts]
         known = self.known
         unknown = sorted(known.missing(set().union(*cut)))
-        for part, path in zip(unknown, self.paths(unknown), strict=True):
-            ids = self.ids(path)
-            known[part] = pack(f"<{len(ids)}i", *ids)
+        known.remember((part, pack(f"<{len(ids)}i", *ids)) for part, ids in zip(unknown, map(self.ids, self.paths(unknown)), strict=True))
         return [b"".join([known[part] for part in parts]) for parts in cut]
 
     @property
@@ -214,15 +213,6 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    first = held = 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held > CHUNK_CHARS or i == len(texts) - 1:
-            yield first, i + 1
-            first, held = i + 1, 0
-
-
 def encode(docs: DataFrame, path: str, out: str = "piece_ids", digest: bool = False) -> DataFrame:
     """``docs`` and the ids of each text; with ``digest`` instead n_pieces, ids_sha256 (of the ids as 32-bit numbers, low
     byte first) and round_trip, whether decoding gives the text back. ``path`` is on every executor."""
@@ -234,7 +224,7 @@ def encode(docs: DataFrame, path: str, out: str = "piece_ids", digest: bool = Fa
         machine = pieces(path)
         for batch in batches:
             column = batch.column(text_at)
-            for first, end in _chunks(column.to_pylist()):
+            for first, end in chunks(column, CHUNK_BYTES):
                 texts = [t or "" for t in column.slice(first, end - first).to_pylist()]
                 encoded = machine.encode(texts)
                 same = batch.slice(first, end - first)

@@ -5,11 +5,14 @@ between them with ``split``; their lengths, added up, are the places. Quantifier
 where a run of their characters begins, so that no text makes them backtrack or recurse; matches are the same.
 
 Base kinds, leftmost and without overlap per kind: email, ip (parts at most 255), card (13 to 19 digits, Luhn), phone (9 to
-15 digits). Further kinds: iban (mod 97), ssn (never issued numbers excluded; a word such as "social security" must be near).
+15 digits). Further kinds: iban (mod 97), ssn (never issued numbers excluded; a word such as "social security" must be near),
+secret (a run of at least 20 letters, digits and the signs of base64, with letters and digits among them and at least
+``SECRET_SIGNS`` different ones; a word such as "token" must be near).
 
-Each span has a score. A kind begins with its own, a passed checksum raises it, a word of the kind within the 40 characters
-before raises it, a word that speaks against it (order, tracking, version ...) lowers it. Spans of base kinds are reported
-whatever the score; of the others, from ``MIN_SCORE``.
+Each span has a score. A kind begins with its own, a passed checksum raises it, a word of the kind within ``CONTEXT`` characters
+before or after raises it, a word that speaks against it (order, tracking, version ...) within those before lowers it. What
+stands after reaches to the kind's next match at most. Spans of base kinds are reported whatever the score; of the others, from
+``MIN_SCORE``.
 
 Defined results: a null or empty text has no spans; repeated rows are rows of their own.
 """
@@ -25,6 +28,7 @@ from fleetspark.llm.keys import packed
 
 CONTEXT = 40
 MIN_SCORE = 0.6
+SECRET_SIGNS = 10
 CHECKED, SUPPORTED, DOUBTED = 0.3, 0.3, -0.2
 SPEAKS_AGAINST = "order|tracking|version|invoice|serial|isbn|part no"
 
@@ -48,6 +52,7 @@ KINDS = [
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "digit", 0.5,
          "iban|account|bank|konto|cuenta|compte", base=False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "digit", 0.4, "ssn|social security|tax id", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+", "digit", 0.4, "token|secret|passw|api.?key|access.?key|private.?key|bearer|credential", base=False),
 ]
 BASE = [k.name for k in KINDS if k.base]
 
@@ -92,6 +97,9 @@ def _holds(kind: Kind, match: Column) -> Column:
         return F.length(_digits(match)).between(9, 15)
     if kind.name == "iban":
         return _mod97(match)
+    if kind.name == "secret":
+        different = F.size(F.array_distinct(F.split(match, "")))
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (different >= SECRET_SIGNS)
     return F.lit(True)
 
 
@@ -114,24 +122,31 @@ SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def _spans(kind: Kind, text: Column) -> Column:
-    def scored(place):
+    def scored(place, next_start):
         before = F.lower(F.substring(text, F.greatest(place["start"] - CONTEXT, F.lit(0)) + 1, F.least(place["start"], F.lit(CONTEXT))))
+        reach = F.least(F.coalesce(next_start - place["end"], F.lit(CONTEXT)), F.lit(CONTEXT))
+        after = F.lower(F.substring(text, place["end"] + 1, reach))
         first = kind.score + (CHECKED if kind.name in ("card", "iban") else 0.0)
-        score = (F.lit(first) + F.when(before.rlike(kind.context), SUPPORTED).otherwise(0.0)
+        score = (F.lit(first) + F.when(before.rlike(kind.context) | after.rlike(kind.context), SUPPORTED).otherwise(0.0)
                  + F.when(before.rlike(SPEAKS_AGAINST), DOUBTED).otherwise(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), place["start"].alias("start"), place["end"].alias("end"),
                         F.round(F.least(score, F.lit(1.0)), 6).alias("score"))
 
     there = F.col("has_digit") if kind.hint == "digit" else F.contains(text, F.lit(kind.hint))
-    spans = F.transform(F.filter(_places(kind, text), lambda p: _holds(kind, p["match"])), scored)
+    held = F.filter(_places(kind, text), lambda p: _holds(kind, p["match"]))
+    # the matches are found once, however often they are referred to
+    spans = F.get(F.transform(F.array(held), lambda all_: F.transform(all_, lambda p, i: scored(p, F.get(all_, i + 1)["start"]))), F.lit(0))
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
     return F.when(there, spans).otherwise(F.array().cast(SPANS))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` (with a column text) and pii: an array of spans (kind, start, end, score), by kind as in ``KINDS`` and then
-    by start."""
+    """``docs`` (with a column text, and none called pii, pii_text or has_digit) and pii: an array of spans (kind, start, end,
+    score), by kind as in ``KINDS`` and then by start."""
+    taken = {"pii", "pii_text", "has_digit"}.intersection(docs.columns)
+    if taken:
+        raise ValueError(f"columns called {', '.join(sorted(taken))} would be lost")
     plain = docs.withColumn("pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     plain = plain.withColumn("has_digit", F.col("pii_text").rlike("[0-9]"))
     found = plain.withColumn("pii", F.concat(*(_spans(k, F.col("pii_text")) for k in KINDS)))

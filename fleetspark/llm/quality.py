@@ -8,11 +8,12 @@ words.
 A histogram is judged only where a reference applies. Words are if the text has enough of the listed words of some language, in
 share and in kinds; texts in other languages are kept whatever their word distance, and so is prose of invented words. Characters
 of texts mostly in letters without case (Chinese, Arabic, Hindi ...) are compared to references for those, with their signs; no
-labelled texts were there to set these on. Where most letters are of a script without blanks between words,
-``UNSPACED_CHARS`` letters stand for a word in the least length; repeats inside its lines are not seen.
+labelled texts were there to set these on.
 
 Plain counts go with them: words, their characters, symbols, repeated lines, words inside five-word windows that occur
-twice or more. A text of fewer than ten words, or with over a fifth of its words in such windows, fails outright.
+twice or more. A text of fewer than ten words, or with over a fifth of its words in such windows, fails outright. Words are what
+stands between blanks; ``good_texts``, which filters a corpus, takes ``UNSPACED_CHARS`` letters for a word in that least length
+where most letters are of a script without blanks between words. Repeats inside lines of such texts are not seen.
 
 Everything is an expression on the row, in SQL functions: no shuffle, no Python.
 
@@ -146,11 +147,16 @@ def measured(docs: DataFrame) -> DataFrame:
     return out.drop(*(c for c in out.columns if c.startswith("q_")))
 
 
-def base_failed() -> Column:
-    words = F.greatest("n_words", F.coalesce(F.floor(F.col("unspaced_letters") / UNSPACED_CHARS), F.lit(0)))
+def base_failed(words: Column | str = "n_words") -> Column:
+    words = F.col(words) if isinstance(words, str) else words
     return (words < MIN_TEXT_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def words_or_letters() -> Column:
+    """Words, or what a text without blanks has in letters for them."""
+    return F.greatest("n_words", F.coalesce(F.floor(F.col("unspaced_letters") / UNSPACED_CHARS), F.lit(0)))
+
+
 def verdict() -> Column:
     """Whether both distances are small enough, where a reference applies and the text is long enough to tell."""
     return ((F.col("word_chars") < MIN_CHARS) | (F.col("char_distance") <= MAX_CHAR_DISTANCE)) & (
@@ -166,6 +172,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def good_texts(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, as they are."""
-    judged = measured(packed(docs)).select("row", (~base_failed() & verdict()).alias("kept"), F.monotonically_increasing_id().alias("number"))
+    judged = measured(packed(docs)).select("row", (~base_failed(words_or_letters()) & verdict()).alias("kept"), F.monotonically_increasing_id().alias("number"))
     # the row number keeps the filter above: pushed down, it would hold every expression as often as it is referred to
     return judged.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")

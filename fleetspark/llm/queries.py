@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -47,6 +48,7 @@ def op4_web_text(spark, sf_dir):
     return webtext.main_texts(table(spark, sf_dir, "pages"))
 
 
+BACK = "\\"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,17 +67,26 @@ def sql_distance(shares: list[str], reference: list[float]) -> str:
     return f"round(sqrt(greatest(1 + ({own} + {terms}) / 2, 0)), 6)"
 
 
+def sql_count(chars: str) -> str:
+    return "length(flat) - length(regexp_replace(flat, '{}+', '', 'g'))".format(chars.replace("'", "''"))
+
+
 def quality_sql() -> str:
     symbols = quality.SYMBOLS.replace("'", "''")
-    classes = ", ".join(
-        "length(flat) - length(regexp_replace(flat, '{}+', '', 'g')) AS c_{}".format(chars.replace("'", "''"), name) for name, chars in quality.CLASSES.items())
+    classes = ", ".join(f"{sql_count(chars)} AS c_{name}" for name, chars in quality.CLASSES.items())
     shares = [f"c_{name} / greatest(word_chars, 1)" for name in quality.CLASSES]
     shares.append(f"greatest(1 - ({' + '.join(shares)}), 0)")
-    by_language = []
+    signs = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", quality.SIGNS)
+    parts = ["c_digit / greatest(word_chars, 1)", "n_signs / greatest(word_chars, 1)", "greatest(word_chars - c_digit - n_signs - n_letters, 0) / greatest(word_chars, 1)"]
+    parts.append(f"greatest(1 - ({' + '.join(parts)}), 0)")
+    uncased = ", ".join(sql_distance(parts, x) for x in quality.UNCASED)
+    by_language, applies = [], []
     for words in quality.COMMON.values():
-        parts = [f"len(list_filter(runs, lambda x: x = '{w}')) / greatest(n_words, 1)" for w in words]
-        parts.append(f"greatest(1 - ({' + '.join(parts)}), 0)")
-        by_language.append(sql_distance(parts, [*words.values(), 1 - sum(words.values())]))
+        counts = [f"len(list_filter(runs, lambda x: x = '{w}'))" for w in words]
+        found = [f"{n} / greatest(n_words, 1)" for n in counts]
+        found.append(f"greatest(1 - ({' + '.join(found)}), 0)")
+        by_language.append(sql_distance(found, [*words.values(), 1 - sum(words.values())]))
+        applies.append(f"({' + '.join(counts)} >= {quality.MIN_COMMON_SHARE} * n_words AND {' + '.join(f'({n} > 0)::INT' for n in counts)} >= {quality.MIN_COMMON_KINDS})")
     return f"""
       WITH t AS (SELECT doc_id, coalesce(text, '') AS body, {sql_words(NO_BLANK, False)} AS words,
           translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS flat FROM documents),
@@ -85,13 +96,15 @@ def quality_sql() -> str:
       w AS (SELECT doc_id, i, words[i:i + 4] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t WHERE len(words) >= 5)),
       r AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM
           (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS times FROM w) WHERE times > 1) GROUP BY doc_id),
+      u AS (SELECT *, CASE WHEN 3 * c_other > word_chars THEN {sql_count("[" + BACK + "p{Lo}" + BACK + "p{Lm}" + BACK + "p{M}]")} ELSE 0 END AS n_uncased FROM m),
+      v AS (SELECT *, n_uncased + {sql_count("[" + BACK + "p{Ll}" + BACK + "p{Lu}]")} AS n_letters, {sql_count(signs)} AS n_signs FROM u),
       d AS (SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-          CASE WHEN word_chars > 0 THEN {sql_distance(shares, quality.PROSE)} END AS char_distance,
-          CASE WHEN n_words > 0 THEN least({", ".join(by_language)}) END AS word_distance FROM m LEFT JOIN r USING (doc_id))
-      SELECT *, n_words < {quality.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+          CASE WHEN n_uncased > 0 AND 2 * n_uncased > n_letters THEN least({uncased}) WHEN word_chars > 0 THEN {sql_distance(shares, quality.PROSE)} END AS char_distance,
+          CASE WHEN n_words > 0 THEN least({", ".join(by_language)}) END AS word_distance, {" OR ".join(applies)} AS words_apply FROM v LEFT JOIN r USING (doc_id))
+      SELECT * EXCLUDE (words_apply), n_words < {quality.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
           NOT (n_words < {quality.MIN_TEXT_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)
           AND (word_chars < {quality.MIN_CHARS} OR char_distance <= {quality.MAX_CHAR_DISTANCE})
-          AND (n_words < {quality.MIN_WORDS} OR word_distance <= {quality.MAX_WORD_DISTANCE}) AS kept FROM d"""
+          AND (n_words < {quality.MIN_WORDS} OR NOT words_apply OR word_distance <= {quality.MAX_WORD_DISTANCE}) AS kept FROM d"""
 
 
 @query("op5_quality", quality_sql())

@@ -41,8 +41,8 @@ WORD = re.compile(r"[^\W\d_]+")
 
 #: Lengths of word beginnings that are features besides whole words; a beginning ends in "*".
 BEGINNINGS = range(4, 8)
-#: Words of which a task remembers the features.
-REMEMBERED = 400_000
+#: Bytes of words of which a worker remembers the features.
+REMEMBERED = 96 << 20
 
 
 def features_of(word: str, known) -> list[str]:
@@ -60,8 +60,7 @@ class Model:
     seen: Recent = field(default_factory=lambda: Recent(REMEMBERED))
 
     def _look_up(self, words: set[str]) -> None:
-        for word in self.seen.missing(words):
-            self.seen[word] = features_of(word, self.weights)
+        self.seen.remember((word, features_of(word, self.weights)) for word in self.seen.missing(words))
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """start, end (code points), probability of each sentence that has a feature."""

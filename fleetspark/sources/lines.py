@@ -53,30 +53,17 @@ def plain_path(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Non-blank lines of text files, split between tasks; not for UTF-16."""
-    read = (
-        spark.read.schema("raw string")
-        .option("encoding", BYTES).option("sep", "\u0001").option("quote", "").option("escape", "")
-        .option("maxCharsPerColumn", "-1").option("mode", "PERMISSIVE")
-        .csv(paths)
-    )
-    return read.select(
+def read_lines(spark: SparkSession, paths: Sequence[str] | str, breaks: str | None = None, faults: bool = False) -> DataFrame:
+    """Lines of text files, split between tasks, blank ones among them. Lines end at line feeds and carriage returns, or at
+    ``breaks`` alone. With ``faults`` what cannot be read is left out, for the reader to find out."""
+    read = spark.read
+    if breaks is not None:
+        read = read.option("lineSep", breaks)
+    if faults:
+        read = read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    return read.text(paths).select(
         plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"), "raw").where(F.col("raw").isNotNull())
-
-
-def read_utf16_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """The same for UTF-16 files, whose newlines are not single bytes: one task per file. One over 2 GiB, more than a row
-    can hold, ends the read with Spark's message."""
-    whole = spark.read.format("binaryFile").load(list(paths))
-    with java_charsets(spark):
-        text = F.decode("content", "UTF-16")
-        rows = whole.select(
-            F.col("path").alias("file"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("seq", "line"))
-        return rows.where(F.trim("line") != "").select(
-            "file", F.lit(0).cast("long").alias("block"), F.col("seq").cast("long").alias("seq"),
-            byte_text(F.col("line")).alias("raw"))
+        F.monotonically_increasing_id().alias("seq"), F.decode(F.col("value").cast("binary"), BYTES).alias("raw"))
 
 
 def row_no(block: str = "block", seq: str = "seq") -> Column:
