@@ -20,6 +20,7 @@ from fleetspark.functions.text import (
 )
 from fleetspark.operators.ordered import sized
 from fleetspark.params import DictionaryParams
+from fleetspark.session import cut
 
 # Header words of the five families, strong key words, empty units.
 KEY_HINTS = ("csv", "code", "コード", "key", "id", "tag", "タグ", "signal", "point", "列名", "column", "raw", "item")
@@ -200,67 +201,88 @@ def index(entry_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return exact, norm
 
 
-def _substrings(text: Column, least: int) -> Column:
-    """All distinct substrings of at least ``least`` characters."""
-    n = F.length(text)
-    starts = F.when(n >= least, F.sequence(F.lit(1), n - (least - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(
-        starts, lambda i: F.transform(F.sequence(F.lit(least), n - i + 1), lambda m: F.substr(text, i, m)))))
-
-
 def _grams(text: Column, size: int) -> Column:
     n = F.length(text)
     starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+    return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+
+
+def _holders(short: DataFrame, long: DataFrame, part: str, whole: str, size: int) -> DataFrame:
+    """Pairs in which ``long.whole`` holds ``short.part``, of at least ``size`` characters: found by one anchor of each part,
+    of its pieces of ``size`` characters the one that fewest wholes have. A whole that holds the part has all of its pieces."""
+    pieces = long.select("file", whole, F.explode(F.array_distinct(_grams(F.col(whole), size))).alias("_piece")).distinct()
+    often = pieces.groupBy("file", "_piece").agg(F.count(F.lit(1)).alias("_often"))
+    own = short.where(F.length(part) >= size).select("file", part, F.explode(F.array_distinct(_grams(F.col(part), size))).alias("_piece")).distinct()
+    # a part with a piece that no whole has is in none
+    anchors = own.join(often, ["file", "_piece"], "left").groupBy("file", part).agg(
+        F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("n"), "_piece")).alias("_a")).where("_a.n > 0").select("file", part, F.col("_a._piece").alias("_piece"))
+    return anchors.join(pieces, ["file", "_piece"]).where(F.col(whole).contains(F.col(part))).select("file", part, whole)
 
 
 def substring_matches(headers: DataFrame, norm: DataFrame) -> DataFrame:
     """First entry whose text is inside the header or holds it: file, raw, entry.
 
-    An equality join on substrings instead of comparing every header with every
-    entry. ``headers`` has file, raw and the normalised ``base``.
+    ``headers`` has file, raw and the normalised ``base``. Texts meet by one piece of
+    the one that would be inside, so what is joined grows with the length of texts.
     """
-    long_enough = norm.where(F.length("lookup") >= MIN_SUBSTRING)
-    asked = headers.where(F.col("base") != "").select("file", "raw", "base")
-    inside = (
-        asked.select("file", "raw", F.explode(_substrings(F.col("base"), MIN_SUBSTRING)).alias("lookup"))
-        .join(long_enough, ["file", "lookup"]).select("file", "raw", "entry")
-    )
-    holding = (
-        long_enough.select("file", "entry", F.explode(_substrings(F.col("lookup"), 1)).alias("base"))
-        .join(asked, ["file", "base"]).select("file", "raw", "entry")
-    )
-    return inside.unionByName(holding).groupBy("file", "raw").agg(F.min_by("entry", "entry.ord").alias("entry"))
+    entries = norm.where(F.length("lookup") >= MIN_SUBSTRING)
+    asked = headers.where(F.col("base") != "").select("file", "base").distinct()
+    found = _holders(entries.select("file", "lookup"), asked, "lookup", "base", MIN_SUBSTRING)
+    for size in range(1, MIN_SUBSTRING + 1):
+        # a header of fewer characters is itself its only piece
+        fits = F.length("base") == size if size < MIN_SUBSTRING else F.length("base") >= size
+        found = found.unionByName(_holders(asked.where(fits), entries.select("file", "lookup"), "base", "lookup", size))
+    first = found.join(entries.select("file", "lookup", "entry"), ["file", "lookup"]).groupBy("file", "base").agg(F.min_by("entry", "entry.ord").alias("entry"))
+    return headers.select("file", "raw", "base").join(first, ["file", "base"]).select("file", "raw", "entry")
+
+
+def _numbered(pieces: Column, size: int) -> Column:
+    """Pieces that repeat told apart: size, piece, how many like it stand before it."""
+    return F.transform(pieces, lambda p, i: F.struct(F.lit(size).alias("size"), p.alias("piece"), F.size(F.filter(F.slice(pieces, 1, i), lambda x: x == p)).alias("nth")))
 
 
 def fuzzy_matches(headers: DataFrame, norm: DataFrame, cutoff: float = 0.86) -> DataFrame:
-    """Most similar entry of at least ``cutoff``: file, raw, entry, ratio.
+    """Most similar entry of at least ``cutoff`` (above 0): file, raw, entry, ratio.
+
+    A similarity of c between texts of a and b characters means M >= c (a + b) / 2 characters that match, in order. So
+
+    * their lengths differ by a factor of at most (2 - c) / c;
+    * at least M characters, told apart by number, are in both; and since k stretches of matching characters have k - 1 gaps
+      of others between them, at least 3 M - (a + b) - 1 pairs of neighbours are;
+    * at most (a + b) - 2 M letters have to be taken out or put in, and changing one for another is cheaper still.
 
-    Only texts that share a piece are compared. With M matching characters of s in
-    all and none of the matches longer than q - 1, there are at least M/(q-1) - 1
-    characters between them, so M <= (s + 1) / (2 + 1/(q-1)). At 0.86 that rules out
-    a match without a common pair for s >= 4 and without a common triple for s >= 14.
+    Texts meet by pieces: pairs of neighbours if both are long enough to share one for certain, else characters. If two texts
+    share at least m of a text's n pieces, one of them is among its n - m + 1 rarest. Edit distance, in the JVM, then leaves few
+    pairs for the similarity itself.
     """
-    if cutoff < 0.86:
-        raise ValueError("the shared-piece test is exact for cutoffs of 0.86 and above")
-    asked = headers.select("file", "raw", "text")
-
-    def pieces(df, text, keep):
-        return df.select("file", *keep, F.explode(F.concat(
-            F.transform(_grams(F.col(text), 2), lambda g: F.struct(F.lit(2).alias("q"), g.alias("g"))),
-            F.transform(_grams(F.col(text), 3), lambda g: F.struct(F.lit(3).alias("q"), g.alias("g"))),
-        )).alias("_p"))
-
-    left = pieces(asked, "text", ["raw", "text"])
-    right = pieces(norm, "lookup", ["lookup", "entry"])
-    total = F.length("text") + F.length("lookup")
-    could = 2.0 * F.least(F.length("text"), F.length("lookup")) / total >= cutoff
-    q = F.when(total >= 14, 3).otherwise(2)
-    pairs = left.join(right, ["file", "_p"]).where(could & (F.col("_p.q") == q)) \
-        .groupBy("file", "raw", "text", "lookup").agg(F.first("entry").alias("entry"))
-    rated = pairs.withColumn("ratio", similarity("text", "lookup")).where(F.col("ratio") >= cutoff)
+    if not 0 < cutoff <= 1:
+        raise ValueError("the cutoff of similarity lies above 0 and up to 1")
+    asked, known = headers.select("file", "raw", F.col("text").alias("x")), norm.where(F.length("lookup") > 0).select("file", F.col("lookup").alias("y"), "entry")
+    texts = asked.select("file", F.lit(0).alias("side"), F.col("x").alias("t")).unionByName(
+        known.select("file", F.lit(1).alias("side"), F.col("y").alias("t"))).where(F.length("t") > 0).distinct()
+    # of a text of n characters and the shortest partner it may have
+    n = F.length("t")
+    total = n + F.ceil(n * cutoff / (2 - cutoff) - 1e-9)
+    least = F.greatest(F.ceil(total * cutoff / 2 - 1e-9), F.lit(1))
+    least_pairs = F.ceil(total * (1.5 * cutoff - 1) - 1e-9) - 1
+    pieces = F.explode(F.concat(_numbered(_grams(F.col("t"), 1), 1), F.when(least_pairs > 0, _numbered(_grams(F.col("t"), 2), 2)).otherwise(
+        F.array().cast("array<struct<size:int,piece:string,nth:int>>")))).alias("p")
+    rows = texts.withColumn("long", least_pairs > 0).select("file", "side", "t", "long", n.alias("n"), least.alias("least"), least_pairs.alias("least_pairs"), pieces)
+    rows = cut(rows)
+    often = rows.groupBy("file", "p").agg(F.count(F.lit(1)).alias("often"))
+    rarest = F.row_number().over(Window.partitionBy("file", "side", "t", "p.size").orderBy("often", "p"))
+    has = F.when(F.col("p.size") == 1, F.col("n") - F.col("least") + 1).otherwise(F.col("n") - 1 - F.col("least_pairs") + 1)
+    prefix = rows.join(often, ["file", "p"]).withColumn("place", rarest).where(F.col("place") <= has).select("file", "side", "t", "n", "long", "p")
+    left = prefix.where("side = 0").select("file", "p", F.col("t").alias("x"), F.col("n").alias("nx"), F.col("long").alias("lx"))
+    right = prefix.where("side = 1").select("file", "p", F.col("t").alias("y"), F.col("n").alias("ny"), F.col("long").alias("ly"))
+    both = F.col("nx") + F.col("ny")
+    could = 2.0 * F.least("nx", "ny") >= cutoff * both - 1e-9
+    pairs = left.join(right, ["file", "p"]).where(could & ((F.col("p.size") == 2) == (F.col("lx") & F.col("ly")))).select("file", "x", "y", both.alias("both")).distinct()
+    near = pairs.where(F.levenshtein("x", "y") <= F.col("both") * (1 - cutoff) + 1e-9)
+    rated = near.withColumn("ratio", similarity("x", "y")).where(F.col("ratio") >= cutoff)
     best = F.max_by(F.struct("entry", "ratio"), F.struct(F.col("ratio"), -F.col("entry.ord")))
-    return rated.groupBy("file", "raw").agg(best.alias("_b")).select("file", "raw", "_b.entry", "_b.ratio")
+    found = rated.join(known, ["file", "y"]).groupBy("file", "x").agg(best.alias("_b"))
+    return asked.join(found, ["file", "x"]).select("file", "raw", "_b.entry", "_b.ratio")
 
 
 def translate(headers: DataFrame, entry_rows: DataFrame, params: DictionaryParams = DictionaryParams()) -> DataFrame:

@@ -17,12 +17,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.functions.timefn import duration_us, micros
+from fleetspark.functions.timefn import duration_us, from_micros, micros
 from fleetspark.session import cut
 
 DEFAULT_CHUNK = "1 day"
 BLOCK_ROWS = 100_000
 SMALL_GROUP = 100_000
+#: Probes, of some 30 bytes, up to which they are sent to all tasks; stretches of time of a series that are walked.
+MAX_PROBES = 200_000
+MAX_WALK = 100_000
+#: A key with more than this part of all rows is looked up, not sent anywhere.
+HEAVY = 1000
 
 
 # what a local relation may hold
@@ -208,45 +213,90 @@ def with_centred_window(df: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 
 def nearest(probes: DataFrame, samples: DataFrame, keys: Sequence[str], value: str,
-            ts: str = "ts", chunk: str = DEFAULT_CHUNK) -> DataFrame:
+            ts: str = "ts", chunk: str | None = None) -> DataFrame:
     """The sample closest in time to each probe; the earlier one on equal distance.
 
     ``probes`` has ``keys`` and ``ts``; the result adds ``sample_ts`` and ``value``
     (which may be null, as the sample itself may be). Samples are unique by ``ts``.
+
+    Time is cut into stretches of ``chunk``, or so that about one probe falls into
+    each. Of a stretch only its first and last sample go on, which a walk over
+    stretches carries to those without; samples meet the probes of their own stretch,
+    and the nearest on either side are aggregates. Readings are never sorted.
     """
+    at = micros(ts)
+    probes = sized(probes.select(*keys, at.alias("_p")).distinct(), MAX_PROBES)
+    width = duration_us(chunk) if chunk else _probe_spacing(probes, samples, keys, at)
     k = [*keys, "_chunk"]
-    sample = F.struct(F.col(ts).alias("ts"), F.col(value).alias("value"))
-    empty = F.lit(None).cast(samples.select(sample.alias("s")).schema["s"].dataType)
-    marked = samples.select(*keys, ts, sample.alias("_sample"), F.lit(0).alias("_probe"))
-    asked = probes.select(*keys, ts, empty.alias("_sample"), F.lit(1).alias("_probe"))
-    rows = marked.unionByName(asked).withColumn("_chunk", chunk_no(ts, chunk))
+    timed = samples.where(F.col(ts).isNotNull()).select(*keys, at.alias("_s"), F.col(value).alias("_value"), F.col(ts).alias("_ts"))
+    in_chunk = timed.withColumn("_chunk", F.floor(F.col("_s") / width).cast("long"))
+    asked = probes.withColumn("_chunk", F.floor(F.col("_p") / width).cast("long"))
     walk = Window.partitionBy(*keys).orderBy("_chunk")
-    edges = rows.groupBy(*k).agg(
-        F.max_by("_sample", F.when(F.col("_sample").isNotNull(), F.col(ts))).alias("_tail"),
-        F.min_by("_sample", F.when(F.col("_sample").isNotNull(), F.col(ts))).alias("_head"),
-    ).select(
-        *k,
-        F.last("_tail", True).over(walk.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"),
-        F.first("_head", True).over(walk.rowsBetween(1, Window.unboundedFollowing)).alias("_future"),
-    )
-    inside = Window.partitionBy(*k).orderBy(ts, "_probe")
-    behind = F.last("_sample", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_sample", True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    found = (
-        rows.withColumn("_behind", behind).withColumn("_ahead", ahead)
-        .where(F.col("_probe") == 1)
-        .join(edges, k)
-        .withColumn("_behind", F.coalesce("_behind", "_past"))
-        .withColumn("_ahead", F.coalesce("_ahead", "_future"))
-    )
-    late = micros("_ahead.ts") - micros(ts)
-    early = micros(ts) - micros("_behind.ts")
-    pick = F.when(F.col("_behind").isNull(), F.col("_ahead")).when(
-        F.col("_ahead").isNotNull() & (late < early), F.col("_ahead")).otherwise(F.col("_behind"))
-    return (
-        found.withColumn("_pick", pick)
-        .select(*keys, ts, F.col("_pick.ts").alias("sample_ts"), F.col("_pick.value").alias(value))
+    none = F.lit(None).cast("long")
+    edges = (
+        in_chunk.groupBy(*k).agg(F.min("_s").alias("_head"), F.max("_s").alias("_tail"))
+        .unionByName(asked.select(*k, none.alias("_head"), none.alias("_tail")).distinct())
+        .groupBy(*k).agg(F.min("_head").alias("_head"), F.max("_tail").alias("_tail"))
+        .select(*k, F.last("_tail", True).over(walk.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"),
+                F.first("_head", True).over(walk.rowsBetween(1, Window.unboundedFollowing)).alias("_future"))
     )
+    beside = in_chunk.select(*k, "_s").join(asked, k).groupBy(*k, "_p").agg(
+        F.max(F.when(F.col("_s") <= F.col("_p"), F.col("_s"))).alias("_behind"), F.min(F.when(F.col("_s") >= F.col("_p"), F.col("_s"))).alias("_ahead"))
+    found = asked.join(beside, [*k, "_p"], "left").join(edges, k)
+    behind, ahead = F.coalesce("_behind", "_past"), F.coalesce("_ahead", "_future")
+    late, early = ahead - F.col("_p"), F.col("_p") - behind
+    pick = F.when(behind.isNull(), ahead).when(ahead.isNotNull() & (late < early), ahead).otherwise(behind)
+    picked = sized(found.select(*keys, "_p", pick.alias("_s")), MAX_PROBES)
+    seen = timed.join(picked.select(*keys, "_s").distinct(), [*keys, "_s"])
+    return picked.join(seen, [*keys, "_s"], "left").select(
+        *keys, from_micros(F.col("_p")).cast(samples.schema[ts].dataType).alias(ts), F.col("_ts").alias("sample_ts"), F.col("_value").alias(value))
+
+
+def _probe_spacing(probes: DataFrame, samples: DataFrame, keys: Sequence[str], at: Column) -> int:
+    """Microseconds that lie between probes of the series with most of them, not so few that a walk would be long."""
+    per_series = probes.groupBy(*keys).agg(((F.max("_p") - F.min("_p")) / F.count(F.lit(1))).alias("_gap"))
+    gap = per_series.agg(F.min("_gap")).first()[0] or 0
+    ends = samples.select(at.alias("_s")).agg(F.min("_s"), F.max("_s")).first()
+    span = (ends[1] - ends[0]) if ends[0] is not None else 0
+    return max(int(gap), span // MAX_WALK, 1)
+
+
+def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """1-based place of each row in the order of all, which no task sees whole: ranges of the order are numbered by
+    themselves, and continue where the ranges before them end."""
+    ranges = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    # a row for each range
+    walk = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sized(before.select("_range", F.coalesce(F.sum("_n").over(walk), F.lit(0)).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_inside", inside).join(before, "_range").withColumn(
+        name, (F.col("_inside") + F.col("_before")).cast("int")).drop("_range", "_inside", "_before")
+
+
+def join_known(rows: DataFrame, known: DataFrame, keys: Sequence[str], weight: str, spread: Sequence[str]) -> DataFrame:
+    """Left join of ``rows`` with ``known`` (``keys``, unique, and further columns), of which ``weight`` rows each will be met.
+
+    A key of more than a ``HEAVY``-th of all is looked up in every task, of which there are at most ``HEAVY``. The rows of such
+    keys, and those with a null key, do not go where the others' keys send them but are dealt out by ``spread``.
+    """
+    known = cut(known)
+    total = known.agg(F.sum(weight)).first()[0] or 0
+    others = [c for c in known.columns if c not in (*keys, weight)]
+    hot = F.col(weight) * HEAVY > total
+    heavy = known.where(hot).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in others], F.lit(True).alias("_heavy"))
+    # 0, but not to the optimizer, which would take a constant out of the join's keys
+    light = known.where(~hot).select(*keys, *others, F.pmod(F.col(weight), F.lit(1)).cast("int").alias("_salt"))
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    away = F.coalesce("_heavy", F.lit(False)) | null
+    out = rows.join(F.broadcast(heavy), [*keys], "left")
+    out = out.withColumn("_salt", F.when(away, 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int")).otherwise(0))
+    out = out.join(light, [*keys, "_salt"], "left")
+    for c in others:
+        out = out.withColumn(c, F.coalesce(F.col(f"_hot_{c}"), F.col(c))).drop(f"_hot_{c}")
+    return out.drop("_salt", "_heavy")
 
 
 def _histogram(rows: DataFrame, cuts: DataFrame, level: Sequence[str], bucket: str) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions.text import strip_entity
 from fleetspark.operators.align import entity_number
+from fleetspark.operators.ordered import with_position
 from fleetspark.params import PLANT
 
 # Shapes of "<unit>_<channel>" headers and of status bits, in order of preference.
@@ -161,9 +162,7 @@ def units_only(readings: DataFrame) -> DataFrame:
 
 def ordered_entities(readings: DataFrame) -> DataFrame:
     """Units in their natural order: by first number, those without one last."""
-    # one row per unit
-    order = Window.partitionBy(F.lit(1)).orderBy(entity_number("entity").asc_nulls_last(), "entity")
-    return readings.select("entity").distinct().withColumn("place", F.row_number().over(order))
+    return with_position(readings.select("entity").distinct(), [entity_number("entity").asc_nulls_last(), F.col("entity")])
 
 
 def metric_specs(layouts: DataFrame, channels: DataFrame, strip: bool = True) -> DataFrame:

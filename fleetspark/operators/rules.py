@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fleetspark.operators.ordered import (
     DEFAULT_CHUNK,
     exact_quantiles,
+    join_known,
     values_at_ranks,
     with_previous,
     with_runs,
@@ -163,10 +164,12 @@ def with_duplicate_hit(df: DataFrame, name: str, keys: Sequence[str] = SERIES,
         rows.where(F.col("_content").isNotNull())
         .groupBy(*keys, "_content").agg(F.count(F.lit(1)).alias("_times"))
         .where(F.col("_times") > 1)
-        .select(*keys, "_content", F.lit(True).alias(name))
+        .withColumn(name, F.lit(True))
     )
+    # half of a series may be zeros, and nulls equal nothing: neither goes to one task
+    spread = [c for c in ORDER if c in df.columns] or df.columns
     return (
-        rows.join(repeated, [*keys, "_content"], "left")
+        join_known(rows, repeated, [*keys, "_content"], "_times", spread)
         .withColumn(name, F.coalesce(name, F.lit(False))).drop("_content")
     )
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions.timefn import HOUR_US, from_micros, micros, ntz
+from fleetspark.operators.ordered import with_position
 from fleetspark.params import ColumnFilter
 
 
@@ -54,9 +55,7 @@ def content_scope(channels: DataFrame, scope: str = "visible", selected: Sequenc
         rows = rows.where(F.col("_sel").isNotNull() | F.coalesce("include", F.lit(True)))
     elif scope != "all":
         raise ValueError(f"unknown scope: {scope}")
-    # one row per channel
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("_sel").asc_nulls_last(), "pos", "metric")
-    return rows.withColumn("place", F.row_number().over(order)).drop("_sel")
+    return with_position(rows, [F.col("_sel").asc_nulls_last(), F.col("pos"), F.col("metric")]).drop("_sel")
 
 
 def cap_channels(scoped: DataFrame, most: int) -> DataFrame:
@@ -76,8 +75,7 @@ def channel_union(analysis: DataFrame, report: DataFrame, forced: Sequence[str]
             F.struct(F.lit(2).alias("src"), F.col("_f.place").alias("place")).alias("_at"))
         parts = parts.unionByName(extra)
     first = parts.groupBy("metric").agg(F.min("_at").alias("_at"))
-    order = Window.partitionBy(F.lit(1)).orderBy("_at")
-    return first.select("metric", F.row_number().over(order).alias("place"))
+    return with_position(first, ["_at"]).select("metric", "place")
 
 
 def keep_channels(readings: DataFrame, channels: DataFrame) -> DataFrame:

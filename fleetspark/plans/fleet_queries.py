@@ -533,10 +533,9 @@ def nearest_sample(spark, sf):
     keys = ev.select("entity", "metric").distinct()
     ends = select.data_range(ev).select(
         F.date_trunc("day", "first_ts").alias("lo"), F.col("last_ts").cast("timestamp").alias("hi"))
-    hours = ends.select(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR")).alias("h")).scalar()
+    hours = F.sequence(ends.select("lo").scalar(), ends.select("hi").scalar(), F.expr("INTERVAL 1 HOUR"))
     probes = keys.withColumn("ts", F.explode(hours)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    chunk = fit_chunk(ev, ["entity", "metric"])
-    return shown(nearest(probes, ev, ["entity", "metric"], "value", chunk=chunk).select("entity", "metric", "ts", "value"))
+    return shown(nearest(probes, ev, ["entity", "metric"], "value").select("entity", "metric", "ts", "value"))
 
 
 CHART = ChartSpec(title="Power", y_columns=("purchase", "click", "error"), entities=("U02", "U05"), max_points=20)

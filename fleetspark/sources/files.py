@@ -6,9 +6,11 @@ import re
 from collections.abc import Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.operators.ordered import with_position
+
 # File patterns of a scan and words that name a dictionary.
 DATA_GLOBS = ("*.csv", "*.CSV", "*.txt")
 DICTIONARY_SUFFIXES = ("xlsx", "xls", "xlsm", "csv")
@@ -40,12 +42,7 @@ def discover(spark: SparkSession, folder: str, globs: Sequence[str] = DATA_GLOBS
     for i in reversed(range(len(globs))):
         regex = "^" + globs[i].replace(".", r"\.").replace("*", ".*").replace("?", ".") + "$"
         hit = F.when(F.col("name").rlike(regex), i).otherwise(hit)
-    # one row per file
-    order = Window.partitionBy(F.lit(1)).orderBy("_glob", "path")
-    return (
-        listing.withColumn("_glob", hit).where("_glob is not null")
-        .withColumn("pos", F.row_number().over(order)).drop("_glob")
-    )
+    return with_position(listing.withColumn("_glob", hit).where("_glob is not null"), ["_glob", "path"], "pos").drop("_glob")
 
 
 def natural_key(name: str | Column) -> Column:

@@ -135,3 +135,46 @@ def test_fit_chunk(spark):
     assert ordered.fit_chunk(df, ["k"]) == "30 days"
     assert ordered.fit_chunk(df, ["k"], most_rows=999) == "5 minutes"
     assert ordered.fit_chunk(df, ["k"], most_rows=10) == "10 seconds"
+
+
+def test_nearest_finds_its_own_stretches(spark):
+    """Probes in a cluster far from most samples, a series without samples, one without probes, a null value."""
+    day = dt.timedelta(days=1)
+    samples = [("a", T0 + i * day, float(i)) for i in range(400)] + [("a", T0 + dt.timedelta(seconds=7), None), ("c", T0, 1.0)]
+    probes = [("a", T0 + dt.timedelta(seconds=s)) for s in range(12)] + [("a", T0 + 1000 * day), ("a", T0 - day), ("b", T0)]
+    out = ordered.nearest(spark.createDataFrame(probes, "k string, ts timestamp_ntz"), spark.createDataFrame(samples, "k string, ts timestamp_ntz, v double"), ["k"], "v")
+    got = {(r.k, r.ts): (r.sample_ts, r.v) for r in out.collect()}
+    assert len(got) == len(probes) and got[("b", T0)] == (None, None)
+    for s in range(12):
+        near = T0 if s < 4 else T0 + dt.timedelta(seconds=7)
+        assert got[("a", T0 + dt.timedelta(seconds=s))] == (near, 0.0 if s < 4 else None)
+    assert got[("a", T0 + 1000 * day)] == (T0 + 399 * day, 399.0) and got[("a", T0 - day)] == (T0, 0.0)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 5000])
+def test_positions(spark, rows):
+    df = spark.range(rows).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("k"), "id").repartition(7)
+    out = ordered.with_position(df, [F.col("k").desc(), "id"])
+    want = {i: n for n, (_, i) in enumerate(sorted((-r.k, r.id) for r in df.collect()), 1)}
+    assert {r.id: r.place for r in out.collect()} == want
+
+
+def test_hot_keys_stay_where_they_are(spark):
+    """Half of the rows zeros, a third nulls: no task of the join gets many of them."""
+    n = 60_000
+    value = F.when(F.col("id") % 2 == 0, 0.0).when(F.col("id") % 3 == 0, F.lit(None).cast("double")).otherwise((F.col("id") % 5000).cast("double"))
+    rows = spark.range(n).select("id", F.lit("s").alias("k"), value.alias("v"))
+    known = rows.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("times")).withColumn("twice", F.col("times") > 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = ordered.join_known(rows, known, ["k", "v"], "times", ["id"])
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        got = {r.id: r.twice for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(tasks) < n / 4 and sum(tasks) == n
+    times = {(r.v): r.times for r in known.collect()}
+    for r in rows.collect():
+        assert got[r.id] == (None if r.v is None else times[r.v] > 1)
