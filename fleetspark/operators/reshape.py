@@ -47,23 +47,17 @@ def guess_unit_pattern(columns: DataFrame, min_entities: int = 2, min_metrics: i
     return per_pattern.groupBy("file").agg(best.alias("_b")).select("file", "_b.*")
 
 
-def guess_alarm_pattern(columns: DataFrame, readings: DataFrame, min_names: int = 8,
-                        min_binary: int = 5, looked_at: int = 40) -> DataFrame:
-    """Per file the pattern of its 0/1 status-bit columns, if it has enough: file, alarm_pattern.
+def guess_alarm_pattern(columns: DataFrame, readings: DataFrame, min_names: int = 8, min_binary: int = 5) -> DataFrame:
+    """Per file the pattern of its 0/1 status-bit columns, if it has enough: file, alarm_pattern. All columns are looked at.
 
     ``readings`` holds the columns' values as file, raw, value.
     """
-    place = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
-    named = (
-        columns.where(F.col("raw").rlike(BIT_PATTERN))
-        .withColumn("_no", place)
-        .withColumn("_prefix", F.split("raw", "_")[0])
-    )
-    first = F.first("_prefix").over(Window.partitionBy("file").orderBy("pos"))
-    names = named.withColumn("_first", first).groupBy("file", "_first").agg(
+    named = columns.where(F.col("raw").rlike(BIT_PATTERN)).withColumn("_prefix", F.split("raw", "_")[0])
+    first = named.groupBy("file").agg(F.min_by("_prefix", "pos").alias("_first"))
+    names = named.join(first, "file").groupBy("file", "_first").agg(
         F.count(F.lit(1)).alias("_names"), F.count_if(F.col("_prefix") == F.col("_first")).alias("_same"))
     binary = (
-        readings.join(named.where(F.col("_no") <= looked_at).select("file", "raw"), ["file", "raw"], "left_semi")
+        readings.join(named.select("file", "raw"), ["file", "raw"], "left_semi")
         .groupBy("file", "raw").agg(F.bool_and(F.col("value").isin(0.0, 1.0)).alias("_bit"))
         .groupBy("file").agg(F.count_if("_bit").alias("_binary"))
     )
@@ -76,33 +70,60 @@ def guess_alarm_pattern(columns: DataFrame, readings: DataFrame, min_names: int
     )
 
 
-def _entity_metric(raw: Column, pattern: str, groups: int) -> tuple[Column, Column]:
-    entity = F.regexp_extract(raw, pattern, 1)
+def header_kinds(columns: DataFrame) -> DataFrame:
+    """Files of equal headers are of one kind: file, kind."""
+    header = F.array_sort(F.collect_list(F.struct("pos", "raw")))
+    return columns.groupBy("file").agg(F.xxhash64(F.to_json(header)).cast("string").alias("kind"))
+
+
+def guess_patterns(columns: DataFrame, readings: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Unit and alarm pattern of every file, "" where it has none: file, pattern, alarm_pattern. Files of one kind are judged
+    together, by the columns they share and by the values of all of them."""
+    per_kind = columns.join(kinds, "file").select(F.col("kind").alias("file"), "pos", "raw").distinct()
+    units = guess_unit_pattern(per_kind).select(F.col("file").alias("kind"), "pattern")
+    cells = readings.join(kinds, "file").select(F.col("kind").alias("file"), "raw", "value")
+    alarms = guess_alarm_pattern(per_kind, cells).withColumnRenamed("file", "kind")
+    return (
+        kinds.join(units, "kind", "left").join(alarms, "kind", "left")
+        .select("file", F.coalesce("pattern", F.lit("")).alias("pattern"), F.coalesce("alarm_pattern", F.lit("")).alias("alarm_pattern"))
+    )
+
+
+def _entity_metric(raw: Column, pattern: Column, groups: int) -> tuple[Column, Column]:
+    def part(n):
+        return F.call_function("regexp_extract", raw, pattern, F.lit(n))
+
+    entity = part(1)
     if groups > 1:
-        metric = F.regexp_extract(raw, pattern, 2)
+        metric = part(2)
     else:
         metric = F.regexp_replace(F.substr(raw, F.position(entity, raw) + F.length(entity)), "^[_ ]+", "")
     return entity, F.when(metric == "", raw).otherwise(metric)
 
 
-def layout(columns: DataFrame, entity_pattern: str = "", alarm_pattern: str = "",
+def layout(columns: DataFrame, entity_pattern: str | Column = "", alarm_pattern: str | Column = "",
            time_column: str | None = None, groups: int = 2) -> DataFrame:
     """Adds role (time, alarm, unit, plant), entity, metric and alarm_entity to a column table.
 
     The alarm test comes first. A bit belongs to the unit whose number is left when
-    the last two digits of its own number are dropped, otherwise to the plant.
+    the last two digits of its own number are dropped, otherwise to the plant. A
+    pattern may be a column, so that every file has its own; "" matches nothing.
     """
     raw = F.col("raw")
     time = F.lit(False) if time_column is None else raw == time_column
-    alarm = raw.rlike(alarm_pattern) if alarm_pattern else F.lit(False)
-    unit = raw.rlike(entity_pattern) if entity_pattern else F.lit(False)
-    entity, metric = (_entity_metric(raw, entity_pattern, groups) if entity_pattern
-                      else (F.lit(None).cast("string"), raw))
-    role = F.when(time, "time").when(alarm, "alarm").when(unit, "unit").otherwise("plant")
+
+    def matches(pattern):
+        if isinstance(pattern, str):
+            return raw.rlike(pattern) if pattern else F.lit(False)
+        return F.when(pattern != "", F.rlike(raw, pattern)).otherwise(False)
+
+    given = F.lit(entity_pattern) if isinstance(entity_pattern, str) else entity_pattern
+    role = F.when(time, "time").when(matches(alarm_pattern), "alarm").when(matches(entity_pattern), "unit").otherwise("plant")
+    out = columns.withColumn("role", role).withColumn("_pattern", F.when(F.col("role") == "unit", given))
+    entity, metric = _entity_metric(raw, F.col("_pattern"), groups)
     out = (
-        columns.withColumn("role", role)
-        .withColumn("entity", F.when(F.col("role") == "unit", entity).when(F.col("role") == "plant", PLANT))
-        .withColumn("metric", F.when(F.col("role") == "unit", metric).otherwise(raw))
+        out.withColumn("entity", F.when(F.col("role") == "unit", entity).when(F.col("role") == "plant", PLANT))
+        .withColumn("metric", F.when(F.col("role") == "unit", metric).otherwise(raw)).drop("_pattern")
     )
     digits = F.regexp_extract("raw", r"(\d+)\D*$", 1)
     number = F.when((F.col("role") == "alarm") & (F.length(digits) >= 3),

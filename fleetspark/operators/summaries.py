@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetspark.functions.timefn import DAY_US, HOUR_US, micros
 from fleetspark.operators.align import row_interval
-from fleetspark.operators.ordered import DEFAULT_CHUNK, with_previous, with_runs
+from fleetspark.operators.ordered import DEFAULT_CHUNK, with_position, with_previous, with_runs
 from fleetspark.params import DELTA_MARKERS
 
 
@@ -85,6 +85,11 @@ def zero_report(readings: DataFrame, order: Sequence[str] = ("ts", "row_no"),
     )
 
 
+def zero_order(rows: DataFrame) -> DataFrame:
+    """Adds ``rank``: the largest share of zeros first, then by unit."""
+    return with_position(rows, [F.desc("zero_pct"), "entity", *[c for c in ("file", "metric") if c in rows.columns]], "rank")
+
+
 def time_gaps(readings: DataFrame, keys: Sequence[str] = ("file", "entity"),
               factor: float = 1.5, chunk: str = DEFAULT_CHUNK) -> DataFrame:
     """Per file: rows, interval and how often a step exceeds 1.5 intervals."""
@@ -124,6 +129,11 @@ def quality_report(readings: DataFrame, files: DataFrame, chunk: str = DEFAULT_C
     )
 
 
+def alarm_order(rows: DataFrame) -> DataFrame:
+    """Adds ``rank``: by unit, what was on longest first."""
+    return with_position(rows, ["entity", F.desc("minutes_on"), *[c for c in ("bit", "file") if c in rows.columns]], "rank")
+
+
 def alarm_summary(bits: DataFrame, channels: DataFrame | None = None,
                   keys: Sequence[str] = ("file", "entity", "bit"),
                   order: Sequence[str] = ("ts", "row_no"), active_only: bool = True,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetspark.functions import text as tx
@@ -9,8 +11,11 @@ from fleetspark.operators import dictionary as dic
 from fleetspark.params import ReaderParams
 from fleetspark.plans.registry import query
 from fleetspark.plans.views import UNIT_SQL, raw_events, table
+from fleetspark.session import shared_folder
+from fleetspark.sinks import tables as sinks
 from fleetspark.sources import files as fl
 from fleetspark.sources import ingest as ing
+from fleetspark.sources import records
 from fleetspark.sources.lines import byte_text, java_charsets
 
 FULL_WIDTH = ("0123456789.", "０１２３４５６７８９．")
@@ -76,19 +81,23 @@ def ingest_columns(spark, sf):
 
 
 def unit_files(spark, sf, before, cells, charset="UTF-8"):
-    """One file per unit: the lines of ``before`` and a header, then ``cells`` of every event, in the bytes of ``charset``."""
+    """One file per unit and day: the lines of ``before`` and a header, then ``cells`` of the events, in the bytes of ``charset``."""
     ev = raw_events(spark, sf)
-    path = F.concat(F.lit("/units/"), "entity", F.lit(".csv"))
+    path = unit_path()
     data = ev.select(path.alias("file"), (F.col("row_no") + 100_000).alias("seq"), F.concat_ws(",", *cells).alias("line"))
     top = [(i, text) for i, text in enumerate([*before, "time,power,status"])]
     heads = data.select("file").distinct().select("file", F.explode(F.array(*[
         F.struct(F.lit(i).cast("long").alias("seq"), F.lit(text).alias("line")) for i, text in top])).alias("_t")).select("file", "_t.seq", "_t.line")
-    lines = heads.unionByName(data).repartition("file")
+    lines = heads.unionByName(data)
     with java_charsets(spark):
         raw = F.decode(F.encode("line", charset), "ISO-8859-1")
         return lines.select("file", F.lit(0).cast("long").alias("block"), "seq", raw.alias("raw"))
 
 
+def unit_path():
+    return F.concat(F.lit("/units/"), F.date_format("ts", "yyyy-MM-dd"), F.lit("/"), "entity", F.lit(".csv"))
+
+
 UNIT_FILE_SQL = f"""SELECT {UNIT_SQL} AS entity, event_id, metric, CASE metric WHEN 'power' THEN value END AS value,
     CASE metric WHEN 'status' THEN {{status}} END AS text FROM events CROSS JOIN (VALUES ('power'), ('status')) m(metric)"""
 
@@ -98,20 +107,15 @@ def with_event(out):
 
 
 @query("ingest_late_encoding", UNIT_FILE_SQL.format(
-    status=f"CASE WHEN event_id = max(event_id) OVER (PARTITION BY {UNIT_SQL}, metric) THEN '停止中' ELSE event_type END"))
+    status=f"CASE WHEN event_id = max(event_id) OVER (PARTITION BY {UNIT_SQL}, ts::DATE, metric) THEN '停止中' ELSE event_type END"))
 def ingest_late_encoding(spark, sf):
     """Only the last line of each file tells its encoding."""
-    last = raw_events(spark, sf).groupBy("entity").agg(F.max("row_no").alias("last"))
-    status = F.when(F.col("row_no") == F.col("last"), "停止中").otherwise(F.col("metric"))
+    last = raw_events(spark, sf).groupBy(unit_path().alias("file")).agg((F.max("row_no") + 100_000).alias("last"))
     lines = unit_files(spark, sf, [], (F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("value").cast("string"), F.col("metric")))
-    shown = raw_events(spark, sf).join(last, "entity").select(
-        F.concat(F.lit("/units/"), "entity", F.lit(".csv")).alias("file"), (F.col("row_no") + 100_000).alias("seq"), status.alias("status"), "metric")
     with java_charsets(spark):
-        kept = F.substr("raw", F.lit(1), F.length("raw") - F.length("metric"))
-        told = F.concat(kept, F.decode(F.encode("status", "windows-31j"), "ISO-8859-1"))
-        lines = lines.join(shown, ["file", "seq"], "left").select(
-            "file", "block", "seq", F.when(F.col("status").isNotNull(), told).otherwise(F.col("raw")).alias("raw"))
-    return with_event(ing.ingest(spark, lines.repartition("file")).readings)
+        told = F.concat(F.regexp_replace("raw", "[^,]*$", ""), F.decode(F.encode(F.lit("停止中"), "windows-31j"), "ISO-8859-1"))
+        lines = lines.join(last, "file").select("file", "block", "seq", F.when(F.col("seq") == F.col("last"), told).otherwise(F.col("raw")).alias("raw"))
+    return with_event(ing.ingest(spark, lines).readings)
 
 
 @query("ingest_skip_rows", UNIT_FILE_SQL.format(status="event_type"))
@@ -121,6 +125,76 @@ def ingest_skip_rows(spark, sf):
     return with_event(ing.ingest(spark, lines, ReaderParams(skip_rows=1500)).readings)
 
 
+@query("ingest_late_data", UNIT_FILE_SQL.format(status="event_type"))
+def ingest_late_data(spark, sf):
+    """The header stands far below the top, and nobody says where."""
+    notes = [f"note {i}" if i % 400 else f"2024-01-{1 + i // 400:02d},{i}" for i in range(1, 900)]
+    lines = unit_files(spark, sf, notes, (F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("value").cast("string"), F.col("metric")))
+    return with_event(ing.ingest(spark, lines).readings)
+
+
+SPLIT = 1 << 20
+
+
+@query("ingest_line_breaks", f"""
+  SELECT {UNIT_SQL} AS entity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, m.metric, CASE m.metric WHEN 'power' THEN value END AS value,
+    CASE m.metric WHEN 'note' THEN event_type || chr(10) || 'no. ' || event_id || ', said "' || event_type || '"' END AS text
+  FROM events CROSS JOIN (VALUES ('power'), ('note')) m(metric)""")
+def ingest_line_breaks(spark, sf):
+    """Every event is two lines, since its last cell holds a line break; splits begin anywhere."""
+    ev = raw_events(spark, sf)
+    first = F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("value").cast("string"), F.concat(F.lit('"'), "metric"))
+    second = F.concat(F.lit("no. "), F.col("row_no").cast("string"), F.lit(', said ""'), "metric", F.lit('"""'))
+    both = F.posexplode(F.array(first, second))
+    data = ev.select(unit_path().alias("file"), "row_no", both.alias("i", "raw")).withColumn("seq", 2 * F.col("row_no") + F.col("i") + 10)
+    heads = data.select("file").distinct().select("file", F.lit(0).cast("long").alias("seq"), F.lit("time,power,note").alias("raw"))
+    lines = heads.unionByName(data.select("file", "seq", "raw"))
+    out = ing.ingest(spark, lines.select("file", (F.expr("seq div 777") * SPLIT).alias("block"), "seq", "raw")).readings
+    return out.select("entity", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "metric", "value", "text")
+
+
+@query("utf16_lines", f"SELECT {UNIT_SQL} AS file, event_type || 'Ċ' || event_id || '਀' AS line FROM events")
+def utf16_lines(spark, sf):
+    """Lines of UTF-16 whose characters hold the byte of a line feed, from the pieces between such bytes."""
+    ev = raw_events(spark, sf)
+    first = ev.groupBy("entity").agg(F.min("row_no").alias("first"))
+    line = F.concat("metric", F.lit("Ċ"), F.col("row_no").cast("string"), F.lit("਀\n"))
+    with java_charsets(spark):
+        data = F.decode(F.encode(line, "UTF-16LE"), "ISO-8859-1")
+        # the second half of a line feed stands before the next line
+        begun = F.concat(F.when(F.col("row_no") == F.col("first"), "ÿþ").otherwise("\0"), data)
+        pieces = ev.join(first, "entity").select(F.col("entity").alias("file"), "row_no", F.posexplode(F.split(begun, "\n")).alias("i", "raw"))
+    pieces = pieces.where((F.col("i") < 2) | (F.col("raw") != "\0")).select(
+        "file", (F.expr("row_no div 500") * SPLIT).alias("block"), (F.col("row_no") * 16 + F.col("i")).alias("seq"), "raw")
+    out = records.utf16_lines(pieces)
+    return out.select("file", F.decode(F.encode("raw", "ISO-8859-1"), "UTF-8").alias("line"))
+
+
+@query("file_faults", f"""
+  WITH l AS (SELECT {UNIT_SQL} AS path, event_type, value, length(event_type) + 1 AS n, event_id FROM events),
+  r AS (SELECT path, sum(n) AS length, sum(n - 1) FILTER (path < 'U05' OR event_id % 9 <> 0) AS got, count(*) FILTER (path < 'U05' OR event_id % 9 <> 0) AS lines
+    FROM l GROUP BY path)
+  SELECT path, length, CASE WHEN got + 2 * lines + 3 < length THEN 'only ' || got || ' of ' || length || ' bytes could be read' END AS fault FROM r""")
+def file_faults(spark, sf):
+    """Units of which every ninth line is missing are told from the others by their bytes."""
+    ev = raw_events(spark, sf).withColumn("path", F.col("entity"))
+    listing = ev.groupBy("path").agg(F.sum(F.length("metric") + 1).alias("length"))
+    there = ev.where((F.col("path") < "U05") | (F.col("row_no") % 9 != 0))
+    read = there.groupBy(F.col("path").alias("file")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("metric")).alias("n_bytes"))
+    return ing.faults(listing, read, spark.createDataFrame([], "file string, size bigint"))
+
+
+@query("period_days", f"""
+  SELECT {UNIT_SQL} AS entity, event_type AS metric, count(*) AS rows, round(sum(value), 3) AS total FROM events
+  WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-09 18:00:00' GROUP BY 1, 2""")
+def period_days(spark, sf):
+    """Readings written by their day, of which a period opens its days only."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    sinks.write_by_date(raw_events(spark, sf), path)
+    found = sinks.read_by_date(spark, path, "2024-01-05 06:00:00", "2024-01-09 18:00:00")
+    return found.groupBy("entity", "metric").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 3).alias("total"))
+
+
 def part_cells(spark, sf):
     """A dictionary file per type of part: brands and parts as two tables side by side, under a title row."""
     part = table(spark, sf, "part")
@@ -261,10 +335,14 @@ def normalize_headers(spark, sf):
         tx.looks_like_unit(F.when(even, "kWh").otherwise(F.col("p_name"))).alias("unit_like"))
 
 
-@query("strip_entity", "SELECT p_partkey, p_name AS name FROM part")
+@query("strip_entity", """
+  SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'PCS' || p_partkey WHEN 2 THEN 'x' || 'pcs' || p_partkey || ' ' || p_name
+    ELSE ltrim(p_size::VARCHAR || p_name) END AS name FROM part""")
 def strip_entity(spark, sf):
-    prefix = F.concat(F.lit("pcs"), F.col("p_partkey").cast("string"))
-    name = F.concat(F.lit(" "), F.upper(prefix), F.lit(" ： - "), "p_name")
+    """With a prefix and signs behind it, nothing but the prefix, the prefix in the middle, and a number that goes on."""
+    k, prefix = F.col("p_partkey") % 4, F.concat(F.lit("pcs"), F.col("p_partkey").cast("string"))
+    name = (F.when(k == 0, F.concat(F.lit(" "), F.upper(prefix), F.lit(" ： - "), "p_name")).when(k == 1, F.upper(prefix))
+            .when(k == 2, F.concat(F.lit("x"), prefix, F.lit(" "), "p_name")).otherwise(F.concat(F.upper(prefix), F.lit("_"), F.col("p_size").cast("string"), "p_name")))
     return table(spark, sf, "part").select("p_partkey", tx.strip_entity(name, prefix).alias("name"))
 
 

@@ -12,10 +12,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.operators import align, diagnostics, reshape, rules, summaries
+from fleetspark.operators import align, diagnostics, reshape, rules, select, summaries
 from fleetspark.operators import dictionary as dic
 from fleetspark.operators.ordered import sized
-from fleetspark.operators.select import filter_columns, period_filter
+from fleetspark.operators.select import filter_columns
 from fleetspark.params import (
     PLANT,
     AnalysisParams,
@@ -42,24 +42,23 @@ class JobParams:
     column_filter: ColumnFilter = ColumnFilter()
     rules: Sequence[Rule] = field(default_factory=default_rules)
     metrics: Sequence[str] = ()
+    scope: str = "visible"
+    most_channels: int = 12
     dictionary_path: str | None = None
 
 
 def wide_layout(data: ing.Ingested, identity: IdentityParams) -> DataFrame:
-    """Layout of every file's columns, with patterns as given or guessed from the first file."""
+    """Layout of every file's columns, with patterns as given or guessed for each kind of file."""
     cols = data.columns.select("file", F.col("idx").alias("pos"), "raw", "is_time").where("n > 0")
-    first = cols.join(cols.groupBy().agg(F.min("file").alias("file")), "file", "left_semi")
-    pattern = identity.entity_from_column
-    if not pattern:
-        found = reshape.guess_unit_pattern(first).select("pattern").first()
-        pattern = found["pattern"] if found else ""
-    alarm = identity.alarm_pattern
-    if not alarm:
-        cells = data.readings.join(first.select("file").distinct(), "file", "left_semi").select(
-            "file", F.col("metric").alias("raw"), "value")
-        found = reshape.guess_alarm_pattern(first, cells).first()
-        alarm = found["alarm_pattern"] if found else ""
-    out = reshape.layout(cols.where(~F.col("is_time")), pattern, alarm)
+    pattern, alarm = identity.entity_from_column, identity.alarm_pattern
+    named = cols.where(~F.col("is_time"))
+    if pattern and alarm:
+        out = reshape.layout(named, pattern, alarm)
+    else:
+        kinds = sized(reshape.header_kinds(cols))
+        bits = data.readings.where(F.col("metric").rlike(reshape.BIT_PATTERN)).select("file", F.col("metric").alias("raw"), "value")
+        guessed = sized(reshape.guess_patterns(named.select("file", "pos", "raw"), bits, kinds))
+        out = reshape.layout(named.join(guessed, "file"), pattern or F.col("pattern"), alarm or F.col("alarm_pattern")).drop("pattern", "alarm_pattern")
     wide = reshape.wide_files(out).select("file", "is_wide")
     return out.join(wide, "file")
 
@@ -94,9 +93,8 @@ def run(spark: SparkSession, folder: str, out: str, params: JobParams = JobParam
 
     layouts = wide_layout(data, params.identity)
     split = split_units(data, layouts)
-    split.repartition("day", "entity", "metric").write.mode("overwrite").partitionBy("day").parquet(f"{out}/readings")
-    stored = spark.read.schema(split.schema).parquet(f"{out}/readings")
-    stored = period_filter(stored, params.analysis.time_from, params.analysis.time_to)
+    sinks.write_by_date(split, f"{out}/readings")
+    stored = sinks.read_by_date(spark, f"{out}/readings", params.analysis.time_from, params.analysis.time_to)
     bits = stored.where("role = 'alarm' and is_wide")
     readings = stored.where("role <> 'alarm' or not is_wide")
 
@@ -108,21 +106,35 @@ def run(spark: SparkSession, folder: str, out: str, params: JobParams = JobParam
         .join(channels.select("metric", "pos", "is_numeric"), "metric")
     )
     a = params.analysis
-    metrics = list(params.metrics) or [
-        r["metric"] for r in align.suggest_metrics(units, channel_files).orderBy("rank").collect()]
+    metrics = list(params.metrics)
+    if not metrics and not layouts.where("is_wide").isEmpty():
+        # wide files: what varies and is not one sensor for all units
+        metrics = [r["metric"] for r in align.suggest_wide_metrics(units, channels).orderBy("rank").collect()]
+    if not metrics:
+        metrics = [r["metric"] for r in align.suggest_metrics(units, channel_files).orderBy("rank").collect()]
+    scoped = select.cap_channels(select.content_scope(channels, params.scope, metrics), params.most_channels)
     values = align.aligned(readings.where(F.col("metric").isin(*metrics)), round_to=a.round_to)
     deviation = align.deviation(values, a.deviation_mode, a.deviation_percent, a.deviation_floor_pct, a.deviation_floor_abs, a.round_to)
     roles = dict(a.roles) or {r["role"]: r["metric"] for r in diagnostics.guess_roles(channels).collect()}
     daily = summaries.daily_summary(units.where(F.col("metric").isin(*metrics)), channels, a.round_to)
+    # a column for each unit, in their natural order
+    names = [r["entity"] for r in reshape.ordered_entities(reshape.units_only(values)).orderBy("place").collect()]
     results = {
+        "value_matrix": align.matrix(reshape.units_only(deviation), names),
+        "deviation_matrix": align.matrix(reshape.units_only(deviation), names, "deviation"),
+        "values": values,
         "deviation": deviation,
+        "kpis": align.kpis(reshape.units_only(values)),
+        "shared": align.shared_channels(values),
+        "long": reshape.tidy(readings, channels),
+        "scope": scoped.select("metric", "place", "dropped"),
         "worst_units": align.worst_units(deviation),
         "daily": daily,
         "ranking": summaries.unit_ranking(daily),
-        "zeros": summaries.zero_report(units.where("value is not null or text is null")),
+        "zeros": summaries.zero_order(summaries.zero_report(units.where("value is not null or text is null"))),
         "quality": summaries.quality_report(units, data.files),
         "flags": rules.collect_flags(readings, channels, params.rules, a.flag_exclude),
-        "alarms": summaries.alarm_summary(bits.withColumn("bit", F.col("raw")), channels),
+        "alarms": summaries.alarm_order(summaries.alarm_summary(bits.withColumn("bit", F.col("raw")), channels)),
         "channels": channels,
         "files": data.files,
     }
@@ -140,6 +152,7 @@ def run(spark: SparkSession, folder: str, out: str, params: JobParams = JobParam
                 "roles": ", ".join(f"{k}={v}" for k, v in roles.items()), "period": f"{a.time_from} - {a.time_to}"})
     sinks.write_tables(results, out)
     sinks.write_cleaned(readings, channels, f"{out}/cleaned")
+    sinks.write_by_entity(readings, channels, results["alarms"], f"{out}/units")
     return {name: spark.read.parquet(f"{out}/{name}") for name in results}
 
 

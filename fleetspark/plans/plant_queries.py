@@ -91,16 +91,17 @@ def unit_ranking(spark, sf):
 
 
 @query("zero_report", f"""
+  SELECT *, row_number() OVER (ORDER BY zero_pct DESC, entity, metric)::INTEGER AS rank FROM (
   SELECT entity, metric, count(z) AS valid, count(*) FILTER (z = 0) AS zero_samples,
          max(run_len) FILTER (z = 0) AS longest_zero_run, round(count(*) FILTER (z = 0) * 100.0 / count(z), 2) AS zero_pct
   FROM ({RUNS_SQL.format(keys='entity, metric', order='ts, row_no', v='is_zero', rows=f'''(
     SELECT *, coalesce(z = 0, false) AS is_zero FROM (
       SELECT *, CASE WHEN value < 5 THEN NULL WHEN value < 20 THEN 0.0 ELSE value END AS z FROM ({EV_SQL})))''')})
-  GROUP BY 1, 2 HAVING count(*) FILTER (z = 0) > 0""")
+  GROUP BY 1, 2 HAVING count(*) FILTER (z = 0) > 0)""")
 def zero_report(spark, sf):
     v = F.col("value")
     rows = raw_events(spark, sf).withColumn("value", F.when(v < 5, None).when(v < 20, 0.0).otherwise(v))
-    return summaries.zero_report(rows, chunk=fit_chunk(rows, ["entity", "metric"])).drop("file")
+    return summaries.zero_order(summaries.zero_report(rows, chunk=fit_chunk(rows, ["entity", "metric"])).drop("file"))
 
 
 GAPS_SQL = """
@@ -148,7 +149,7 @@ def intervals(spark, sf):
              FROM (SELECT DISTINCT ts FROM ({RD})) d
              CROSS JOIN (SELECT DISTINCT entity, metric FROM ({RD})) k
              LEFT JOIN ({RD}) r USING (ts, entity, metric))
-  SELECT entity, bit, count(*) FILTER (is_on) AS minutes_on, round(count(*) FILTER (is_on) * 100.0 / count(*), 2) AS share_pct,
+  SELECT entity, bit, row_number() OVER (ORDER BY entity, count(*) FILTER (is_on) DESC, bit)::INTEGER AS rank, count(*) FILTER (is_on) AS minutes_on, round(count(*) FILTER (is_on) * 100.0 / count(*), 2) AS share_pct,
          count(*) FILTER (is_on AND NOT coalesce(p, false)) AS events,
          strftime(min(ts) FILTER (is_on), '%Y-%m-%d %H:%M:%S') AS first_on, strftime(max(ts) FILTER (is_on), '%Y-%m-%d %H:%M:%S') AS last_on
   FROM (SELECT *, lag(is_on) OVER (PARTITION BY entity, bit ORDER BY ts) AS p FROM b) GROUP BY 1, 2
@@ -157,14 +158,44 @@ def alarm_summary(spark, sf):
     df = wide(spark, sf)
     cells = reshape.melt(df.withColumn("file", F.lit("wide")), ["file", "ts"])
     bits = reshape.alarm_cells(cells, wide_layout_of(spark, sf, df))
-    return shown(summaries.alarm_summary(bits, order=["ts"]).drop("file"))
+    return shown(summaries.alarm_order(summaries.alarm_summary(bits, order=["ts"]).drop("file")))
+
+
+def site_columns(spark, sf):
+    """Files of many sites, a site per type of part: columns <letters><size>_<no>, status bits for every second site."""
+    part = table(spark, sf, "part")
+    code = F.concat(F.when(F.length("p_type") % 2 == 0, "INV").otherwise("PCS"), (F.col("p_size") % 4).cast("string"))
+    channel = F.concat(code, F.lit("_"), F.lit("ch"), (F.col("p_partkey") % 3).cast("string"))
+    bit = F.concat(F.lit("ALM_"), F.lpad((100 + F.col("p_partkey") % 12).cast("string"), 3, "0"))
+    raw = F.explode(F.array(channel, bit))
+    value = F.when(F.col("raw").startswith("ALM"), F.when(F.length("p_type") % 3 == 0, F.col("p_partkey") % 5).otherwise(F.col("p_partkey") % 2)).otherwise(F.col("p_retailprice"))
+    return part.select(F.concat("p_type", F.lit("/"), (F.col("p_partkey") % 2).cast("string")).alias("file"), "p_type", "p_partkey", "p_retailprice", raw.alias("raw")).select(
+        "file", "raw", value.cast("double").alias("value"))
+
+
+@query("guess_alarm_pattern", r"""
+  WITH c AS (SELECT p_type || '/' || (p_partkey % 2) AS file, 'ALM_' || (100 + p_partkey % 12) AS raw,
+      CASE WHEN length(p_type) % 3 = 0 THEN p_partkey % 5 ELSE p_partkey % 2 END AS v FROM part),
+  b AS (SELECT file, raw, bool_and(v IN (0, 1)) AS bit FROM c GROUP BY 1, 2)
+  SELECT file, '^ALM_\d+$' AS alarm_pattern FROM b GROUP BY file HAVING count(*) >= 3 AND count(*) FILTER (bit) >= 2""")
+def guess_alarm_pattern(spark, sf):
+    """Which files have status bits, by the values of all their columns."""
+    cells = site_columns(spark, sf)
+    columns = cells.select("file", F.col("raw"), F.xxhash64("raw").alias("pos")).distinct()
+    return reshape.guess_alarm_pattern(columns, cells, min_names=3, min_binary=2)
 
 
-@query("guess_alarm_pattern", r"SELECT 'wide' AS file, '^ANN_\d+$' AS alarm_pattern")
-def guess_alarm_pattern(spark, sf):
-    df = wide(spark, sf)
-    cells = reshape.melt(df.withColumn("file", F.lit("wide")), ["file", "ts"])
-    return reshape.guess_alarm_pattern(reshape.column_table(df), cells)
+@query("layout_patterns", r"""
+  WITH c AS (SELECT DISTINCT p_type || '/' || (p_partkey % 2) AS file, CASE WHEN length(p_type) % 2 = 0 THEN 'INV' ELSE 'PCS' END AS unit,
+      p_size % 4 AS no, p_partkey % 3 AS ch FROM part),
+  n AS (SELECT file, any_value(unit) AS unit, count(DISTINCT no) AS units, count(DISTINCT ch) AS channels FROM c GROUP BY file)
+  SELECT file, CASE WHEN units < 2 OR channels < 2 THEN '' WHEN unit = 'PCS' THEN '^(PCS\d+)[_ ]+(.+)$' ELSE '^([A-Za-z]{2,6}\d{1,3})[_ ]+(.+)$' END AS pattern
+  FROM n""")
+def layout_patterns(spark, sf):
+    """Every kind of header has a pattern of its own."""
+    cells = site_columns(spark, sf).where(~F.col("raw").startswith("ALM"))
+    columns = cells.select("file", F.col("raw"), F.xxhash64("raw").alias("pos")).distinct()
+    return reshape.guess_patterns(columns, cells, reshape.header_kinds(columns)).select("file", "pattern")
 
 
 # --- diagnostics ----------------------------------------------------------------- #
@@ -391,18 +422,22 @@ def dict_unmatched(spark, sf):
     return dic.unmatched(heads, dic.translate(heads, part_entries(spark, sf)), skip)
 
 
-@query("dict_fuzzy")
+# 32 digits are far from each other, so of all keys the one that was bent is the nearest; n digits and k signs put in after
+# the first half of them match in 2 n of 2 n + k characters
+@query("dict_fuzzy", """
+  SELECT p_type AS file, 'h' || p_partkey AS raw, 'n' || p_partkey AS name, 64.0 / (64 + p_partkey % 40) AS ratio FROM part
+  WHERE 64.0 / (64 + p_partkey % 40) >= 0.75""")
 def dict_fuzzy(spark, sf):
-    """Distinct part names with a letter dropped, found again by similarity."""
-    names = table(spark, sf, "part").groupBy(F.col("p_type").alias("file"), F.col("p_name").alias("key")).agg(
-        F.min("p_partkey").alias("ord"))
-    known = dic.entries(names.select(
-        "file", "ord", "key", F.col("key").alias("name"), F.lit("").alias("unit"), F.lit("").alias("note"),
-        F.lit("").alias("kind"), F.lit(False).alias("shared")))
+    """Codes of parts with signs put in, found again by similarity, below the usual cutoff."""
+    part = table(spark, sf, "part").select(F.col("p_type").alias("file"), "p_partkey", F.md5(F.col("p_partkey").cast("string").cast("binary")).alias("key"))
+    known = dic.entries(part.select(
+        "file", F.col("p_partkey").alias("ord"), "key", F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"), F.lit("").alias("unit"),
+        F.lit("").alias("note"), F.lit("").alias("kind"), F.lit(False).alias("shared")))
     _, norm = dic.index(known)
-    bent = names.select("file", F.col("key").alias("raw"), F.regexp_replace(
-        F.regexp_replace("key", " ", ""), "^(.)(.)(.)", "$1$3").alias("text"))
-    return dic.fuzzy_matches(bent, norm).select("file", "raw", "entry.name", "ratio")
+    norm = norm.where(F.length("lookup") == 32)
+    bent = part.select("file", F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("raw"), F.concat(
+        F.left("key", F.lit(16)), F.repeat(F.lit("z"), (F.col("p_partkey") % 40).cast("int")), F.right("key", F.lit(16))).alias("text"))
+    return dic.fuzzy_matches(bent, norm, 0.75).select("file", "raw", "entry.name", "ratio")
 
 
 @query("build_channels", f"""
