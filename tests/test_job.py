@@ -89,3 +89,25 @@ def test_wide_file(spark, tmp_path):
     sinks.write_tables({"view": view}, out, "csv")
     back = spark.read.option("header", True).csv(f"{out}/view").orderBy("ts").collect()
     assert len(back) == 60 and back[0].asDict() == {"ts": "2026-08-06 09:00:00", "PCS01": "110.0", "PCS02": "210.0"}
+
+
+def test_sites_with_headers_of_their_own(spark, tmp_path):
+    """The first file is not wide; the second is split into units all the same, and what is there is read by day."""
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    plain = "time,power,temp\n" + "".join(f"2026-08-06 08:{m:02d}:00,{m * 3 % 17},{20 + m % 4}\n" for m in range(60))
+    fixtures.write_text(str(src), "001_a_2026-08-06.csv", plain)
+    fixtures.write_text(str(src), "002_b_2026-08-06.csv", wide_text())
+    res = job.run(spark, str(src), out, job.JobParams(analysis=AnalysisParams(time_from="2026-08-06 08:00:00", time_to="2026-08-06 08:29:00")))
+    stored = spark.read.parquet(f"{out}/readings")
+    units = {r.entity: r["count"] for r in stored.where("role = 'unit'").groupBy("entity").count().collect()}
+    assert units == {f"PCS{u:02d}": 360 for u in range(1, 5)}
+    assert stored.where("entity = 'PCS001'").select("metric").distinct().count() == 2
+    scan = sinks.read_by_date(spark, f"{out}/readings", "2026-08-06", "2026-08-07")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in scan
+    assert res["values"].agg(F.max("ts")).first()[0] <= dt.datetime(2026, 8, 6, 8, 29)
+    assert {r.metric for r in res["kpis"].collect()} == {r.metric for r in res["values"].select("metric").distinct().collect()}
+    matrix = res["value_matrix"]
+    assert {"PCS01", "PCS02", "PCS03", "PCS04"} <= set(matrix.columns) and matrix.count() == res["values"].select("metric", "ts").distinct().count()
+    assert [r.rank for r in res["zeros"].orderBy("rank").collect()] == list(range(1, res["zeros"].count() + 1))
+    assert spark.read.parquet(f"{out}/units/units").where("entity = 'PCS02'").count() > 0
+    assert res["long"].count() > 0 and res["scope"].where("not dropped").count() > 0
