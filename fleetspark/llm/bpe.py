@@ -27,7 +27,7 @@ from fleetspark.llm.cache import Recent
 from fleetspark.llm.keys import chunks
 
 #: Bytes of pre-tokens remembered in a worker, and characters of text taken together.
-REMEMBERED = 96 << 20
+REMEMBERED = 192 << 20
 CHUNK_CHARS = 1_000_000
 NO_RANK = np.iinfo(np.int32).max
 #: Fixed value: the pattern of byte-level pre-tokens.

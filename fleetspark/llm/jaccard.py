@@ -3,9 +3,13 @@
 Equal sets are one class; one member stands for all. The join is a prefix-filtered set join that makes use of how sets and
 lists relate:
 
-* Tokens are ordered by how frequent they are, so that prefixes hold rare ones. Counts of all documents are kept in a table
-  of fixed size; the order is total whatever the counts, and the join is exact under any order.
-* Lists of a token are kept in order of set size, and whole stretches are skipped by size and by position of the token.
+* Tokens are ordered by how frequent they are, so that prefixes hold rare ones. Every task counts its tokens in a table of
+  fixed size and sends the places that stand out in it; a token that no task has often counts as rare. The order is total
+  whatever the counts, and the join is exact under any order.
+* Lists of a token are kept in order of set size, and of the token's position in sets of one size. Two sets that have it at
+  these positions share at most what stands behind it in either, so a set's position says up to which size others can match:
+  the list is left there. In a block of one size, the first member whose position is too far back ends the block, since those
+  behind it have it further back still. No pair beyond is formed.
   A 512-bit parity map of each set bounds the number of tokens two sets do not share; pairs of large sets are held against
   maps as large as they are. Long lists are split into stripes, and each pair of stripes is a unit of work of its own.
 * Answers are derived from those of similar sets: a set that is linked to another one inherits its group, and pairs inside
@@ -198,23 +202,32 @@ def partner_pairs(units: DataFrame, similarity: int, partners: int) -> DataFrame
             yield from pairs(held)
 
     def pairs(x):
-        # members of a unit follow each other in order of size; compare each with the next, the one after, and so on
+        # members of a unit follow each other in order of size and position; each is compared with those behind it
         total = len(x["uid"])
         new = np.ones(total, bool)
         new[1:] = (np.diff(x["token"]) != 0) | (np.diff(x["s"]) != 0) | (np.diff(x["r"]) != 0)
         unit = np.cumsum(new)
         none = np.zeros(0, np.int64)
         parts, size, more = [(none, none, none)], 0, none
-        i, step = np.arange(total), 1
-        while len(i := i[i + step < total]):
-            j = i + step
-            # beyond the end of a unit, or of the sizes that can match, no further step matches either
-            keep = (unit[i] == unit[j]) & (100 * x["n"][i] >= similarity * x["n"][j])
+        # what stands behind the token, the greatest partner it allows, and where the next block of one size begins
+        rest = x["n"] - x["place"]
+        reach = np.minimum(100 * x["n"] // similarity, rest * (100 + similarity) // similarity - x["n"])
+        block = np.flatnonzero(np.append(new[1:] | (np.diff(x["n"]) != 0), True)) + 1
+        next_block = block[np.searchsorted(block, np.arange(total), "right")]
+        i = np.arange(total)
+        j = i + 1
+        while True:
+            keep = j < total
             i, j = i[keep], j[keep]
+            # beyond the end of a unit, or of the sizes in reach, no further member matches either
+            keep = (unit[i] == unit[j]) & (x["n"][j] <= reach[i])
+            i, j = i[keep], j[keep]
+            if not len(i):
+                break
             both = x["n"][i] + x["n"][j]
             need = -(-similarity * both // (100 + similarity))
-            fit = ((x["root"][i] != x["root"][j]) & ((x["s"][i] == x["r"][i]) | (x["own"][i] != x["own"][j]))
-                   & (np.minimum(x["n"][i] - x["place"][i], x["n"][j] - x["place"][j]) >= need))
+            late = rest[j] < need
+            fit = ~late & (x["root"][i] != x["root"][j]) & ((x["s"][i] == x["r"][i]) | (x["own"][i] != x["own"][j]))
             p, q, most = i[fit], j[fit], both[fit] - 2 * need[fit]
             apart = np.bitwise_count(x["maps"][p] ^ x["maps"][q]).sum(1, dtype=np.int64)
             for k in np.flatnonzero(apart <= most):
@@ -226,7 +239,7 @@ def partner_pairs(units: DataFrame, similarity: int, partners: int) -> DataFrame
             if size > HELD_PAIRS:
                 *kept, over = nearest(*map(np.concatenate, zip(*parts, strict=True)), partners)
                 parts, size, more = [tuple(kept)], 0, np.union1d(more, over)
-            step += 1
+            j = np.where(late, next_block[j], j + 1)
         a, b, far, over = nearest(*map(np.concatenate, zip(*parts, strict=True)), partners)
         more = np.unique(np.flatnonzero(new)[unit[np.union1d(more, over)] - 1])
         if len(a):
@@ -237,7 +250,7 @@ def partner_pairs(units: DataFrame, similarity: int, partners: int) -> DataFrame
         if len(more):
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(more), pa.int64()) for _ in range(3)), *(pa.array(x[c][more]) for c in ("token", "s", "r"))], schema=schema)
 
-    return (units.repartition("token", "s", "r").sortWithinPartitions("token", "s", "r", "n", "uid")
+    return (units.repartition("token", "s", "r").sortWithinPartitions("token", "s", "r", "n", "place", "uid")
             .mapInArrow(rows, "a bigint, b bigint, apart bigint, token bigint, s int, r int").distinct())
 
 

@@ -38,8 +38,8 @@ from fleetspark.llm.keys import chunks
 
 SPACE = "▁"
 #: Bytes of stretches remembered in a worker, pairs remembered (of some 200 bytes), and bytes of text taken together.
-REMEMBERED = 96 << 20
-PAIRS = 250_000
+REMEMBERED = 192 << 20
+PAIRS = 500_000
 CHUNK_BYTES = 1_000_000
 
 

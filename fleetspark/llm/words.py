@@ -105,17 +105,20 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 class Marks:
     """A set of hashes as a bitmap of fixed size: says yes for all its members, and for few others."""
 
-    def __init__(self, slots: np.ndarray, bits: int):
-        flags = np.zeros(1 << bits, bool)
-        flags[slots] = True
-        self.packed, self.shift = np.packbits(flags), np.uint64(64 - bits)
+    def __init__(self, packed: np.ndarray, bits: int):
+        self.packed, self.shift = packed, np.uint64(64 - bits)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         slot = hashes >> self.shift
-        return (self.packed[slot >> np.uint64(3)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8)) & 1 > 0
+        return (self.packed[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def marks_of(hashes: DataFrame, column: str, bits: int) -> Broadcast:
-    """The bitmap of a column of hashes, sent to all tasks. Distinct slots arrive here: never more than it has bits."""
-    slots = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
-    return hashes.sparkSession.sparkContext.broadcast(Marks(slots, bits))
+    """The bitmap of a column of hashes, sent to all tasks. Tasks make its pages; only those, of 4 kB, arrive here: the bitmap's
+    size at most, whatever the number of hashes."""
+    slot = (F.shiftrightunsigned(column, 64 - bits) + 1).alias("slot")
+    pages = hashes.select(slot).groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    packed = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
+    for row in pages.collect():
+        packed[(row["page"] - 1) * 4096:row["page"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(Marks(packed, bits))
