@@ -38,8 +38,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from fleetspark import session
+from fleetspark.llm.keys import mapped
 
 ROLES = ["system", "user", "assistant"]
 PART_TURNS = 512
@@ -224,7 +226,7 @@ def known_role() -> Column:
 
 
 def format_transcripts(transcripts: DataFrame, model: Model, text: str = "transcript") -> DataFrame:
-    """``transcripts`` and turns (role, text), rendered, n_turns."""
+    """``transcripts`` and turns (role, text), rendered, n_turns; columns of these names are replaced."""
     transcripts = transcripts.drop("turns", "rendered", "n_turns")
     names, at = transcripts.columns, transcripts.columns.index(text)
     shape = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
@@ -236,8 +238,9 @@ def format_transcripts(transcripts: DataFrame, model: Model, text: str = "transc
                 [*batch.columns, pa.array([[{"role": r, "text": t} for r, t in turns] for turns in found], shape),
                  pa.array([render(t) for t in found], pa.string()), pa.array([len(t) for t in found], pa.int64())], [*names, "turns", "rendered", "n_turns"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in transcripts.schema.fields)
-    return transcripts.mapInArrow(rows, f"{schema}, turns array<struct<role:string,text:string>>, rendered string, n_turns bigint")
+    turn = ArrayType(StructType().add("role", "string").add("text", "string"))
+    out = StructType(list(transcripts.schema.fields)).add("turns", turn).add("rendered", "string").add("n_turns", "long")
+    return mapped(transcripts, rows, out.names, out)
 
 
 def slice_text(model: Model, transcript: str, style: str, first: int, last: int, goes_on: bool, after_name: bool) -> tuple[list[str], str]:

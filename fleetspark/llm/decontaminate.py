@@ -10,7 +10,8 @@ Two passes read the texts: one counts the benchmark's shingles in all documents,
 is one bitmap of hashes, of fixed size.
 
 Defined results: a null or wordless text has no words and no hits; an item without words has no window; repeated documents
-and items count each for itself, but items of one id count once; an empty table gives no rows or no hits.
+and items count each for itself, but items of one id count once; an item without an id hits words, but is not among the items
+of a document; an empty table gives no rows or no hits.
 """
 
 from __future__ import annotations

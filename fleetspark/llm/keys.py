@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def row_key() -> Column:
@@ -22,6 +23,14 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def mapped(rows: DataFrame, run, names: list[str], shape: StructType) -> DataFrame:
+    """``rows`` through ``run``, which takes and gives Arrow batches: ``names``, of the types in ``shape``. Names of columns go
+    around Spark's own call, which does not take all of them."""
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(shape.fields)])
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).mapInArrow(
+        lambda batches: (b.rename_columns(plain.names) for b in run(batches)), plain).toDF(*names)
+
+
 def chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Rows of ``texts``, first and end, that have about ``size`` bytes together or are one row."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -15,7 +15,7 @@ another character, so the composed machine goes through a single state before ea
 are cut there, and stretches met lately are remembered.
 
 Defined results: null is an empty text, of no pieces; decoding gives the text that was encoded, but for the sign itself, of
-which the model makes a space.
+which the model makes a space; columns that have the name of a result are replaced by it, others kept whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from fleetspark.llm.cache import Recent
-from fleetspark.llm.keys import chunks
+from fleetspark.llm.keys import chunks, mapped
 
 SPACE = "▁"
 #: Bytes of stretches remembered in a worker, pairs remembered (of some 200 bytes), and bytes of text taken together.
@@ -238,8 +238,9 @@ def encode(docs: DataFrame, path: str, out: str = "piece_ids", digest: bool = Fa
                     ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(encoded), "<i4")))
                     yield pa.RecordBatch.from_arrays([*same.columns, ids], [*names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if not (digest and f.name == "text"))
-    return docs.mapInArrow(rows, schema + (", n_pieces bigint, ids_sha256 string, round_trip boolean" if digest else f", `{out}` array<int>"))
+    kept = StructType([f for f in docs.schema.fields if not (digest and f.name == "text")])
+    added = kept.add("n_pieces", "long").add("ids_sha256", "string").add("round_trip", "boolean") if digest else kept.add(out, ArrayType(IntegerType()))
+    return mapped(docs, rows, added.names, added)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "piece_ids", out: str = "text") -> DataFrame:
@@ -253,5 +254,5 @@ def decode(encoded: DataFrame, path: str, ids: str = "piece_ids", out: str = "te
             texts = [machine.decode(np.array(x or [], "<i4").tobytes()) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(rows, f"{schema}, `{out}` string")
+    shape = StructType(list(encoded.schema.fields)).add(out, "string")
+    return mapped(encoded, rows, shape.names, shape)

@@ -12,7 +12,7 @@ partition and the row's place in it, so a task that runs again does the same.
 The driver sees one number of rows for each input partition and one draw for each partition and shard, nothing of the rows.
 
 Defined results: a null text is empty (size 1, checksum 0); repeated rows are rows of their own; with fewer rows than shards
-some shards are empty; an empty table gives no rows.
+some shards are empty; an empty table gives no rows; columns called shard or slot are replaced, others kept whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetspark.session import cut
 
@@ -76,8 +77,7 @@ def communication_matrix(counts: dict[int, int], shards: int, seed: int) -> dict
 
 def uniform_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``rows`` with shard (from 0) and slot (from 0, gapless in each shard): a uniform shuffle with exact sizes."""
-    columns = [c for c in rows.columns if c not in ("shard", "slot")]
-    kept = cut(rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.spark_partition_id().alias("part")))
+    kept = cut(rows.drop("shard", "slot").select(F.struct("*").alias("row"), F.spark_partition_id().alias("part")))
     counts = {r["part"]: r["count"] for r in kept.groupBy("part").count().collect()}
     matrix = rows.sparkSession.sparkContext.broadcast(communication_matrix(counts, shards, seed))
 
@@ -99,7 +99,8 @@ def uniform_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32)), pa.array(key), pa.array(place)],
                                              ["row", "part", "shard", "key", "place"])
 
-    dealt = kept.mapInArrow(deal, f"row {kept.schema['row'].dataType.simpleString()}, part int, shard int, key bigint, place bigint")
+    shape = StructType().add("row", kept.schema["row"].dataType).add("part", "int").add("shard", "int").add("key", "long").add("place", "long")
+    dealt = kept.mapInArrow(deal, shape)
     bits = max(LEAST_CELL_BITS, math.ceil(math.log2(max(1, sum(counts.values()) / shards / CELL_ROWS))))
     dealt = dealt.withColumn("cell", F.shiftright("key", 62 - bits))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -142,3 +142,21 @@ def test_small_memories_change_nothing(monkeypatch):
     monkeypatch.setattr(pieces, "PAIRS", 3)
     for (make, f), all_ in zip(((pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model")), "encode"), (bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), "counts")), want, strict=True):
         assert [x for i in range(0, 200, 20) for x in getattr(make, f)(texts[i:i + 20])] == all_
+
+
+def test_columns_of_any_name(spark):
+    """Names with blanks, backticks and dots, and those of results."""
+    import public_tokenizers
+
+    from fleetspark.llm import shards
+
+    data = spark.createDataFrame([(1, "a text", 2, 3, 4, 5)], "doc_id bigint, text string, `a b` int, `c``d` int, piece_ids int, shard int")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = pieces.encode(data, model)
+    assert out.columns == ["doc_id", "text", "a b", "c`d", "shard", "piece_ids"] and out.first()["c`d"] == 3
+    assert pieces.decode(out, model, out="back").first()["back"] == "a text"
+    dealt = shards.uniform_shards(data, 2)
+    assert dealt.columns == ["doc_id", "text", "a b", "c`d", "piece_ids", "shard", "slot"] and dealt.first()["a b"] == 2
+    learned = chat.fit(spark.createDataFrame(spoken(1, 5), "conv_id bigint, turn bigint, role string, text string"))
+    odd = spark.createDataFrame([("User: hi", 1, 2)], "transcript string, `x``y` int, turns int")
+    assert chat.format_transcripts(odd, learned).first()["x`y"] == 1
