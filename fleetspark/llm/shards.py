@@ -99,7 +99,7 @@ def uniform_shards(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32)), pa.array(key), pa.array(place)],
                                              ["row", "part", "shard", "key", "place"])
 
-    shape = StructType().add("row", kept.schema["row"].dataType).add("part", "int").add("shard", "int").add("key", "long").add("place", "long")
+    shape = StructType().add("row", kept.schema["row"].dataType).add("part", "integer").add("shard", "integer").add("key", "long").add("place", "long")
     dealt = kept.mapInArrow(deal, shape)
     bits = max(LEAST_CELL_BITS, math.ceil(math.log2(max(1, sum(counts.values()) / shards / CELL_ROWS))))
     dealt = dealt.withColumn("cell", F.shiftright("key", 62 - bits))
