@@ -22,6 +22,26 @@ HEADLINE = [
 ]
 
 
+#: A day of minutes of a wide logger file, and how many of them.
+WIDE_COLUMNS, WIDE_ROWS, WIDE_FILES = 689, 1440, 8
+
+
+def wide_cells_per_sec(spark, folder):
+    """How fast files of the shape of a day's export are read; not among the queries, since its input is made here."""
+    from fleetspark.sources import ingest as ing
+
+    os.makedirs(folder)
+    for n in range(WIDE_FILES):
+        with open(f"{folder}/{n:03d}_2026-08-{n + 1:02d}.csv", "w") as f:
+            f.write(",".join(["time", *(f"PCS{c // 14:02d}_Data{c % 14:02d}" for c in range(1, WIDE_COLUMNS))]) + "\n")
+            for m in range(WIDE_ROWS):
+                stamp = f"2026-08-{n + 1:02d} {m // 60:02d}:{m % 60:02d}:00"
+                f.write(",".join([stamp, *(str((c * 7919 + m * 31) % 5000 / 10) for c in range(1, WIDE_COLUMNS))]) + "\n")
+    start = time.perf_counter()
+    ing.ingest_files(spark, [folder]).readings.write.format("noop").mode("overwrite").save()
+    return round(WIDE_COLUMNS * WIDE_ROWS * WIDE_FILES / (time.perf_counter() - start))
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -46,12 +66,13 @@ def main():
         rows = catalog.QUERIES[name](spark, sf_dir)
         rows.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+    wide = None if only else wide_cells_per_sec(spark, f"{shared}/wide")
     if "ingest_readings" in times:
         # four cells per event line
         cells = 4 * spark.read.parquet(f"{sf_dir}/events.parquet").count()
     print(json.dumps({
         "metric": "total query time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1],
-        "ingest_cells_per_sec": round(cells / times["ingest_readings"]) if cells else None,
+        "ingest_cells_per_sec": round(cells / times["ingest_readings"]) if cells else None, "wide_cells_per_sec": wide,
     }))
 
 

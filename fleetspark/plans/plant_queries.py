@@ -422,21 +422,22 @@ def dict_unmatched(spark, sf):
     return dic.unmatched(heads, dic.translate(heads, part_entries(spark, sf)), skip)
 
 
-# 32 digits are far from each other, so of all keys the one that was bent is the nearest; n digits and k signs put in after
-# the first half of them match in 2 n of 2 n + k characters
+# 32 characters out of 256 are far from each other, so of all keys the one that was bent is the nearest; n characters and k signs
+# put in after the first half of them match in 2 n of 2 n + k
 @query("dict_fuzzy", """
   SELECT p_type AS file, 'h' || p_partkey AS raw, 'n' || p_partkey AS name, 64.0 / (64 + p_partkey % 40) AS ratio FROM part
   WHERE 64.0 / (64 + p_partkey % 40) >= 0.75""")
 def dict_fuzzy(spark, sf):
     """Codes of parts with signs put in, found again by similarity, below the usual cutoff."""
-    part = table(spark, sf, "part").select(F.col("p_type").alias("file"), "p_partkey", F.md5(F.col("p_partkey").cast("string").cast("binary")).alias("key"))
-    known = dic.entries(part.select(
-        "file", F.col("p_partkey").alias("ord"), "key", F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("name"), F.lit("").alias("unit"),
-        F.lit("").alias("note"), F.lit("").alias("kind"), F.lit(False).alias("shared")))
-    _, norm = dic.index(known)
-    norm = norm.where(F.length("lookup") == 32)
-    bent = part.select("file", F.concat(F.lit("h"), F.col("p_partkey").cast("string")).alias("raw"), F.concat(
-        F.left("key", F.lit(16)), F.repeat(F.lit("z"), (F.col("p_partkey") % 40).cast("int")), F.right("key", F.lit(16))).alias("text"))
+    no = F.col("p_partkey").cast("string")
+    code = F.decode(F.unhex(F.sha2(no.cast("binary"), 256)), "ISO-8859-1")
+    part = table(spark, sf, "part").select(F.col("p_type").alias("file"), "p_partkey", code.alias("key"))
+    empty = F.lit("")
+    entry = F.struct(F.col("p_partkey").alias("ord"), F.concat(F.lit("n"), no).alias("name"), empty.alias("unit"), empty.alias("note"),
+                     empty.alias("kind"), F.lit(False).alias("shared"))
+    norm = part.select("file", F.col("key").alias("lookup"), entry.alias("entry"))
+    bent = part.select("file", F.concat(F.lit("h"), no).alias("raw"), F.concat(
+        F.left("key", F.lit(16)), F.repeat(F.lit("号"), (F.col("p_partkey") % 40).cast("int")), F.right("key", F.lit(16))).alias("text"))
     return dic.fuzzy_matches(bent, norm, 0.75).select("file", "raw", "entry.name", "ratio")
 
 
