@@ -238,7 +238,12 @@ def substring_matches(headers: DataFrame, norm: DataFrame) -> DataFrame:
 
 def _numbered(pieces: Column, size: int) -> Column:
     """Pieces that repeat told apart: size, piece, how many like it stand before it."""
-    return F.transform(pieces, lambda p, i: F.struct(F.lit(size).alias("size"), p.alias("piece"), F.size(F.filter(F.slice(pieces, 1, i), lambda x: x == p)).alias("nth")))
+    def told(nth):
+        return F.transform(pieces, lambda p, i: F.struct(F.lit(size).alias("size"), p.alias("piece"), nth(p, i).alias("nth")))
+
+    # few texts have a piece twice
+    repeats = F.size(F.array_distinct(pieces)) < F.size(pieces)
+    return F.when(repeats, told(lambda p, i: F.size(F.filter(F.slice(pieces, 1, i), lambda x: x == p)))).otherwise(told(lambda p, i: F.lit(0)))
 
 
 def fuzzy_matches(headers: DataFrame, norm: DataFrame, cutoff: float = 0.86) -> DataFrame:
@@ -273,11 +278,17 @@ def fuzzy_matches(headers: DataFrame, norm: DataFrame, cutoff: float = 0.86) ->
     rarest = F.row_number().over(Window.partitionBy("file", "side", "t", "p.size").orderBy("often", "p"))
     has = F.when(F.col("p.size") == 1, F.col("n") - F.col("least") + 1).otherwise(F.col("n") - 1 - F.col("least_pairs") + 1)
     prefix = rows.join(often, ["file", "p"]).withColumn("place", rarest).where(F.col("place") <= has).select("file", "side", "t", "n", "long", "p")
-    left = prefix.where("side = 0").select("file", "p", F.col("t").alias("x"), F.col("n").alias("nx"), F.col("long").alias("lx"))
-    right = prefix.where("side = 1").select("file", "p", F.col("t").alias("y"), F.col("n").alias("ny"), F.col("long").alias("ly"))
+
+    def meeting(long, short):
+        # two long texts meet by pairs of neighbours only; by characters short ones meet (a), or one short with one long (b, c)
+        names = F.when(F.col("p.size") == 2, F.array(F.lit("pair"))).when(F.col("long"), F.array(F.lit(long))).otherwise(F.array(*map(F.lit, short)))
+        return F.explode(names).alias("by")
+
+    left = prefix.where("side = 0").select("file", "p", F.col("t").alias("x"), F.col("n").alias("nx"), meeting("c", "ab"))
+    right = prefix.where("side = 1").select("file", "p", F.col("t").alias("y"), F.col("n").alias("ny"), meeting("b", "ac"))
     both = F.col("nx") + F.col("ny")
     could = 2.0 * F.least("nx", "ny") >= cutoff * both - 1e-9
-    pairs = left.join(right, ["file", "p"]).where(could & ((F.col("p.size") == 2) == (F.col("lx") & F.col("ly")))).select("file", "x", "y", both.alias("both")).distinct()
+    pairs = left.join(right, ["file", "p", "by"]).where(could).select("file", "x", "y", both.alias("both")).distinct()
     near = pairs.where(F.levenshtein("x", "y") <= F.col("both") * (1 - cutoff) + 1e-9)
     rated = near.withColumn("ratio", similarity("x", "y")).where(F.col("ratio") >= cutoff)
     best = F.max_by(F.struct("entry", "ratio"), F.struct(F.col("ratio"), -F.col("entry.ord")))

@@ -22,7 +22,6 @@ from fleetspark.plans.views import (
     raw_events,
     readings,
     readings_sql,
-    shown,
     table,
 )
 from fleetspark.session import shared_folder
