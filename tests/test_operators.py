@@ -256,6 +256,18 @@ def test_fuzzy_join_finds_what_comparing_all_pairs_finds(spark, cutoff):
     assert got == want and (len(want) > 20 or cutoff > 0.9)
 
 
+def test_fuzzy_join_of_small_tables_broadcasts_no_pieces(spark, tmp_path):
+    """Estimates are those of the tables, of which pieces are a hundredfold: the only broadcast is a flag for each dictionary."""
+    spark.range(300).selectExpr("'f' AS file", "'h' || id AS raw", "sha2(cast(id AS string), 256) AS text").write.parquet(f"{tmp_path}/t")
+    heads = spark.read.parquet(f"{tmp_path}/t")
+    entry = F.struct(F.lit(1).alias("ord"), F.col("raw").alias("name"))
+    found = dic.fuzzy_matches(heads, heads.select("file", F.col("text").alias("lookup"), entry.alias("entry")), 0.9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert "SortMergeJoin" in plan and all("LeftOuter" in line for line in joins)
+    assert {(r.raw, r.name, r.ratio) for r in found.select("raw", "entry.name", "ratio").collect()} == {(f"h{i}", f"h{i}", 1.0) for i in range(300)}
+
+
 def test_substring_join_finds_what_comparing_all_pairs_finds(spark):
     rng = random.Random(9)
     keys = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(60)})
