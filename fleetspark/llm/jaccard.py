@@ -287,10 +287,12 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARI
     rows = described(docs, gram, similarity, count_bits)
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low"))
     postings = rows.where("prefix is not null").select("uid", "c1", F.posexplode("prefix").alias("place", "token"))
-    shared = (postings.groupBy("token").agg(F.min("c1").alias("first"), F.max("c1").alias("last"), F.count("*").alias("m"))
-              .where("first < last").select("token", "m"))
+    # postings are what is most; with the counts of their token by a window they are shuffled once
+    list_of = Window.partitionBy("token")
+    shared = (postings.select("token", "uid", "place", F.min("c1").over(list_of).alias("first"), F.max("c1").over(list_of).alias("last"), F.count("*").over(list_of).alias("m"))
+              .where("first < last").select("token", "uid", "place", "m"))
     about = rows.where("prefix is not null").join(classes.select("uid"), "uid", "left_semi").select("uid", "n", *_MAPS)
-    lists = stored(postings.drop("c1").join(shared, "token").join(about, "uid"))
+    lists = stored(shared.join(about, "uid"))
     listed = lists.select("uid").distinct()
     keys = stored(rows.select("uid", "key").join(listed, "uid"))
     large = stored(rows.where("large_map is not null").select("uid", "n", "large_map").join(listed, "uid"))

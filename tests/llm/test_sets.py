@@ -9,6 +9,7 @@ import pytest
 
 from fleetspark.llm import decontaminate, jaccard
 from fleetspark.llm.graph import components
+from fleetspark.session import stored
 from tests.llm.edge import LONG, PROSE, documents, empty
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -114,6 +115,18 @@ def test_groups(spark, seed, gram, similarity, stripe):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=repr) == plain_groups(docs, gram, similarity)
 
 
+def test_postings_are_made_and_shuffled_once(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(jaccard, "stored", seen)
+    jaccard.similar_groups(spark.createDataFrame(families(5), "doc_id bigint, text string"), count_bits=6)
+    assert [plan.count("Generate posexplode") for plan in plans if "posexplode" in plan] == [1]
+
+
 def test_one_of_each(spark):
     docs = documents(spark)
     out = jaccard.one_of_each_group(docs)
