@@ -17,6 +17,7 @@ from fleetspark.operators.ordered import (
     DEFAULT_CHUNK,
     exact_quantiles,
     join_known,
+    sized,
     values_at_ranks,
     with_previous,
     with_runs,
@@ -126,7 +127,8 @@ def cutoffs(df: DataFrame, rule: Rule, keys: Sequence[str] = SERIES, value: str
 def with_top_hit(df: DataFrame, rule: Rule, name: str, keys: Sequence[str] = SERIES,
                  value: str = "value") -> DataFrame:
     """Ties at the cutoff are hits too."""
-    edge = cutoffs(df, rule, keys, value)
+    # of known size, so that readings are not sent to the few series that they belong to
+    edge = sized(cutoffs(df, rule, keys, value))
     hit = F.col(value) <= F.col("_cutoff") if rule.bottom else F.col(value) >= F.col("_cutoff")
     return (
         df.join(edge, [*keys], "left")

@@ -65,6 +65,14 @@ def test_top_n_beyond_the_direct_limit(spark):
     assert hit_rows(spark, values, Rule("top_bottom", rank=1500)) == [i for i, v in enumerate(values) if v >= cut]
 
 
+def test_top_hits_move_no_readings(spark):
+    rows = spark.range(5000).selectExpr("concat('U', id % 2) AS entity", "cast(id AS double) AS value")
+    out = rules.with_top_hit(rows, Rule("top_bottom", rank=5, percent=True, bottom=True), "hit", ["entity"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert out.where("hit").count() == 250
+
+
 def test_text_rules(spark):
     df = series_of(spark, None, None, None).withColumn("text", F.element_at(F.array(F.lit("Alarm ON"), F.lit(" "), F.lit("ok")), (F.col("row_no") + 1).cast("int")))
     ch = spark.createDataFrame([("m", "Status", False, True)], "metric string, name string, is_numeric boolean, include boolean")
