@@ -152,7 +152,8 @@ def extract_entries(cells: DataFrame, params: DictionaryParams = DictionaryParam
     def cell(c):
         return F.max(F.when(F.col("col") == F.col(c), F.trim("text")))
 
-    rows = body.groupBy("file", "block", "row").agg(
+    # texts are aggregated by sorting: behind a shuffle, since before it a task may hold a whole table of cells
+    rows = body.repartition("file", "block", "row").groupBy("file", "block", "row").agg(
         *[cell(f"{f}_col").alias(f) for f in ("key", "name", "unit", "kind", "note")])
     rows = rows.where(F.col("key").isNotNull())
     empty = F.lit("")
