@@ -176,6 +176,47 @@ def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray, partners: int) -> tup
     return a[few], b[few], far[few], np.unique(b[~few])
 
 
+def with_partners(postings: DataFrame, similarity: int) -> DataFrame:
+    """token, uid, n, place, m (members of the token's list) of ``postings`` (uid, n, c1, place, token), but for members that
+    match no other one of their list by size and position, and lists of one class.
+
+    Members match if either has enough behind the token for both sizes. The nearest two behind and the one before are looked at
+    as they are, of those farther off only the greatest size in reach, so that few stay in vain and none is lost.
+    """
+    # postings are what is most: they are shuffled once, as narrow as they can be, and all that is asked of their list is told behind
+    at = F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("at")
+    moved = postings.select("token", "uid", "c1", at).repartition("token")
+    moved = moved.withColumn("n", F.shiftright("at", 32)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    order = Window.partitionBy("token").orderBy("n", "place", "uid")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the greatest sizes that a member's position allows its partner, and that its size does besides
+    allowed = F.expr(f"(n - place) * {100 + similarity} div {similarity} - n")
+    told = moved.select("token", "uid", "n", "place", "c1", allowed.alias("allowed")).withColumn(
+        "reach", F.least(F.expr(f"100 * n div {similarity}"), "allowed"))
+    told = told.select(
+        "token", "uid", "n", "place", "allowed", "reach",
+        F.min("c1").over(whole).alias("first"), F.max("c1").over(whole).alias("last"), F.count("*").over(whole).alias("m"),
+        *[F.lead(c).over(order).alias(f"next_{c}") for c in ("n", "allowed")], F.lead("n", 2).over(order).alias("later_n"),
+        *[F.lag(c).over(order).alias(f"last_{c}") for c in ("n", "reach")],
+        F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -2)).alias("earlier_reach"))
+    near = ((F.col("next_n") <= F.col("reach")) & (F.col("n") <= F.col("next_allowed"))) | ((F.col("n") <= F.col("last_reach")) & (F.col("last_n") <= F.col("allowed")))
+    far = (F.col("later_n") <= F.col("reach")) | (F.col("n") <= F.col("earlier_reach"))
+    return told.where(F.col("first") < F.col("last")).where(near | far).select("token", "uid", "n", "place", "m")
+
+
+def units_of(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``units`` whose token, s, r are in ``wanted``. Only they are shuffled."""
+    key = F.xxhash64("token", "s", "r")
+    marks = marks_of(wanted.select(key.alias("mark")), "mark", MARK_BITS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = marks.value.has(batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(has))
+
+    return units.withColumn("mark", key).mapInArrow(rows, units.withColumn("mark", key).schema).drop("mark").join(wanted, ["token", "s", "r"])
+
+
 def partner_pairs(units: DataFrame, similarity: int, partners: int) -> DataFrame:
     """Pairs a < b of list members in different groups that may be linked, with how far apart their parity maps are: for
     each member of a unit of work up to ``partners``, the nearest. A unit that had more is named by token, s, r instead of a
@@ -286,12 +327,9 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARI
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = described(docs, gram, similarity, count_bits)
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low"))
-    postings = rows.where("prefix is not null").select("uid", "c1", F.posexplode("prefix").alias("place", "token"))
-    # postings are what is most; with the counts of their token by a window they are shuffled once
-    list_of = Window.partitionBy("token")
-    shared = (postings.select("token", "uid", "place", F.min("c1").over(list_of).alias("first"), F.max("c1").over(list_of).alias("last"), F.count("*").over(list_of).alias("m"))
-              .where("first < last").select("token", "uid", "place", "m"))
-    about = rows.where("prefix is not null").join(classes.select("uid"), "uid", "left_semi").select("uid", "n", *_MAPS)
+    postings = rows.where("prefix is not null").select("uid", "n", "c1", F.posexplode("prefix").alias("place", "token"))
+    shared = with_partners(postings, similarity)
+    about = rows.where("prefix is not null").join(classes.select("uid"), "uid", "left_semi").select("uid", *_MAPS)
     lists = stored(shared.join(about, "uid"))
     listed = lists.select("uid").distinct()
     keys = stored(rows.select("uid", "key").join(listed, "uid"))
@@ -325,7 +363,7 @@ def similar_groups(docs: DataFrame, gram: int = GRAM, similarity: int = SIMILARI
         if more.isEmpty() and waiting.isEmpty():
             break
         # only units that had more go on, now with the large maps of their members
-        units = stored(units.drop("large_map").join(more, ["token", "s", "r"]).join(large.select("uid", "large_map"), "uid", "left"))
+        units = stored(units_of(units.drop("large_map"), more).join(large.select("uid", "large_map"), "uid", "left"))
         partners *= MORE_PARTNERS
     named = classes.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -127,6 +127,39 @@ def test_postings_are_made_and_shuffled_once(spark, monkeypatch):
     assert [plan.count("Generate posexplode") for plan in plans if "posexplode" in plan] == [1]
 
 
+@pytest.mark.parametrize("seed,similarity", [(1, 90), (2, 60), (3, 80)])
+def test_lists_hold_members_that_can_match(spark, seed, similarity):
+    rng = random.Random(seed)
+    rows = []
+    for token in range(150):
+        for _ in range(rng.choice([1, 2, 2, 3, 9])):
+            n = rng.randint(1, 60)
+            # a prefix is as long as a pair of equal sizes may have it
+            rows.append((len(rows), n, rng.randint(1, 4), rng.randint(0, n - -(-similarity * n // 100)), token))
+    got = jaccard.with_partners(spark.createDataFrame(rows, "uid bigint, n bigint, c1 bigint, place int, token bigint"), similarity).collect()
+    lists = {t: [r for r in rows if r[4] == t] for t in range(150)}
+
+    def match(x, y):
+        need = -(-similarity * (x[1] + y[1]) // (100 + similarity))
+        return x != y and min(x[1], y[1]) * 100 >= similarity * max(x[1], y[1]) and min(x[1] - x[3], y[1] - y[3]) >= need
+
+    several = [x for x in rows if len({y[2] for y in lists[x[4]]}) > 1]
+    needed = {x[0] for x in several if any(match(x, y) for y in lists[x[4]])}
+    assert needed <= {r["uid"] for r in got}
+    # in lists of two none stays in vain
+    assert {r["uid"] for r in got if r["m"] == 2} == {x[0] for x in several if len(lists[x[4]]) == 2} & needed
+    assert len(got) < len(several) and all(r["m"] == len(lists[r["token"]]) for r in got)
+
+
+def test_units_are_found_before_they_move(spark):
+    units = spark.createDataFrame([(t, s, r, 10 * t + s) for t in range(300) for s, r in ((0, 0), (0, 1))], "token bigint, s int, r int, uid bigint")
+    wanted = units.where("token % 7 = 0 and r = 1").select("token", "s", "r")
+    out = jaccard.units_of(units, wanted)
+    assert sorted(r["uid"] for r in out.collect()) == [10 * t for t in range(0, 300, 7)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.split("Join")[1]
+
+
 def test_one_of_each(spark):
     docs = documents(spark)
     out = jaccard.one_of_each_group(docs)
