@@ -28,6 +28,7 @@ UNIT_WORDS = (
 UNIT_SYMBOL = r"^[A-Za-zΩ°℃%/·\^0-9\-]{1,10}$"
 CODE = r"^[A-Za-z0-9_().\-]+$"
 NUMBER = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+WHOLE_TIME = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?\z"
 TIME_LIKE = r"^(\d{4}[-/年]\d{1,2}[-/月]\d{1,2}|\d{1,2}[:：]\d{2})"
 CLOCK = r"^\d{1,2}[:：]\d{2}"
 
@@ -144,7 +145,8 @@ def to_number(c: str | Column, reader: ReaderParams = ReaderParams()) -> Column:
     for token in reader.na_values:
         if re.match(NUMBER, token):
             s = F.nullif(s, F.lit(token))
-    return F.regexp_extract(s, NUMBER, 0).try_cast("double")
+    # '' is no number; to have that told by the cast costs more than all the rest
+    return F.nullif(F.regexp_extract(s, NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def parse_timestamp(c: str | Column) -> Column:
@@ -152,9 +154,17 @@ def parse_timestamp(c: str | Column) -> Column:
 
     Times are local as they are written: an offset from UTC, or Z, is left out.
     """
-    # the last character has no counterpart and goes
-    s = F.translate(fold_width(c), "年月日時分/T秒", "-- ::- ")
+    # the last character has no counterpart and goes; done first, few cells are left that need the long table
+    signs = ("年月日時分/T秒", "-- ::- ")
+    s = fold_width(F.translate(_col(c), *signs))
+    s = F.when(s.rlike("[^-0-9 :.]"), F.translate(s, *signs)).otherwise(s)
     s = F.rtrim(F.ltrim(F.replace(s, F.lit("  "), F.lit(" "))), F.lit(": "))
+    # most are whole by now
+    return F.when(s.rlike(WHOLE_TIME), s.try_cast("timestamp_ntz")).otherwise(_other_timestamp(s))
+
+
+def _other_timestamp(s: Column) -> Column:
+    """:func:`parse_timestamp` of a cell in plain signs, whatever its form."""
     s = F.when(F.length(s) == 8, F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")).otherwise(s)
     s = F.regexp_replace(s, r"(:\d{2}(?:\.\d+)?)\s*(?:[Zz]|[+-]\d{2}:?\d{2})$", "$1")
     s = F.when(F.length(s) > 26, F.regexp_replace(s, r"(\.\d{6})\d+", "$1")).otherwise(s)

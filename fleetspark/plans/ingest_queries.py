@@ -11,7 +11,7 @@ from fleetspark.operators import dictionary as dic
 from fleetspark.params import ReaderParams
 from fleetspark.plans.registry import query
 from fleetspark.plans.views import UNIT_SQL, raw_events, table
-from fleetspark.session import shared_folder
+from fleetspark.session import shared_folder, stored
 from fleetspark.sinks import tables as sinks
 from fleetspark.sources import files as fl
 from fleetspark.sources import ingest as ing
@@ -44,7 +44,8 @@ def event_lines(spark, sf):
     lines = heads.unionByName(data)
     # as when files are read, a file's lines are together and the files are spread over the tasks
     lines = lines.repartition("file")
-    return lines.select("file", F.lit(0).cast("long").alias("block"), "seq", byte_text(F.col("line")).alias("raw"))
+    # written once, as files are, since reading goes over them several times
+    return stored(lines.select("file", F.lit(0).cast("long").alias("block"), "seq", byte_text(F.col("line")).alias("raw")))
 
 
 @query("ingest_readings", f"""

@@ -143,7 +143,7 @@ def split_cells(line: Column, delimiter: Column, candidates: Sequence[str]) -> C
     for d in candidates:
         q = re.escape(d)
         plain = F.split(line, q, -1)
-        pieces = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(q + r'("(?:[^"]|"")*"[^' + q + r']*|[^' + q + ']*)'), F.lit(1))
+        pieces = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(q + r'("(?:[^"]++|"")*"[^' + q + r']*|[^' + q + ']*)'), F.lit(1))
         bare = F.transform(pieces, lambda c: F.when(
             c.startswith('"'), F.replace(F.regexp_replace(F.regexp_replace(c, '^"', ""), '"(?!")([^"]*)$', "$1"), F.lit('""'), F.lit('"'))
         ).otherwise(c))

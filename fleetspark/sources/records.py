@@ -29,7 +29,9 @@ def ends_open(raw: Column, delimiter: str, begins_open: bool = False) -> Column:
     d = re.escape(delimiter)
     line = F.concat(F.lit(delimiter + ('"' if begins_open else "")), raw)
     left = F.regexp_replace(line, f'{d}"(?:[^"]++|"")*+"[^{d}]*+', delimiter.replace("\\", "\\\\").replace("$", "\\$"))
-    return F.when(raw.contains('"'), left.contains(delimiter + '"')).otherwise(F.lit(begins_open))
+    # without a quote at the beginning of a cell none opens
+    some = raw.contains('"') if begins_open else line.contains(delimiter + '"')
+    return F.when(some, left.contains(delimiter + '"')).otherwise(F.lit(begins_open))
 
 
 def _carried(rows: DataFrame, over: Window, start: Column, name: str) -> DataFrame:

@@ -5,12 +5,15 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from fleetspark.functions import text as tx
 from fleetspark.operators import dictionary as dic
 from fleetspark.operators import rules, summaries
 from fleetspark.params import IdentityParams, ReaderParams, Rule
+from fleetspark.plans.catalog import QUERIES
 from fleetspark.sources import files as fl
 from fleetspark.sources import ingest as ing
 from fleetspark.sources.lines import read_lines
+from fleetspark.sources.records import ends_open
 from tests import fixtures
 
 
@@ -204,3 +207,51 @@ def test_one_file_whose_text_tells_late(spark, tmp_path):
     out = ing.ingest_files(spark, [str(tmp_path)])
     assert out.files.first().encoding == "cp932"
     assert out.readings.where("metric = 'status' and text = '停止中'").count() == 5
+
+
+@pytest.mark.parametrize("name", ["ingest_readings", "ingest_empty_columns"])
+def test_lines_of_queries_are_made_once(spark, monkeypatch, name):
+    seen = []
+
+    def ingest(spark, lines, *args):
+        seen.append(lines._jdf.queryExecution().optimizedPlan().toString())
+        return real(spark, lines, *args)
+
+    real = ing.ingest
+    monkeypatch.setattr(ing, "ingest", ingest)
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    # what reading goes over several times holds no work but a scan
+    assert len(seen) == 1 and not any(work in seen[0] for work in ("Union", "Repartition", "Join", "Aggregate"))
+
+
+def test_whole_times_are_read_as_all_others(spark):
+    cells = ["2024-01-05 01:02:03", "2024/1/5 1:2:3.5", "2024年1月5日 01:02:03.123456", "2024-02-30 00:00:00", "2024-01-01T24:00:00", "2024-01-01 00:60:00",
+             "0000-01-01 00:00:00", "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999", "２０２４／０１／０５　０１：０２：０３", "2024-01-01 10:00:00Z", "2024-01-01 10:00:00 PM",
+             "2024-1-1  1:1:1", " 2024-1-1 1:1:1: ", "2024-01-01 01:01", "2024-01-01 01:01:01.1234567", "2024-13-01 00:00:00", "20240101", "x", "", "2024-01-01 00:00:00\n", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    s = F.rtrim(F.ltrim(F.replace(F.translate(tx.fold_width("c"), "年月日時分/T秒", "-- ::- "), F.lit("  "), F.lit(" "))), F.lit(": "))
+    got = df.select(tx.parse_timestamp("c").cast("string").alias("a"), tx._other_timestamp(s).cast("string").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    assert sum(r["a"] is not None for r in got) > 10
+
+
+def test_quotes_are_looked_for_where_cells_begin(spark):
+    lines = ['a,"b', 'a,"b",c', '"a', '"a""', 'a"b', 'a;"b', 'a,b"', '",', '"",""",', '"a"x,"', 'a, "b', '""', '"a,""b"",', 'a,"b""', ""]
+    df = spark.createDataFrame([(x,) for x in lines], "raw string")
+
+    def plain(raw, d):
+        opened, start, i = False, True, 0
+        while i < len(raw):
+            if opened and raw[i:i + 2] == '""':
+                i += 1
+            elif opened and raw[i] == '"':
+                opened = False
+            elif not opened and start and raw[i] == '"':
+                opened = True
+            start = raw[i] == d and not opened
+            i += 1
+        return opened
+
+    for d in ",;":
+        got = [r[0] for r in df.select(ends_open(F.col("raw"), d)).collect()]
+        assert got == [plain(x, d) for x in lines], d
