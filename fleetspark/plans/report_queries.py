@@ -24,7 +24,7 @@ from fleetspark.plans.views import (
     readings_sql,
     table,
 )
-from fleetspark.session import shared_folder
+from fleetspark.session import shared_folder, stored
 from fleetspark.sinks import tables as sinks
 from fleetspark.sources import files as fl
 from fleetspark.sources import ingest as ing
@@ -88,7 +88,7 @@ def ingest_empty_columns(spark, sf):
     lines = unit_files(spark, sf, [], (stamp, F.col("value").cast("string"), F.col("metric"), F.lit("")))
     lines = lines.withColumn("raw", F.when(F.col("raw") == "time,power,status", "time,power,status,spare").otherwise(F.col("raw")))
     blank = lines.where("seq % 3 = 0 AND seq > 1000").withColumn("raw", F.lit(" , ,\t,"))
-    out = ing.ingest(spark, lines.unionByName(blank)).files
+    out = ing.ingest(spark, stored(lines.unionByName(blank))).files
     day = F.element_at(F.split("file", "/"), -2)
     return out.select("entity", day.alias("day"), "n_rows", "n_cols", "n_numeric", "n_text", F.array_join("notes", "; ").alias("notes"))
 
