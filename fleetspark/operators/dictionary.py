@@ -18,9 +18,10 @@ from fleetspark.functions.text import (
     similarity,
     split_unit,
 )
+from fleetspark.operators.fuzzy import candidates
 from fleetspark.operators.ordered import sized
 from fleetspark.params import DictionaryParams
-from fleetspark.session import cut
+from fleetspark.session import stored
 
 # Header words of the five families, strong key words, empty units.
 KEY_HINTS = ("csv", "code", "コード", "key", "id", "tag", "タグ", "signal", "point", "列名", "column", "raw", "item")
@@ -237,72 +238,23 @@ def substring_matches(headers: DataFrame, norm: DataFrame) -> DataFrame:
     return headers.select("file", "raw", "base").join(first, ["file", "base"]).select("file", "raw", "entry")
 
 
-def _numbered(pieces: str, size: int) -> Column:
-    """Keys of the sorted ``pieces``, those that repeat told apart by number: size, key. The column is read for every piece, so it
-    must not be an expression."""
-    at = F.col(pieces)
-    return F.coalesce(F.transform(at, lambda p, i: F.struct(F.lit(size).alias("size"), F.xxhash64(
-        "file", F.lit(size), p, i + 1 - F.array_position(at, p)).alias("key"))), F.array().cast("array<struct<size:int,key:bigint>>"))
-
-
 def fuzzy_matches(headers: DataFrame, norm: DataFrame, cutoff: float = 0.86) -> DataFrame:
     """Most similar entry of at least ``cutoff`` (above 0): file, raw, entry, ratio.
 
-    A similarity of c between texts of a and b characters means M >= c (a + b) / 2 characters that match, in order. So
-
-    * their lengths differ by a factor of at most (2 - c) / c;
-    * at least M characters, told apart by number, are in both; and since k stretches of matching characters have k - 1 gaps
-      of others between them, at least 3 M - (a + b) - 1 pairs of neighbours are;
-    * at most (a + b) - 2 M letters have to be taken out or put in, and changing one for another is cheaper still.
-
-    Texts meet by pieces: pairs of neighbours if both are long enough to share one for certain, else characters. If two texts
-    share at least m of a text's n pieces, k of them are among its n - m + k rarest; two must be, where m allows it. Edit
-    distance, in the JVM, then leaves few pairs for the similarity itself.
+    Texts that may be that similar are found in memory, block by block (:mod:`fleetspark.operators.fuzzy`). At most
+    (a + b) - 2 M characters of texts of a and b, of which M match, have to be taken out or put in, and changing one for another
+    is cheaper still: edit distance, in the JVM, then leaves few pairs for the similarity itself.
 
-    Pieces are many times what the tables hold, which Spark's estimates do not know: no join of them is a broadcast.
+    Texts are many times what the tables hold, which Spark's estimates do not know: no join of them is a broadcast. Starts jobs.
     """
     if not 0 < cutoff <= 1:
         raise ValueError("the cutoff of similarity lies above 0 and up to 1")
     asked, known = headers.select("file", "raw", F.col("text").alias("x")), norm.where(F.length("lookup") > 0).select("file", F.col("lookup").alias("y"), "entry")
     texts = asked.select("file", F.lit(0).alias("side"), F.col("x").alias("t")).unionByName(
         known.select("file", F.lit(1).alias("side"), F.col("y").alias("t"))).where(F.length("t") > 0)
-    # of a text of n characters and the shortest partner it may have
-    n = F.length("t")
-    total = n + F.ceil(n * cutoff / (2 - cutoff) - 1e-9)
-    least = F.greatest(F.ceil(total * cutoff / 2 - 1e-9), F.lit(1))
-    least_pairs = F.ceil(total * (1.5 * cutoff - 1) - 1e-9) - 1
-    # texts are small beside the work on them, so as many tasks as there may be
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = cut(texts.repartition(tasks, "file", "t").distinct().select(
-        F.monotonically_increasing_id().alias("id"), "file", "side", "t", n.alias("n"), least.alias("least"), least_pairs.alias("least_pairs"), (least_pairs > 0).alias("long")))
-    # two long texts meet by pairs of neighbours only; by characters short ones meet (0), or one short with one long (1, 2)
-    short = texts.where(~F.col("long")).select("file", (1 - F.col("side")).alias("side"), F.lit(True).alias("meets_short")).distinct()
-    letters = ~F.col("long") | F.coalesce("meets_short", F.lit(False))
-    cuts = texts.join(F.broadcast(short), ["file", "side"], "left").select(
-        "id", "file", "side", "n", "least", "least_pairs", "long",
-        F.when(letters, F.array_sort(_grams(F.col("t"), 1))).alias("_letters"), F.when(F.col("long"), F.array_sort(_grams(F.col("t"), 2))).alias("_pairs"))
-    rows = cuts.select("id", "side", "n", "least", "least_pairs", "long", F.explode(F.concat(_numbered("_letters", 1), _numbered("_pairs", 2))).alias("p")).select(
-        "id", "side", "n", "long", F.when(F.col("p.size") == 1, F.col("least")).otherwise(F.col("least_pairs")).alias("least"), "p.size", "p.key")
-    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often"), (F.min("side") < F.max("side")).alias("both"))
-    rarest = F.row_number().over(Window.partitionBy("id", "size").orderBy("often", "key"))
-    shared = F.least(F.col("least"), F.lit(2)).cast("int")
-    has = F.col("n") + 1 - F.col("size") - F.col("least") + F.col("shared")
-    prefix = rows.withColumn("shared", shared).join(often.hint("merge"), "key").withColumn("place", rarest).where((F.col("place") <= has) & F.col("both"))
-
-    def meeting(long, short):
-        names = F.when(F.col("size") == 2, F.array(F.lit(3))).when(F.col("long"), F.array(F.lit(long))).otherwise(F.array(*map(F.lit, short)))
-        return F.explode(names).alias("by")
-
-    left = prefix.where("side = 0").select("key", F.col("id").alias("xid"), F.col("n").alias("nx"), F.col("shared").alias("sx"), meeting(2, (0, 1)))
-    right = prefix.where("side = 1").select("key", F.col("id").alias("yid"), F.col("n").alias("ny"), F.col("shared").alias("sy"), meeting(1, (0, 2)))
-    both = F.col("nx") + F.col("ny")
-    could = 2.0 * F.least("nx", "ny") >= cutoff * both - 1e-9
-    met = left.join(right.hint("merge"), ["key", "by"]).where(could).groupBy("xid", "yid", "by", F.least("sx", "sy").alias("needed")).agg(F.count(F.lit(1)).alias("found"))
-    pairs = met.where(F.col("found") >= F.col("needed")).select("xid", "yid").distinct()
-    xs, ys = (texts.where(F.col("side") == i).select(F.col("id").alias(f"{s}id"), F.col("file").alias(f), F.col("t").alias(s)) for i, s, f in ((0, "x", "file"), (1, "y", "_file")))
-    pairs = pairs.join(xs.hint("merge"), "xid").join(ys.hint("merge"), "yid").where(F.col("file") == F.col("_file"))
+    pairs = candidates(texts.distinct().withColumn("n", F.length("t")), cutoff)
     near = pairs.where(F.levenshtein("x", "y") <= (F.length("x") + F.length("y")) * (1 - cutoff) + 1e-9)
-    rated = near.select("file", "x", "y", similarity("x", "y").alias("ratio")).where(F.col("ratio") >= cutoff)
+    rated = stored(near.select("file", "x", "y", similarity("x", "y").alias("ratio")).where(F.col("ratio") >= cutoff))
     best = F.max_by(F.struct("entry", "ratio"), F.struct(F.col("ratio"), -F.col("entry.ord")))
     found = rated.join(known.hint("merge"), ["file", "y"]).groupBy("file", "x").agg(best.alias("_b"))
     return asked.join(found.hint("merge"), ["file", "x"]).select("file", "raw", "_b.entry", "_b.ratio")

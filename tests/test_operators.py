@@ -2,13 +2,19 @@
 
 import datetime as dt
 import difflib
+import json
+import os
 import random
+import subprocess
+import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fleetspark.functions import text as tx
-from fleetspark.operators import align, diagnostics, reshape, rules, series, summaries
+from fleetspark.operators import align, diagnostics, fuzzy, reshape, rules, series, summaries
 from fleetspark.operators import dictionary as dic
 from fleetspark.params import AnalysisParams, ChartSpec, Rule
 
@@ -276,6 +282,85 @@ def test_fuzzy_join_of_small_tables_broadcasts_no_pieces(spark, tmp_path):
     assert {(r.raw, r.name, r.ratio) for r in found.select("raw", "entry.name", "ratio").collect()} == {(f"h{i}", f"h{i}", 1.0) for i in range(300)}
 
 
+@pytest.mark.parametrize("cutoff", [0.5, 0.75, 0.86])
+def test_fuzzy_join_in_blocks_finds_what_comparing_all_pairs_finds(spark, monkeypatch, cutoff):
+    """Large dictionaries cut into blocks, small ones that share one, texts that meet by pieces of all sizes, and the same text in several files."""
+    monkeypatch.setattr(fuzzy, "INDEXED", 1500)
+    monkeypatch.setattr(fuzzy, "STREAMED", 2500)
+    monkeypatch.setattr(fuzzy, "PAIRS", 50)
+    rng = random.Random(11)
+    letters = "abcdefghij号\U0001f600"
+
+    def bent(text):
+        out = [c for c in text if rng.random() > 0.12]
+        for _ in range(rng.randint(0, 1 + len(text) // 5)):
+            out.insert(rng.randint(0, len(out)), rng.choice(letters))
+        return "".join(out)
+
+    entries, heads = [], []
+    for f, count in (("large", 150), *((f"small{i}", 6) for i in range(18)), ("empty", 0)):
+        keys = {"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 4, 7, 9, 12, 30, 45]))) for _ in range(count)} | ({"same text"} if count else set())
+        entries += [(f, i, k) for i, k in enumerate(sorted(keys))]
+        heads += [(f, h) for h in sorted({bent(k) for k in keys} | {"same text", "", "abc"})]
+    norm = spark.createDataFrame(entries, "file string, ord long, lookup string").select("file", "lookup", F.struct("ord", F.col("lookup").alias("name")).alias("entry"))
+    asked = spark.createDataFrame([(f, h, h) for f, h in heads] + [("large", "null", None)], "file string, raw string, text string")
+    got = {(r.file, r.raw): (r.name, r.ratio) for r in dic.fuzzy_matches(asked, norm, cutoff).select("file", "raw", "entry.name", "ratio").collect()}
+    want = {}
+    for f, h in heads:
+        rated = [(difflib.SequenceMatcher(None, h, k).ratio(), -o, k) for g, o, k in entries if g == f]
+        if h and rated and max(rated)[0] >= cutoff:
+            want[f, h] = (max(rated)[2], max(rated)[0])
+    assert got == want and len(want) > 80
+
+
+def test_pieces_of_a_block_find_every_pair_that_may_reach_the_cutoff():
+    """Characters that match as far apart as the cutoff allows share a piece, whatever stands between them."""
+    rng = np.random.default_rng(5)
+    xs, ys = [], []
+    for _ in range(400):
+        a, b = rng.integers(8, 40, 2)
+        match = -(-3 * (a + b) // 8)
+        if match > min(a, b):
+            continue
+        core = rng.integers(0x4E00, 0x9000, match)
+        for out, n, other in ((xs, a, 0xAC00), (ys, b, 0xB000)):
+            at = np.zeros(n, bool)
+            at[rng.choice(n, match, replace=False)] = True
+            text = rng.integers(other, other + 1000, n)
+            text[at] = core
+            out.append("".join(map(chr, text)))
+    known, asked = (fuzzy.Texts(np.zeros(len(t), np.int64), pa.array(t), 0.75) for t in (ys, xs))
+    pairs = {p for x, y in fuzzy.Block(known, 0.75).partners(asked) for p in zip(x.tolist(), y.tolist())}
+    assert len(xs) > 200 and {(i, i) for i in range(len(xs))} <= pairs and len(pairs) < 1.1 * len(xs)
+
+
+SENT = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from fleetspark.operators import dictionary as dic
+at = sys.argv[1]
+spark = SparkSession.builder.config(map={
+    "spark.master": "local[4]", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": at + "/shared", "spark.sql.warehouse.dir": at + "/wh",
+    "spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://" + at + "/events", "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false"}).getOrCreate()
+code = F.decode(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)), "ISO-8859-1")
+keys = spark.range(4000).select(F.lit("f").alias("file"), F.col("id").alias("ord"), code.alias("lookup"))
+heads = keys.select("file", F.col("ord").cast("string").alias("raw"), F.concat(F.lit("号号"), "lookup").alias("text"))
+print(dic.fuzzy_matches(heads, keys.select("file", "lookup", F.struct("ord").alias("entry")), 0.75).where("raw = entry.ord").count())
+spark.stop()
+"""
+
+
+def test_fuzzy_join_sends_little_more_than_the_texts(tmp_path):
+    """8000 texts of some 50 bytes: a piece of them is not a row, so shuffles hold a few copies of each, not a hundred."""
+    (tmp_path / "events").mkdir()
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", SENT, str(tmp_path)], env=os.environ | {"PYTHONPATH": repo}, cwd=repo, capture_output=True, text=True, timeout=600)
+    assert run.stdout.split()[-1:] == ["4000"], run.stderr[-2000:]
+    ended = [json.loads(line) for f in (tmp_path / "events").iterdir() for line in f.open() if "SparkListenerTaskEnd" in line]
+    sent = sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in ended)
+    assert 8000 * 50 < sent < 8000 * 50 * 10
+
+
 def test_substring_join_finds_what_comparing_all_pairs_finds(spark):
     rng = random.Random(9)
     keys = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(60)})
